@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
-from tidemill.llm import packing, tokens, warc
+from tidemill.llm import decontaminate, html_text, langid, neardup, packing, secrets, substrings, tokens, topk, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
+    "op2_language_id": langid.op2_language_id,
+    "op3_jaccard_join": neardup.op3_jaccard_join,
+    "op4_html_text": html_text.op4_html_text,
     "op5_packing": packing.op5_packing,
     "op6_token_counts": tokens.op6_token_counts,
+    "op7_decontamination": decontaminate.op7_decontamination,
+    "op8_substrings": substrings.op8_substrings,
+    "op9_secrets": secrets.op9_secrets,
+    "op10_topk": topk.op10_topk,
 }
 
+#: The others are held against brute force in tests/llm.
 ORACLE_SQL = {
     "op1_warc": warc.OP1_SQL,
+    "op10_topk": topk.OP10_SQL,
 }
