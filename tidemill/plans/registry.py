@@ -4,6 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from tidemill.operators import cross_section, dynamics, features, selection
+from tidemill.plans.flow import Flow
+from tidemill.sources import bars
+
 FLAGSHIP = "state_distribution"
-QUERIES: dict[str, Callable] = {}
-ORACLE_SQL: dict[str, str] = {}
+
+
+def flow() -> Flow:
+    made = Flow()
+    for part in (bars, features, cross_section, dynamics, selection):
+        part.add(made)
+    return made
+
+
+QUERIES: dict[str, Callable]
+ORACLE_SQL: dict[str, str]
+QUERIES, ORACLE_SQL = flow().registered()
