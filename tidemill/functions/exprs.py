@@ -43,3 +43,9 @@ def edge_bucket(x: str, edges: list[str]) -> str:
 
 def clip(x: str, low: str = "0.0", high: str = "1.0") -> str:
     return f"greatest({low}, least({high}, {x}))"
+
+
+def correlation(a: str, b: str, over: str = "") -> str:
+    """Pearson's r, null for a constant side (``corr`` itself raises there under ANSI)."""
+    of = f" OVER {over}" if over else ""
+    return f"(covar_pop({a}, {b}){of} / nullif(stddev_pop({a}){of} * stddev_pop({b}){of}, 0))"

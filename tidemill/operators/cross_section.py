@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemill.functions.exprs import average_rank, edge_bucket, lead, ratio, rolling
+from tidemill.functions.exprs import average_rank, correlation, edge_bucket, last, lead, ratio
 from tidemill.plans.flow import Flow
 
 
@@ -13,7 +13,7 @@ def add(flow: Flow) -> None:
         forward="SELECT *, " + ", ".join(f"{ratio(lead('close', h), 'close')} - 1 AS y{h}" for h in (1, 5, 10, 20, 40, 60)) + " FROM factors",
         observed="SELECT code, ts, industry, exchange, f, size, h.h, CASE h.h " + " ".join(f"WHEN {h} THEN y{h}" for h in (1, 5, 10, 20, 40, 60)) + " END AS y FROM forward CROSS JOIN (VALUES (1), (5), (10), (20), (40), (60)) AS h(h)",
         ranked=f"SELECT code, ts, industry, exchange, h, f, y, {average_rank('f', 'ts, h')} AS rf, {average_rank('y', 'ts, h')} AS ry FROM observed WHERE f IS NOT NULL AND y IS NOT NULL",
-        ic="SELECT ts, h, count(*) AS n, corr(rf, ry) AS ic FROM ranked GROUP BY ts, h HAVING count(*) >= 20 AND count(DISTINCT f) > 1 AND count(DISTINCT y) > 1",
+        ic=f"SELECT ts, h, count(*) AS n, {correlation('rf', 'ry')} AS ic FROM ranked GROUP BY ts, h HAVING count(*) >= 20 AND count(DISTINCT f) > 1 AND count(DISTINCT y) > 1",
         quintile_edges="SELECT ts, h, " + ", ".join(f"percentile(f, {q}) AS e{i}" for i, q in enumerate((0.2, 0.4, 0.6, 0.8))) + ", count(*) AS n FROM ranked GROUP BY ts, h",
         quintiles=f"SELECT r.ts, r.h, {edge_bucket('f', ['e0', 'e1', 'e2', 'e3'])} + 1 AS q, avg(y) AS y FROM ranked r JOIN quintile_edges e ON r.ts = e.ts AND r.h = e.h WHERE e.n >= 10 GROUP BY r.ts, r.h, {edge_bucket('f', ['e0', 'e1', 'e2', 'e3'])} + 1",
         monthly_rank="SELECT code, month, avg(rf) AS r FROM (SELECT code, cast(date_trunc('month', ts) AS date) AS month, rf FROM ranked WHERE h = 5) x GROUP BY code, month",
@@ -29,14 +29,14 @@ def add(flow: Flow) -> None:
         ic_decay="SELECT h, round(avg(ic), 8) AS ic_mean FROM ic GROUP BY h",
         ic_by_year="SELECT h, year(ts) AS y, count(*) AS n, round(avg(ic), 8) AS ic_mean, round(stddev_samp(ic), 8) AS ic_std FROM ic GROUP BY h, year(ts)",
         ic_top_year="SELECT h, max_by(y, struct(a, y)) AS top_year FROM (SELECT h, year(ts) AS y, round(abs(avg(ic)), 10) AS a FROM ic GROUP BY h, year(ts)) x GROUP BY h",
-        ic_by_exchange=f"""SELECT exchange, h, count(*) AS n_dates, round(avg(ic), 8) AS ic_mean FROM (SELECT exchange, ts, h, corr(a, b) AS ic FROM (
+        ic_by_exchange=f"""SELECT exchange, h, count(*) AS n_dates, round(avg(ic), 8) AS ic_mean FROM (SELECT exchange, ts, h, {correlation('a', 'b')} AS ic FROM (
             SELECT exchange, ts, h, {average_rank('f', 'exchange, ts, h')} AS a, {average_rank('y', 'exchange, ts, h')} AS b FROM ranked) x GROUP BY exchange, ts, h HAVING count(*) >= 20) z GROUP BY exchange, h""",
         ic_rolling="""SELECT ts, h, round(roll, 8) AS ic_60 FROM (SELECT ts, h, avg(ic) OVER (PARTITION BY h ORDER BY ts ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS roll,
             row_number() OVER (PARTITION BY h ORDER BY ts) AS ord FROM ic) x WHERE ord >= 60 AND (ord - 60) % 20 = 0""",
         quantile_returns="SELECT h, q, count(*) AS n_dates, round(avg(y), 8) AS mean_ret FROM quintiles GROUP BY h, q",
         quantile_summary="""SELECT h, round(avg(d), 8) AS mean, round(stddev_samp(d), 8) AS sd, round(avg(d) * 250, 6) AS ann_ret, round(stddev_samp(d) * sqrt(250), 6) AS ann_vol,
             round(avg(d) / nullif(stddev_samp(d), 0) * sqrt(250), 5) AS sharpe FROM (SELECT ts, h, max(CASE WHEN q = 5 THEN y END) - max(CASE WHEN q = 1 THEN y END) AS d FROM quintiles GROUP BY ts, h) x WHERE d IS NOT NULL GROUP BY h""",
-        monthly_turnover=f"""SELECT month, round(1 - corr(a, b), 8) AS turnover FROM (SELECT month, {average_rank('r', 'month')} AS a, {average_rank('p', 'month')} AS b FROM (
+        monthly_turnover=f"""SELECT month, round(1 - {correlation('a', 'b')}, 8) AS turnover FROM (SELECT month, {average_rank('r', 'month')} AS a, {average_rank('p', 'month')} AS b FROM (
             SELECT n.month, n.r, o.r AS p FROM monthly_rank n JOIN month_order m ON n.month = m.month JOIN monthly_rank o ON o.month = m.before AND o.code = n.code) x) z GROUP BY month HAVING count(*) >= 30""",
         rank_z="""SELECT code, ts, round((r - avg(r) OVER (PARTITION BY ts)) / nullif(stddev_samp(r) OVER (PARTITION BY ts), 0), 8) AS z FROM (
             SELECT code, ts, cast(row_number() OVER (PARTITION BY ts ORDER BY f, code) AS double) AS r FROM factors WHERE f IS NOT NULL) x""",
@@ -50,9 +50,9 @@ def add(flow: Flow) -> None:
             SELECT h, avg(CASE WHEN q = 1 THEN y END) AS q1, avg(CASE WHEN q = 5 THEN y END) AS q5 FROM quintiles GROUP BY h) q ON i.h = q.h""",
         decile_selection="""SELECT f.ts, f.code, CASE WHEN f.f >= hi THEN 'top' ELSE 'bottom' END AS side FROM factors f JOIN (SELECT ts, percentile(f, 0.9) AS hi, percentile(f, 0.1) AS lo, count(f) AS n, row_number() OVER (ORDER BY ts) AS ord
             FROM factors WHERE f IS NOT NULL GROUP BY ts) e ON f.ts = e.ts WHERE n >= 30 AND (ord - 1) % 5 = 0 AND (f.f >= hi OR f.f <= lo)""",
-        lead_lag=f"""SELECT code, ts, round({rolling('corr(r, ri)', 20, 20, 'r')}, 5) AS corr_20 FROM (SELECT b.code, b.ts, b.close / nullif(lag(b.close, 5) OVER (PARTITION BY b.code ORDER BY b.ts), 0) - 1 AS r,
+        lead_lag=f"""SELECT code, ts, round(CASE WHEN count(r) OVER {last(20)} >= 20 THEN {correlation('r', 'ri', last(20))} END, 5) AS corr_20 FROM (SELECT b.code, b.ts, b.close / nullif(lag(b.close, 5) OVER (PARTITION BY b.code ORDER BY b.ts), 0) - 1 AS r,
             i.close / nullif(lag(i.close, 5) OVER (PARTITION BY b.code ORDER BY b.ts), 0) - 1 AS ri FROM bars b JOIN master m ON b.code = m.code JOIN index_bars i ON i.index_code = m.index_code AND i.ts = b.ts) x WHERE r IS NOT NULL""",
-        factor_correlation=f"""SELECT ts, round(corr(a, b), 8) AS rho FROM (SELECT ts, {average_rank('f', 'ts')} AS a, {average_rank('size', 'ts')} AS b FROM factors WHERE f IS NOT NULL AND size IS NOT NULL) x GROUP BY ts""",
+        factor_correlation=f"""SELECT ts, round({correlation('a', 'b')}, 8) AS rho FROM (SELECT ts, {average_rank('f', 'ts')} AS a, {average_rank('size', 'ts')} AS b FROM factors WHERE f IS NOT NULL AND size IS NOT NULL) x GROUP BY ts""",
         composite_factor="""SELECT code, ts, round(0.6 * zf - 0.4 * zs, 6) AS composite FROM (SELECT code, ts, (f - avg(f) OVER (PARTITION BY ts)) / nullif(stddev_samp(f) OVER (PARTITION BY ts), 0) AS zf,
             (ln(1 + size) - avg(ln(1 + size)) OVER (PARTITION BY ts)) / nullif(stddev_samp(ln(1 + size)) OVER (PARTITION BY ts), 0) AS zs FROM factors WHERE f IS NOT NULL) x""",
     )

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tidemill.operators import cross_section, dynamics, features, selection
+from tidemill.operators import cross_section, dynamics, features, folds, learning, selection
 from tidemill.plans.flow import Flow
 from tidemill.sources import bars
+from tidemill.streaming import quotes
 
 FLAGSHIP = "state_distribution"
 
@@ -18,6 +19,9 @@ def flow() -> Flow:
     return made
 
 
-QUERIES: dict[str, Callable]
-ORACLE_SQL: dict[str, str]
-QUERIES, ORACLE_SQL = flow().registered()
+QUERIES: dict[str, Callable] = {}
+ORACLE_SQL: dict[str, str] = {}
+_FLOW = flow()
+for _queries, _sql in (_FLOW.registered(), folds.registered(_FLOW), quotes.registered(_FLOW), learning.registered(_FLOW)):
+    QUERIES |= _queries
+    ORACLE_SQL |= _sql
