@@ -285,7 +285,7 @@ class Scanner:
         size = np.minimum(offsets[row + 1] - begin, BLOCK)
         order = np.argsort(-size, kind="stable")
         row, begin, size, nth = row[order], begin[order], size[order], nth[order]
-        trace = np.empty((int(size[0]), len(row)), np.int32)
+        trace = np.zeros((int(size[0]), len(row)), np.int32)
         state = np.zeros(len(row), np.int32)
         at = begin.copy()
         live = np.searchsorted(-size, -np.arange(1, int(size[0]) + 1), "right")
@@ -313,7 +313,6 @@ class Scanner:
                 else:
                     last[i] = s
         flags = self.accepting[trace >> 8]
-        flags &= np.arange(len(flags))[:, None] < size[None, :]
         t, i = np.nonzero(flags)
         np.bitwise_or.at(bits, row[i], self.all.accepts[trace[t, i] >> 8])
         return bits
