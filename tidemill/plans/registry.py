@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tidemill.operators import cross_section, dynamics, features, folds, learning, selection
+from tidemill.operators import cross_section, dynamics, features, folds, learning, selection, studies
 from tidemill.plans.flow import Flow
 from tidemill.sources import bars
 from tidemill.streaming import quotes
@@ -14,7 +14,7 @@ FLAGSHIP = "state_distribution"
 
 def flow() -> Flow:
     made = Flow()
-    for part in (bars, features, cross_section, dynamics, selection):
+    for part in (bars, features, cross_section, dynamics, selection, studies):
         part.add(made)
     return made
 
