@@ -61,7 +61,7 @@ def add(flow: Flow) -> None:
             "mean": "m", "variance": "v / 1e3", "minimum": "lo", "maximum": "hi", "sum_changes": "ch", "energy": "sq / 1e6"}.items())
         + f""" FROM (SELECT code, ts, count(close) OVER {last(30)} AS n, avg(close) OVER {last(30)} AS m, var_pop(close) OVER {last(30)} AS v, min(close) OVER {last(30)} AS lo, max(close) OVER {last(30)} AS hi,
             sum(abs(delta_1)) OVER {last(29)} AS ch, sum(close * close) OVER {last(30)} AS sq FROM changed) x""",
-        labels_relative=f"""SELECT code, ts, CASE WHEN f IS NULL OR fi IS NULL THEN NULL WHEN f > fi THEN 1 ELSE 0 END AS label FROM (SELECT b.code, b.ts, {ratio('lead(b.close, 5) OVER (PARTITION BY b.code ORDER BY b.ts)', 'b.close')} - 1 AS f,
+        labels_relative=f"""SELECT code, ts, CASE WHEN f IS NULL OR fi IS NULL THEN NULL WHEN round(f - fi, 6) > 0 THEN 1 ELSE 0 END AS label FROM (SELECT b.code, b.ts, {ratio('lead(b.close, 5) OVER (PARTITION BY b.code ORDER BY b.ts)', 'b.close')} - 1 AS f,
             {ratio('lead(i.close, 5) OVER (PARTITION BY b.code ORDER BY b.ts)', 'i.close')} - 1 AS fi FROM bars b JOIN master m ON b.code = m.code JOIN index_bars i ON i.index_code = m.index_code AND i.ts = b.ts) x""",
         time_series_ic=f"""SELECT code, count(*) AS n, round({correlation('rx', 'ry')}, 6) AS ic FROM (SELECT code, {average_rank('x', 'code')} AS rx, {average_rank('y', 'code')} AS ry FROM (
             SELECT code, {ratio('close', lag('close', 5))} - 1 AS x, {ratio(lead('close', 5), 'close')} - 1 AS y FROM bars) a WHERE x IS NOT NULL AND y IS NOT NULL) b GROUP BY code HAVING count(*) >= 30""",

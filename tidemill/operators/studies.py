@@ -87,4 +87,24 @@ def add(flow: Flow) -> None:
         focus_groups="SELECT code, state, round(n / total, 8) AS share FROM (SELECT s.code, s.state, s.n, cast(t.total AS double) AS total FROM (SELECT code, state, count(*) AS n FROM states GROUP BY code, state) s JOIN (SELECT code, count(*) AS total FROM states GROUP BY code) t ON s.code = t.code) x WHERE state IN ('against', 'follow', 'returning') AND n >= 0.2 * total",
         oos_distribution="SELECT count(*) AS n, round(median(hit), 6) AS hit_median, round(percentile(hit, 0.25), 6) AS hit_25, round(percentile(hit, 0.75), 6) AS hit_75 FROM (SELECT code, avg(CASE WHEN (vx - sx) * ax + (vy - sy) * ay > 0 THEN 1e0 ELSE 0e0 END) AS hit FROM (SELECT code, sx, sy, ax, ay, sx + beta * bx - 0.1 * dx - 0.2 * ux AS vx, sy + beta * by_ - 0.1 * dy - 0.2 * uy AS vy FROM displaced WHERE ax IS NOT NULL) x GROUP BY code) y",
         rolling_self_force=f"""SELECT code, ts, round({rolling('avg(fx)', 10).replace('9 PRECEDING AND CURRENT ROW', '10 PRECEDING AND 1 PRECEDING')}, 2) + 0e0 AS fx_10 FROM (SELECT code, ts, ax - beta * bx + 0.1 * dx + 0.2 * ux AS fx FROM displaced WHERE ax IS NOT NULL) x""",
+        factor_union="""SELECT coalesce(a.code, b.code) AS code, coalesce(a.ts, b.ts) AS ts, round(a.f, 8) AS momentum, round(b.gap, 8) AS gap FROM (SELECT code, ts, f FROM factors WHERE f IS NOT NULL) a
+            FULL OUTER JOIN (SELECT code, ts, close / nullif(ma_20, 0) - 1 AS gap FROM averaged WHERE std_20 IS NOT NULL) b ON a.code = b.code AND a.ts = b.ts""",
+        pool_left_joins="""SELECT a.code, a.ts, round(a.f, 8) AS momentum, round(b.drawdown, 8) AS drawdown FROM factors a LEFT JOIN (SELECT code, ts, close / max(close) OVER (PARTITION BY code ORDER BY ts ROWS UNBOUNDED PRECEDING) - 1 AS drawdown FROM bars WHERE volume > 30) b ON a.code = b.code AND a.ts = b.ts""",
+        kc_override="""SELECT kc.code, round(coalesce(o.k, kc.k, 0), 6) AS k, round(coalesce(o.c, kc.c, 0), 6) AS c, CASE WHEN o.code IS NOT NULL THEN 'explicit' WHEN kc.k IS NOT NULL THEN 'fit' ELSE 'zero' END AS source FROM kc LEFT JOIN (VALUES (1, 0.25, 0.75), (3, 0.5, 1.0)) AS o(code, k, c) ON kc.code = o.code""",
+        overlay_pairs="""SELECT cast(split_part(part, ',', 1) AS double) AS k, cast(split_part(part, ',', 2) AS double) AS c, trim(split_part(part, ',', 3)) AS label FROM (VALUES ('0.1,0.5,base'), ('0.3,0.9,fast'), ('-0.2,0.4,anti')) AS o(part)""",
+        pool_append="""SELECT run, code, source FROM (SELECT 'r2' AS run, code, 'new' AS source FROM master WHERE code % 2 = 0 UNION ALL SELECT o.run, o.code, 'old' FROM (SELECT CASE WHEN code % 3 = 0 THEN 'r2' ELSE 'r1' END AS run, code FROM master) o
+            WHERE o.run NOT IN (SELECT DISTINCT 'r2' FROM master)) x""",
+        common_with_all="SELECT a.ts FROM (SELECT DISTINCT ts FROM bars WHERE code % 2 = 0) a JOIN (SELECT DISTINCT ts FROM bars WHERE code % 2 = 1) b ON a.ts = b.ts",
+        missing_codes="SELECT code FROM master EXCEPT SELECT code FROM bars WHERE ts >= date '1998-01-01' AND volume > 40",
+        long_format="SELECT code, ts, 'close' AS kind, round(close, 6) AS value FROM bars UNION ALL SELECT code, ts, 'volume', volume FROM bars UNION ALL SELECT code, ts, 'amount', amount FROM bars",
+        correlation_decay=f"""SELECT part, count(*) AS n, round({correlation('f', 'y')}, 5) AS corr FROM (SELECT f.code, f.f, f.y5 AS y, CASE WHEN row_number() OVER (PARTITION BY f.code ORDER BY f.ts) <= 0.7 * count(*) OVER (PARTITION BY f.code) THEN 'in' ELSE 'out' END AS part FROM forward f WHERE f.f IS NOT NULL AND f.y5 IS NOT NULL) x GROUP BY part""",
+        candidate_frequency="""SELECT code, count(*) AS hits FROM (SELECT b.ts, b.code, row_number() OVER (PARTITION BY b.ts ORDER BY b.f DESC, b.code) AS nth FROM factors b JOIN rebalances r ON b.ts = r.ts WHERE r.day AND b.f IS NOT NULL) x WHERE nth <= 5 GROUP BY code""",
+        two_layer_alpha="""SELECT t.ts, count(*) AS n, round(avg(CASE WHEN nth <= 10 THEN ret END) - avg(ret), 8) AS alpha FROM (SELECT ts, y1 AS ret, row_number() OVER (PARTITION BY ts ORDER BY f DESC, code) AS nth FROM forward WHERE f IS NOT NULL AND y1 IS NOT NULL) t GROUP BY t.ts HAVING count(*) >= 20""",
+        indicator_ic_aggregate="""SELECT count(*) AS n, round(median(ic), 6) AS median, round(avg(ic), 6) AS mean, round(stddev_samp(ic), 6) AS sd, round(avg(ic) / (stddev_samp(ic) + 1e-9), 5) AS ir, count(CASE WHEN ic > 0 THEN 1 END) AS above_0, count(CASE WHEN ic > 0.05 THEN 1 END) AS above_5, count(CASE WHEN ic < -0.05 THEN 1 END) AS below_5 FROM ic WHERE h = 5""",
+        ic_distribution="SELECT h, round(percentile(ic, 0.25), 6) AS q25, round(percentile(ic, 0.5), 6) AS q50, round(percentile(ic, 0.75), 6) AS q75, count_if(ic > 0) AS up, count_if(ic < 0) AS down FROM ic GROUP BY h",
+        weights_asof="""SELECT b.ts, b.code, round(coalesce(p.weight, 0), 6) AS weight FROM bars b LEFT JOIN picks p ON p.code = b.code AND p.month = cast(date_trunc('month', b.ts) AS date)""",
+        spike_scales="""SELECT w.code, round(w.v / nullif(m.v, 0), 8) AS volume_ratio, round(w.r / nullif(m.r, 0), 6) AS range_ratio FROM (SELECT code, avg(volume) AS v, avg(high - low) AS r FROM bars GROUP BY code) w JOIN (SELECT code, avg(volume) AS v, avg(high - low) AS r FROM bars_m GROUP BY code) m ON w.code = m.code""",
+        granularity_gate="SELECT w.code, w.n AS weekly, m.n AS monthly, w.n >= 3 * m.n AND w.n >= 200 AS adopt FROM (SELECT code, count(*) AS n FROM bars GROUP BY code) w FULL OUTER JOIN (SELECT code, count(*) AS n FROM bars_m GROUP BY code) m ON w.code = m.code",
+        candle_chart="SELECT code, ts, CASE WHEN close >= open THEN 'up' ELSE 'down' END AS colour, round(CASE WHEN n5 = 5 THEN ma_5 END, 6) AS ma_5, round(CASE WHEN n20 = 20 THEN ma_20 END, 6) AS ma_20 FROM (SELECT *, count(close) OVER (PARTITION BY code ORDER BY ts ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS n5, count(close) OVER (PARTITION BY code ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS n20 FROM averaged) x",
+        last_dates="SELECT code, ts, round(close, 6) AS close FROM (SELECT *, dense_rank() OVER (ORDER BY ts DESC) AS nth FROM bars WHERE ts >= date '1998-06-01') x WHERE nth <= 5",
     )
