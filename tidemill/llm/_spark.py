@@ -18,23 +18,45 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/tidemill"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again.
 
     Cuts the lineage: what follows survives the loss of executors, and rows whose
-    keys depend on how a scan was split keep them.
+    keys depend on how a scan was split keep them. Arrays of hashes do not compress:
+    ``compression="none"`` saves the codec's buffers for them.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", compression).parquet(path)
+    table_ = spark.read.schema(df.schema).parquet(path)
+    table_.written_at = path
+    return table_
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` gave and nothing reads any more."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.written_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Text that Spark hands to Python at once; larger batches only cost memory off the heap.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 1024
+_BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": (BATCH_BYTES, 1 << 20), "spark.sql.execution.arrow.maxRecordsPerBatch": (BATCH_ROWS, 0)}
+
+
 def require(df: DataFrame, columns: Iterable[str]) -> None:
+    """Check that ``df`` has the columns; also bound the session's Arrow batches, if they are larger."""
+    for key, (most, least) in _BATCHES.items():
+        now = df.sparkSession.conf.get(key, None)
+        now = int(now) if now and now.lstrip("-").isdigit() else None
+        if now is None or not least <= now <= most:
+            df.sparkSession.conf.set(key, str(most))
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")

@@ -75,7 +75,7 @@ class _Powers:
         if len(cls.up) < n:
             with np.errstate(over="ignore"):
                 inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-                size = max(n, 1 << 16)
+                size = max(n, LONG_WORD + 1)
                 cls.up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, _BASE)]))
                 cls.down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, inverse)]))
         return cls.up, cls.down
@@ -106,7 +106,7 @@ def hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.nda
             i, stop = i + 1, next(stops)
             continue
         a = int(starts[i])
-        j = min(stop, max(i + 1, int(np.searchsorted(ends, a + 2 * PASS_BYTES, "right"))))
+        j = min(stop, max(i + 1, int(np.searchsorted(ends, a + LONG_WORD, "right"))))
         b = int(ends[j - 1])
         up, down = _Powers.of(b - a + 1)
         sums = np.empty(b - a + 1, np.uint64)

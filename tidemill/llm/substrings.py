@@ -30,7 +30,7 @@ from tidemill.llm._spark import require, table, written
 from tidemill.llm._text import SOLID, byte_values, grams, hashes, passes, runs, sliding_min, utf8
 
 #: Text of a pack, at most; a longer document is a pack of its own.
-PACK_BYTES = 4 << 20
+PACK_BYTES = 2 << 20
 #: Bits of an anchor that are told to other packs: a chance match costs some work, no result.
 ANCHOR_BYTES = 6
 
@@ -109,43 +109,50 @@ def _wide(data: bytes) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """Packs of consecutive rows of a scan's partition: number, rows. The same each time the scan is read."""
+    number = TaskContext.get().partitionId() << 32
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        _, offsets = utf8(batch.column(1))
+        for i, j in passes(offsets, PACK_BYTES):
+            part = int(offsets[j] - offsets[i])
+            if held and size + part > PACK_BYTES:
+                yield number, pa.Table.from_batches(held).combine_chunks()
+                number, held, size = number + 1, [], 0
+            held.append(batch.slice(i, j - i))
+            size += part
+    if held:
+        yield number, pa.Table.from_batches(held).combine_chunks()
+
+
 def _packs(docs: DataFrame) -> DataFrame:
-    """Packs of consecutive rows of a scan: pack, ids, texts (an Arrow stream, compressed)."""
+    """Packs of rows: pack, data (an Arrow stream, compressed)."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
-        held: list[pa.RecordBatch] = []
-        size = 0
-
-        def give() -> pa.RecordBatch:
-            nonlocal number, held, size
-            whole = pa.Table.from_batches(held).combine_chunks()
+        for number, whole in _gathered(batches):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, whole.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 out.write_table(whole)
-            number, held, size = number + 1, [], 0
-            return pa.RecordBatch.from_arrays([pa.array([number - 1]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["pack", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["pack", "data"])
+
+    return _rows(docs).mapInArrow(gather, "pack long, data binary")
 
-        for batch in batches:
-            _, offsets = utf8(batch.column(1))
-            for i, j in passes(offsets, PACK_BYTES):
-                part = int(offsets[j] - offsets[i])
-                if held and size + part > PACK_BYTES:
-                    yield give()
-                held.append(batch.slice(i, j - i))
-                size += part
-        if held:
-            yield give()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(gather, "pack long, data binary")
+def _pack(whole: pa.Table, window: int, seed: int) -> Pack:
+    # a null id is larger than any other
+    ids = whole.column(0).combine_chunks().fill_null(np.iinfo(np.int64).max).to_numpy()
+    return Pack(ids, whole.column(1), window, seed)
 
 
 def _open(data: bytes, window: int, seed: int) -> tuple[Pack, pa.Table]:
     whole = pa.ipc.open_stream(data).read_all().combine_chunks()
-    ids = whole.column(0).combine_chunks()
-    # a null id is larger than any other
-    return Pack(ids.fill_null(np.iinfo(np.int64).max).to_numpy(), whole.column(1), window, seed), whole
+    return _pack(whole, window, seed), whole
 
 
 def _ranges(h: np.ndarray, bits: int, n: int) -> Iterator[tuple[int, slice]]:
@@ -210,15 +217,14 @@ def repeated_substrings(docs: DataFrame, window: int = 13, seed: int = 5, bucket
     packs = _packs(docs)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                a, _ = _open(data.as_buffer(), window, seed)[0].anchors()
-                a = np.unique(_short(a))
-                out = [(b, _narrow(a[s])) for b, s in _ranges(a, 8 * ANCHOR_BYTES, n)]
-                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int64()), pa.array([number] * len(out), pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["bucket", "pack", "anchors"])
+        for number, whole in _gathered(batches):
+            a, _ = _pack(whole, window, seed).anchors()
+            a = np.unique(_short(a))
+            out = [(b, _narrow(a[s])) for b, s in _ranges(a, 8 * ANCHOR_BYTES, n)]
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int64()), pa.array([number] * len(out), pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["bucket", "pack", "anchors"])
 
-    found = packs.mapInArrow(anchors, "bucket long, pack long, anchors binary")
-    shared = written(_told(found, "pack long, bucket long, told binary", _shared_anchors), "substrings-anchors")
+    found = _rows(docs).mapInArrow(anchors, "bucket long, pack long, anchors binary")
+    shared = written(_told(found, "pack long, bucket long, told binary", _shared_anchors), "substrings-anchors", "none")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,7 +242,7 @@ def repeated_substrings(docs: DataFrame, window: int = 13, seed: int = 5, bucket
                 )
 
     seen = packs.join(shared, "pack", "left").mapInArrow(windows, "bucket long, pack long, windows binary, ids binary, least binary")
-    smaller = written(_told(seen, "pack long, bucket long, told binary", _smaller_windows), "substrings-windows")
+    smaller = written(_told(seen, "pack long, bucket long, told binary", _smaller_windows), "substrings-windows", "none")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
