@@ -150,7 +150,7 @@ def phrases(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarr
         grid[:, 1:][(grid[:, 1:] == SPACE) & (grid[:, :-1] == SPACE)] = PAD
         some = grid >= UNKNOWN
         np.add.at(letters, order, some.sum(1))
-        grid = np.ascontiguousarray(grid.T).astype(np.int64)
+        grid = np.ascontiguousarray(grid.T)
         state = np.repeat(model.roots, len(todo))
         ends = np.zeros(len(state), np.int64)
         for column in grid:
@@ -169,8 +169,8 @@ def phrases(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarr
         for a in range(0, len(ids), BLOCK):
             todo.append(ids[a : a + BLOCK])
             owner.append(r)
-        if len(todo) >= 4096:
-            flush()
+            if len(todo) >= 4096:
+                flush()
     flush()
     return counts, letters
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm._spark import require, table, written
+from tidemill.llm._spark import dropped, require, table, written
 from tidemill.llm._text import ALNUM, LOWER, byte_values, grams, hashes, mix, passes, runs, utf8
 
 SHINGLE = 5
@@ -275,7 +275,8 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node of its component) of all nodes of ``edges`` (u, v).
 
     Larger neighbours of each node are joined to its smallest neighbour, then smaller
-    ones, until each component is a star; every round is written to the shared folder.
+    ones, until each component is a star; every round is written to the shared folder,
+    and the round before deleted.
     """
     pairs = edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     pairs = written(pairs, "components")
@@ -286,16 +287,20 @@ def components(edges: DataFrame) -> DataFrame:
         # to the smallest of the neighbourhood go all larger neighbours of each node
         large = both.where(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = written(large, "components-large")
+        dropped(pairs)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         # and all smaller neighbours, with the node itself
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         pairs = written(small, "components-small")
+        dropped(large)
         now = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
     stars = pairs.groupBy("u").agg(F.min("v").alias("root"))
-    return stars.select(F.col("u").alias("node"), "root").unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
+    found = written(stars.select(F.col("u").alias("node"), "root").unionByName(stars.select(F.col("root").alias("node"), "root").distinct()), "components-found")
+    dropped(pairs)
+    return found
 
 
 def _blocks(rows: DataFrame, key: str, size: str) -> DataFrame:
@@ -322,6 +327,11 @@ def similarity_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     null doc_id take no part in links and keep null ids. An empty table gives no rows,
     other columns are ignored.
     """
+    return _similarity_join(docs, threshold, recall)[0]
+
+
+def _similarity_join(docs: DataFrame, threshold: float, recall: float) -> tuple[DataFrame, list[DataFrame]]:
+    """The result of ``similarity_join``, and the tables that it reads."""
     require(docs, ("doc_id", "text"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = written(rows.mapInArrow(_sign, SIGNED), "neardup-signed")
@@ -349,8 +359,10 @@ def similarity_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     near = _blocks(met, "key", "size").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
     near = near.select("key", "low", "high", "side", "node", "n_shingles", "signature")
     coarse = written(near.mapInArrow(_candidates(threshold), "u long, v long").distinct(), "neardup-candidates")
-    member = components(coarse)
-    member = written(member.join(member.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "root").join(holders.select("node", "copies"), "node"), "neardup-members")
+    dropped(entries)
+    found = components(coarse)
+    member = written(found.join(found.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "root").join(holders.select("node", "copies"), "node"), "neardup-members")
+    dropped(coarse, found, holders)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -368,6 +380,7 @@ def similarity_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     dealt = _blocks(full, "root", "size").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
     verified = dealt.select("key", "low", "high", "side", "node", "copies", "shingles").mapInArrow(_links(threshold), "u long, v long, n long")
     verified = written(verified, "neardup-links")
+    dropped(full, member)
     links = verified.groupBy("u").agg(F.sum("n").alias("others"))
     groups = components(verified.select("u", "v"))
 
@@ -375,10 +388,11 @@ def similarity_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     named = named.select("seq_a", "seq_b", "node", F.coalesce("root", "node").alias("root"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies")
     named = named.join(named.groupBy("root").agg(F.sum("copies").alias("group_size")), "root")
     named = written(named, "neardup-named")
+    dropped(verified, groups, classes)
     lone = signed.where(F.col("doc_id").isNull() | (F.col("n_shingles") == 0))
     lone = lone.select("doc_id", F.col("doc_id").alias("copy_of"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("group_size"))
     found = live.select("doc_id", "seq_a", "seq_b").join(named, ["seq_a", "seq_b"])
-    return found.select("doc_id", F.col("node").alias("copy_of"), F.col("root").alias("class_id"), "n_links", "group_size").unionByName(lone)
+    return found.select("doc_id", F.col("node").alias("copy_of"), F.col("root").alias("class_id"), "n_links", "group_size").unionByName(lone), [signed, named]
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -386,8 +400,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Of rows that repeat that doc_id one stays; rows with a null doc_id all stay.
     """
-    found = similarity_join(docs)
+    found, read = _similarity_join(docs, THRESHOLD, RECALL)
     gone = written(found.where(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct(), "neardup-gone")
+    dropped(*read)
     rest = docs.join(gone, "doc_id", "left_anti")
     again = rest.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).collect()
     if not again:
