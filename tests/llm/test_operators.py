@@ -165,9 +165,10 @@ def test_decontamination(spark, docs, empty, bound):
     assert decontaminate.contamination(docs, benchmark.limit(0)).where("size(items) > 0").count() == 0
 
 
-def test_decontaminated_text_has_no_window(spark, docs):
+@pytest.mark.parametrize("bound", [1 << 25, 200])
+def test_decontaminated_text_has_no_window(spark, docs, bound):
     benchmark = spark.createDataFrame([x for x in items() if x[0] not in ("short", "cut")], "item_id string, text string")
-    clean = decontaminate.decontaminate(docs, benchmark)
+    clean = decontaminate.decontaminate(docs, benchmark, max_item_bytes=bound)
     assert clean.columns == docs.columns
     again = decontaminate.contamination(clean, benchmark)
     assert again.where("size(items) > 0").count() == 0

@@ -175,8 +175,12 @@ class Automaton:
         return found
 
 
-def _search(docs: DataFrame, items: DataFrame, window: int, keep: list[str]) -> DataFrame:
-    """``docs`` (keep..., text) with FOUND, for items whose texts are within the broadcast's bound."""
+def _search(docs: DataFrame, items: DataFrame, window: int, keep: list[str], max_coverage: float | None = None) -> DataFrame:
+    """``docs`` (keep..., text) with FOUND, for items whose texts are within the broadcast's bound.
+
+    With ``max_coverage``, the same pass cuts the spans out and leaves out what is more
+    covered: one Python worker a task, not two.
+    """
     rows = items.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t")).where(F.col("t").isNotNull()).collect()
     shared = docs.sparkSession.sparkContext.broadcast(Automaton([(r["i"], r["t"]) for r in rows], window))
     spans_type = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
@@ -196,12 +200,37 @@ def _search(docs: DataFrame, items: DataFrame, window: int, keep: list[str]) ->
                     spans.append([{"first": a, "last": b} for a, b in s])
                     names.append(sorted(have))
             counts = np.concatenate(counts).astype(np.int64) if counts else np.empty(0, np.int64)
+            if max_coverage is not None:
+                yield _cut(batch, spans, counts, max_coverage)
+                continue
             added = [pa.array(counts), pa.array(spans, spans_type), pa.array(names, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, "n_words", "spans", "items"])
 
     kept = docs.select(*keep, "text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.mapInArrow(search, f"{schema}, {FOUND}")
+    return kept.mapInArrow(search, schema if max_coverage is not None else f"{schema}, {FOUND}")
+
+
+def _cut(batch: pa.RecordBatch, spans: list[list[dict]], counts: np.ndarray, max_coverage: float) -> pa.RecordBatch:
+    """``batch`` with its spans cut out of ``text``, without the rows of which more is hit."""
+    at = batch.schema.get_field_index("text")
+    texts = batch.column(at)
+    out, keep = texts.to_pylist(), np.ones(len(spans), bool)
+    for r in (r for r, s in enumerate(spans) if s):
+        hit = sum(s["last"] - s["first"] + 1 for s in spans[r])
+        keep[r] = hit <= max_coverage * counts[r]
+        buf, starts, ends, _, _ = words_of(texts.slice(r, 1))
+        parts, last = [], 0
+        for s in spans[r]:
+            parts.append(buf[last : starts[s["first"]]].tobytes())
+            last = ends[s["last"]]
+        out[r] = b"".join([*parts, buf[last:].tobytes()]).decode("utf-8")
+    columns = [batch.column(i) if i != at else pa.array(out, pa.string()) for i in range(batch.num_columns)]
+    return pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(pa.array(keep))
+
+
+def _bytes(items: DataFrame) -> int:
+    return items.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0]
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10, max_item_bytes: int = MAX_ITEM_BYTES) -> DataFrame:
@@ -216,8 +245,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, max_item_
     require(items, ("item_id", "text"))
     keep = [c for c in docs.columns if c not in ("text", "n_words", "spans", "items")]
     docs = docs.withColumn("text", F.col("text").cast("string"))
-    size = items.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0]
-    shards = -(-size // max_item_bytes)
+    shards = -(-_bytes(items) // max_item_bytes)
     if shards <= 1:
         return _search(docs, items, window, keep)
     rows = written(docs.select(*keep, "text").withColumn("row", F.monotonically_increasing_id()), "decontaminate-rows")
@@ -239,35 +267,28 @@ def n_hit() -> Column:
     return F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["last"] - s["first"] + 1)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, max_coverage: float = 0.8) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, max_coverage: float = 0.8, max_item_bytes: int = MAX_ITEM_BYTES) -> DataFrame:
     """``docs`` without benchmark passages, in its own columns.
 
     Hit spans are cut out of the text (and n_chars, if there, counted anew); a document
     of which more than ``max_coverage`` is hit goes as a whole. Others stay as they are.
     """
     names = docs.columns
-    found = contamination(docs, items, window)
-    found = found.where(F.coalesce(n_hit() <= F.lit(max_coverage) * F.col("n_words"), F.lit(True)))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index("text")
-            texts, spans = batch.column(at), batch.column("spans").to_pylist()
-            out = texts.to_pylist()
-            for r in (r for r, s in enumerate(spans) if s):
-                buf, starts, ends, _, _ = words_of(texts.slice(r, 1))
-                parts, last = [], 0
-                for s in spans[r]:
-                    parts.append(buf[last : starts[s["first"]]].tobytes())
-                    last = ends[s["last"]]
-                out[r] = b"".join([*parts, buf[last:].tobytes()]).decode("utf-8")
-            columns = [batch.column(i) if i != at else pa.array(out, pa.string()) for i in range(batch.num_columns)]
-            kept = [(n, c) for n, c in zip(batch.schema.names, columns, strict=True) if n not in ("n_words", "spans", "items")]
-            yield pa.RecordBatch.from_arrays([c for _, c in kept], names=[n for n, _ in kept])
-
-    kept = found.drop("n_words", "spans", "items")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    clean = found.mapInArrow(cut, schema)
+    require(docs, ("doc_id", "text"))
+    require(items, ("item_id", "text"))
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    if _bytes(items) <= max_item_bytes:
+        clean = _search(docs, items, window, [c for c in names if c != "text"], max_coverage)
+    else:
+        found = contamination(docs, items, window, max_item_bytes)
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rest = batch.select([n for n in batch.schema.names if n not in ("n_words", "spans", "items")])
+                yield _cut(rest, batch.column("spans").to_pylist(), batch.column("n_words").to_numpy(), max_coverage)
+
+        kept = found.drop("n_words", "spans", "items")
+        clean = found.mapInArrow(cut, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema))
     if "n_chars" in names:
         clean = clean.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
     return clean.select(*names)

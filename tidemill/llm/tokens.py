@@ -9,7 +9,7 @@ library, so that its Unicode tables and its treatment of special strings apply.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +31,8 @@ class WordCache:
     """A direct-mapped cache from a pre-token to its ids: bounded, any entry may be replaced."""
 
     def __init__(self, path: str, spaced: bool, lower: bool, single_numbers: bool, keep_ids: bool):
-        from tokenizers import Tokenizer
-
         self.merges = bpe.merges(path)
-        self.library = Tokenizer.from_file(path)
+        self.path = path
         self.splitter = bpe.Splitter(spaced, lower, single_numbers)
         self.keep_ids = keep_ids
         self.values = byte_values()
@@ -131,6 +129,13 @@ class WordCache:
                     ids = np.concatenate([*pieces, ids[at:]])
             yield per_row, ids
 
+    @cached_property
+    def library(self):
+        """Loaded when the first hard row comes: it takes more memory than all else here."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _hard(self, text: str) -> np.ndarray:
         if not self.keep_ids and "<|" not in text:
             pieces = [x for x, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
