@@ -13,7 +13,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 def plain(value):
-    if value is None or value is pd.NaT or isinstance(value, float) and math.isnan(value):
+    if value is None or value is pd.NaT or value is pd.NA or isinstance(value, float) and math.isnan(value):
         return ""
     if isinstance(value, bool) or type(value).__name__ in ("bool", "bool_"):
         return str(float(value))

@@ -52,7 +52,7 @@ def add(flow: Flow) -> None:
             FROM factors WHERE f IS NOT NULL GROUP BY ts) e ON f.ts = e.ts WHERE n >= 30 AND (ord - 1) % 5 = 0 AND (f.f >= hi OR f.f <= lo)""",
         lead_lag=f"""SELECT code, ts, round(CASE WHEN count(r) OVER {last(20)} >= 20 THEN {correlation('r', 'ri', last(20))} END, 5) AS corr_20 FROM (SELECT b.code, b.ts, b.close / nullif(lag(b.close, 5) OVER (PARTITION BY b.code ORDER BY b.ts), 0) - 1 AS r,
             i.close / nullif(lag(i.close, 5) OVER (PARTITION BY b.code ORDER BY b.ts), 0) - 1 AS ri FROM bars b JOIN master m ON b.code = m.code JOIN index_bars i ON i.index_code = m.index_code AND i.ts = b.ts) x WHERE r IS NOT NULL""",
-        factor_correlation=f"""SELECT ts, round({correlation('a', 'b')}, 8) AS rho FROM (SELECT ts, {average_rank('f', 'ts')} AS a, {average_rank('size', 'ts')} AS b FROM factors WHERE f IS NOT NULL AND size IS NOT NULL) x GROUP BY ts HAVING count(*) >= 5""",
+        factor_correlation=f"""SELECT ts, round({correlation('a', 'b')}, 6) + 0e0 AS rho FROM (SELECT ts, {average_rank('f', 'ts')} AS a, {average_rank('size', 'ts')} AS b FROM factors WHERE f IS NOT NULL AND size IS NOT NULL) x GROUP BY ts HAVING count(*) >= 5""",
         composite_factor="""SELECT code, ts, round(0.6 * zf - 0.4 * zs, 6) AS composite FROM (SELECT code, ts, (f - avg(f) OVER (PARTITION BY ts)) / nullif(stddev_samp(f) OVER (PARTITION BY ts), 0) AS zf,
             (ln(1 + size) - avg(ln(1 + size)) OVER (PARTITION BY ts)) / nullif(stddev_samp(ln(1 + size)) OVER (PARTITION BY ts), 0) AS zs FROM factors WHERE f IS NOT NULL) x""",
     )
