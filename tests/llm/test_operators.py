@@ -279,6 +279,20 @@ def test_similarity_join_of_large_groups(spark, monkeypatch):
         assert (got.loc[i].class_id, got.loc[i].n_links) == (group, links)
 
 
+def test_similarity_join_of_repeated_lines(spark):
+    rng = random.Random(21)
+    rows = []
+    for i in range(0, 36, 3):
+        base = words(rng, 90).split(" ")
+        line = base[20:32]
+        rows += [(i, " ".join(base)), (i + 1, " ".join(base[:32] + line * 12 + base[32:])), (i + 2, " ".join(["new", *base[:32], *line * 40, *base[32:]]))]
+    want = neardup.brute_force(rows)
+    assert all(want[i] == (i - i % 3, 2) for i in want)
+    got = table(neardup.similarity_join(spark.createDataFrame(rows, "doc_id long, text string")))
+    for i, (group, links) in want.items():
+        assert (got.loc[i].class_id, got.loc[i].n_links) == (group, links)
+
+
 def test_keep_one(spark, docs):
     twice = docs.unionByName(docs)
     kept = neardup.keep_one(twice)

@@ -104,6 +104,11 @@ def signatures(h: np.ndarray, where: np.ndarray) -> np.ndarray:
     return out
 
 
+def distinct(h: np.ndarray, where: np.ndarray) -> np.ndarray:
+    """Number of distinct shingles of each row: the size of the set that verification intersects."""
+    return np.array([len(np.unique(h[a:b])) for a, b in zip(where[:-1].tolist(), where[1:].tolist(), strict=True)], np.int64)
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         _, offsets = utf8(batch.column(1))
@@ -111,7 +116,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h, where, a, b = shingles(batch.column(1).slice(i, j - i))
             s = signatures(h, where)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(i, j - i), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(np.diff(where).astype(np.int64)), pa.array([x.tobytes() for x in s], pa.binary())],
+                [batch.column(0).slice(i, j - i), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(distinct(h, where)), pa.array([x.tobytes() for x in s], pa.binary())],
                 names=[x.split(" ")[0] for x in SIGNED.split(", ")],
             )
 
