@@ -18,7 +18,7 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/tidemill"
 
 
-def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "zstd", options: dict | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again.
 
     Cuts the lineage: what follows survives the loss of executors, and rows whose
@@ -27,7 +27,7 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    df.write.options(compression=compression, **(options or {})).parquet(path)
     table_ = spark.read.schema(df.schema).parquet(path)
     table_.written_at = path
     return table_

@@ -114,7 +114,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
-    """Packs of consecutive rows of a scan's partition: number, rows. The same each time the scan is read."""
+    """Packs of consecutive rows of a scan's partition: number, rows."""
     number = TaskContext.get().partitionId() << 32
     held: list[pa.RecordBatch] = []
     size = 0
@@ -132,7 +132,12 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table
 
 
 def _packs(docs: DataFrame) -> DataFrame:
-    """Packs of rows: pack, data (an Arrow stream, compressed)."""
+    """Packs of rows, stored: pack, data (an Arrow stream, compressed).
+
+    All passes read this table, so a pack's number means the same documents in each of
+    them, however the scan is split when a pass is planned. Row groups hold few packs,
+    as a reader takes a whole one at once.
+    """
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, whole in _gathered(batches):
@@ -141,7 +146,8 @@ def _packs(docs: DataFrame) -> DataFrame:
                 out.write_table(whole)
             yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["pack", "data"])
 
-    return _rows(docs).mapInArrow(gather, "pack long, data binary")
+    groups = {"parquet.block.size": 4 * PACK_BYTES, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1, "parquet.enable.dictionary": "false"}
+    return written(_rows(docs).mapInArrow(gather, "pack long, data binary"), "substrings-packs", "none", groups)
 
 
 def _pack(whole: pa.Table, window: int, seed: int) -> Pack:
@@ -217,13 +223,14 @@ def repeated_substrings(docs: DataFrame, window: int = 13, seed: int = 5, bucket
     packs = _packs(docs)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, whole in _gathered(batches):
-            a, _ = _pack(whole, window, seed).anchors()
-            a = np.unique(_short(a))
-            out = [(b, _narrow(a[s])) for b, s in _ranges(a, 8 * ANCHOR_BYTES, n)]
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int64()), pa.array([number] * len(out), pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["bucket", "pack", "anchors"])
+        for batch in batches:
+            for number, data in zip(batch.column("pack").to_pylist(), batch.column("data"), strict=True):
+                a, _ = _open(data.as_buffer(), window, seed)[0].anchors()
+                a = np.unique(_short(a))
+                out = [(b, _narrow(a[s])) for b, s in _ranges(a, 8 * ANCHOR_BYTES, n)]
+                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int64()), pa.array([number] * len(out), pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["bucket", "pack", "anchors"])
 
-    found = _rows(docs).mapInArrow(anchors, "bucket long, pack long, anchors binary")
+    found = packs.mapInArrow(anchors, "bucket long, pack long, anchors binary")
     shared = written(_told(found, "pack long, bucket long, told binary", _shared_anchors), "substrings-anchors", "none")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
