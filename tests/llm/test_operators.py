@@ -388,6 +388,34 @@ def test_blocks_of_a_page():
     assert html_text.blocks_of("a < b <c")[0].text == "a < b"
 
 
+@pytest.mark.parametrize(
+    "inner,texts",
+    [
+        ('<svg class="x" viewBox="0 0 1 1"/>', []),
+        ("<math/>", []),
+        ("<object data=x>", []),
+        ("<video src=x>", []),
+        ("<audio src=x>", []),
+        ("<canvas>", []),
+        ("<noscript>", []),
+        ("<noscript>Text without scripts.</noscript>", ["Text without scripts."]),
+        ('<svg><style/><script href="x"/><title>no</title>' + '<path d="M0"/>' * 300 + "<g><text>Label <tspan>of it</tspan></text></g></svg>", ["Label of it"]),
+        ("<svg><title>no</svg>", []),
+        ("<svg><g>", []),
+        ("<svg><style>", []),
+        ("<script>if (a) '<svg>'</script><iframe src=x>no</iframe><template><p>no</p></template>", []),
+    ],
+)
+def test_text_after_embedded_elements_stays(inner, texts):
+    page = f"<html><body><article><p>One</p>{inner}<p>Two</p><p>Three</p></article><p>Four</p></body></html>"
+    assert [b.text for b in html_text.blocks_of(page)] == ["One", *texts, "Two", "Three", "Four"]
+
+
+def test_formulas_stay_in_their_sentence():
+    page = "<p>Where <math display='inline'><mi>x</mi><mo>=</mo><msup><mn>2</mn><mi>k</mi></msup></math> holds, <math/>and <math><mi>y</mi> is unclosed.<p>Next"
+    assert [(b.path, b.text) for b in html_text.blocks_of(page)] == [(">p", "Where x=2k holds, and y is unclosed."), (">p", "Next")]
+
+
 def test_main_text(spark):
     article = [f"Paragraph {i} tells something about the matter at hand, and more of it." for i in range(5)]
     body = "".join(f"<p>{x}</p>" for x in article)

@@ -39,12 +39,18 @@ _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 # Elements of HTML, by how they part text.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_SILENT = frozenset("script style noscript template iframe svg math object canvas audio video head title".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+_RAW = frozenset("script style template iframe title".split())
+_PHRASE = frozenset("noscript svg object canvas audio video".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()) | frozenset(
+    "math semantics annotation annotation-xml maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover tspan textpath".split()
+)
+_SPACED = frozenset("br annotation annotation-xml mtd mtr".split())
+_OUT_OF_SVG = frozenset("blockquote body center dd div dl dt h1 h2 h3 h4 h5 h6 hr li listing menu meta ol p pre table ul".split())
 _CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("td", "th", "tr"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
 }
-_ENDS = {t: re.compile(rf"</{t}(?=[\s>/])[^>]*>?", re.I) for t in _SILENT}
+_ENDS = {t: re.compile(rf"</{t}(?=[\s>/])[^>]*>?", re.I) for t in _RAW}
+_ENDS_IN_SVG = {t: re.compile(rf"</{t}(?=[\s>/])[^>]*>?|(?=</svg[\s>/])|(?=<(?:{'|'.join(sorted(_OUT_OF_SVG))})[\s>/])|\Z", re.I) for t in _RAW}
 
 
 class Block(NamedTuple):
@@ -54,12 +60,17 @@ class Block(NamedTuple):
 
 
 def blocks_of(page: str | None) -> list[Block]:
-    """Leaf blocks in page order: path, text with single spaces, and how much of it is linked."""
+    """Leaf blocks in page order: path, text with single spaces, and how much of it is linked.
+
+    Scripts, styles, titles, templates and frames are skipped to their end tag, to the end
+    of the page without one; inside svg, no further than that reaches. ``/>`` ends
+    an element only on svg and inside it, as in HTML; the elements of math are inline.
+    """
     out: list[Block] = []
     if not page:
         return out
     stack: list[tuple[str, str]] = []
-    path, parts, linked, in_link, at = "", [], 0, 0, 0
+    path, parts, linked, in_link, at, drawings = "", [], 0, 0, 0, 0
 
     def end_block() -> None:
         nonlocal linked
@@ -78,6 +89,13 @@ def blocks_of(page: str | None) -> list[Block]:
         del stack[i:]
         path = stack[-1][1] if stack else ""
 
+    def svg_at() -> int:
+        """Where the innermost svg is in the stack; -1 in none, or in HTML inside it."""
+        for i in range(len(stack) - 1 if drawings else -1, -1, -1):
+            if stack[i][0] in ("svg", "foreignobject"):
+                return i if stack[i][0] == "svg" else -1
+        return -1
+
     n = len(page)
     while at < n:
         m = _TAG.search(page, at)
@@ -107,17 +125,25 @@ def blocks_of(page: str | None) -> list[Block]:
         if name in _INLINE:
             if name == "a":
                 in_link = 1
-            elif name == "br":
+            elif name in _SPACED:
                 parts.append(" ")
             continue
         end_block()
         in_link = 0
-        if name in _SILENT:
-            if name != "head":
-                e = _ENDS[name].search(page, at)
-                at = e.end() if e else n
+        if name == "head":
+            continue
+        svg = svg_at()
+        if svg >= 0 and name in _OUT_OF_SVG:
+            pop_to(svg)
+            svg = -1
+        if (svg >= 0 or name == "svg") and m[0].endswith("/>"):
+            continue
+        if name in _RAW:
+            e = (_ENDS_IN_SVG if svg >= 0 else _ENDS)[name].search(page, at)
+            at = e.end() if e else n
             continue
-        if stack and stack[-1][0] == "p":
+        drawings += name == "svg"
+        if stack and stack[-1][0] == "p" and name not in _PHRASE:
             pop_to(len(stack) - 1)
         if name in _CLOSES:
             for i in range(len(stack) - 1, max(-1, len(stack) - 4), -1):
