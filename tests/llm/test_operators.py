@@ -379,6 +379,20 @@ def test_top_k(spark):
     assert topk.top_k(vectors.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    rng = np.random.default_rng(2)
+    rows = [(int(i), [float(x) for x in rng.normal(size=4)]) for i in range(120)]
+    rows += [(121, [40000.0, 1.0, -1.0, 0.5]), (150, [-3e5, 2.0, 0.0, 70000.25]), (152, [1e5, 1e5, -2e5, 3.0]), (153, [2.0**40, 0.0, 0.0, 1.0]), (153, [2.0**40, 0.0, 0.0, 1.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), F.col("vec_id") % 50 == 0).toPandas()
+    clean = [(i, [int(np.floor(256 * v)) for v in x]) for i, x in rows]
+    for q, x in clean:
+        if q % 50 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), i) for i, y in clean if i != q)[:5]
+            mine = got[got.query_id == q].sort_values("rank")
+            assert list(zip((-mine.score).tolist(), mine.vec_id.tolist(), strict=True)) == scored
+    assert set(got.query_id) == {0, 50, 100, 150} and {121, 152, 153} & set(got.vec_id)
+
+
 def test_blocks_of_a_page():
     page = """<html><head><title>no</title><script>if (a < b) "</p>"</script></head><body class="Page-Main"><!-- <p>no</p> --><p>One&nbsp;&amp; two<br>three
       <p>four <a href="x>y">five</a></p><ul><li>six<li>seven</ul><textarea>eight</textarea><img alt="no">nine<style>p{}"""

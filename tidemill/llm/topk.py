@@ -11,6 +11,8 @@ from each partition, and ties go to the smaller id.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -23,17 +25,21 @@ QUERY_BLOCK = 2048
 BINS = 512
 #: Scores that one step of a pass holds.
 SCORES = 1 << 21
+#: Quantised components from which a vector is scored in Python's whole numbers.
+LARGE = 2.0**23
 
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """vec_id, x (array of floor(scale * component)) of the rows that take part.
+    """vec_id, x (array of floor(scale * component), as doubles) of the rows that take part.
 
     Rows whose id or vector is null, or whose vector holds a null or non-finite
-    component, take no part; nor do those with a component too large for exact sums.
+    component, take no part.
     """
     require(vectors, ("vec_id", "embedding"))
-    x = F.transform("embedding", lambda v: F.floor(F.lit(float(scale)) * v.cast("double")))
-    sound = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < F.lit(2.0**15)))
+    scaled = lambda v: F.lit(float(scale)) * v.cast("double")
+    # doubles from 2^52 are whole; floor gives a long
+    x = F.transform("embedding", lambda v: F.when(F.abs(scaled(v)) < F.lit(2.0**52), F.floor(scaled(v)).cast("double")).otherwise(scaled(v)))
+    sound = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < F.lit(float("inf"))))
     rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(F.coalesce(sound, F.lit(False)))
     return rows.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x"))
 
@@ -101,18 +107,31 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256) ->
     Candidates are all rows but those with the query's own id and those of another
     dimension. Query rows that repeat both id and vector count once; candidates that
     repeat an id each take a rank, in any order. An empty table gives no rows, other
-    columns are ignored.
+    columns are ignored. A score beyond 64 bits among the results is an error.
     """
     rows = written(quantised(vectors, scale), "topk-vectors")
     queries = rows.where(is_query).dropDuplicates()
-    largest = rows.agg(F.max(F.array_max(F.transform("x", lambda v: F.abs(v))))).first()[0] or 0
+    is_large = F.exists("x", lambda v: F.abs(v) >= F.lit(LARGE))
+    small, large = rows.where(~is_large), rows.where(is_large)
+    largest = small.agg(F.max(F.array_max(F.transform("x", lambda v: F.abs(v))))).first()[0] or 0
+    large = large if large.limit(1).collect() else None
     queries = written(queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-queries.count() // QUERY_BLOCK))))), "topk-queries")
     parts = None
     for (number,) in sorted(queries.select("block").distinct().collect()):
         mine = [(r["vec_id"], r["x"]) for r in queries.where(F.col("block") == number).select("vec_id", "x").orderBy("vec_id", "x").collect()]
         for a in range(0, len(mine), QUERY_BLOCK):
-            part = _answers(rows, Block(mine[a : a + QUERY_BLOCK]), k, float(largest))
-            parts = part if parts is None else parts.unionByName(part)
+            some = mine[a : a + QUERY_BLOCK]
+            # a score is exact in doubles if no sum of its products' sizes reaches 2^53
+            sure = [max(map(abs, x), default=0) < LARGE and sum(map(abs, x)) * largest < 2.0**53 for _, x in some]
+            fast, slow = [q for q, yes in zip(some, sure, strict=True) if yes], [q for q, yes in zip(some, sure, strict=True) if not yes]
+            found = [_ranked(_exact(rows, slow, k), k)] if slow else []
+            if fast:
+                kept = _answers(small, Block(fast), k, float(largest))
+                if large is not None:
+                    kept = kept.withColumn("score", F.col("score").cast("decimal(38,0)")).unionByName(_exact(large, fast, k))
+                found.append(_ranked(kept, k))
+            for part in found:
+                parts = part if parts is None else parts.unionByName(part)
     if parts is None:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(0).cast("int").alias("rank"), "vec_id", F.lit(0).cast("long").alias("score")).where(F.lit(False))
     return parts
@@ -165,9 +184,40 @@ def _answers(rows: DataFrame, block: Block, k: int, largest: float) -> DataFrame
         out = [(int(block.ids[i]), i, v, int(-s)) for i, have in best.items() for s, v in have]
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(4)], names=["query_id", "q", "vec_id", "score"])
 
-    kept = rows.mapInArrow(keep, "query_id long, q long, vec_id long, score long")
+    return rows.mapInArrow(keep, "query_id long, q long, vec_id long, score long")
+
+
+def _exact(rows: DataFrame, queries: list[tuple[int, list[float]]], k: int) -> DataFrame:
+    """The k best of each partition for each query, scored in Python's whole numbers."""
+    shared = rows.sparkSession.sparkContext.broadcast(queries)
+    most = 10**38 - 1
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = [(q, i, [int(v) for v in x]) for q, (i, x) in enumerate(shared.value)]
+        best: list[list[tuple[int, int]]] = [[] for _ in whole]
+        for batch in batches:
+            for vec_id, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x = [int(v) for v in x]
+                for q, i, y in whole:
+                    if i != vec_id and len(y) == len(x):
+                        have = best[q]
+                        have.append((-sum(map(mul, x, y)), vec_id))
+                        if len(have) >= k + 64:
+                            have.sort()
+                            del have[k:]
+        out = [(i, q, v, Decimal(max(-most, min(most, -s)))) for q, i, _ in whole for s, v in sorted(best[q])[:k]]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.decimal128(38, 0)]
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names=["query_id", "q", "vec_id", "score"])
+
+    return rows.mapInArrow(keep, "query_id long, q long, vec_id long, score decimal(38,0)")
+
+
+def _ranked(kept: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), "vec_id"))
-    return kept.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    kept = kept.withColumn("rank", rank).where(F.col("rank") <= k)
+    fits = F.col("score").between(F.lit(-(2**63 - 1)), F.lit(2**63 - 1))
+    score = F.when(fits, F.col("score").cast("long")).otherwise(F.raise_error(F.lit("a score is beyond 64 bits")).cast("long"))
+    return kept.select("query_id", "rank", "vec_id", score.alias("score") if dict(kept.dtypes)["score"] != "bigint" else "score")
 
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
