@@ -1,10 +1,10 @@
-"""Similarity join on word shingles: a MinHash LSH forest with exact verification.
+"""Similarity join on word shingles: MinHash banding with exact verification.
 
 1. Every text gets the hash of its word sequence, its number of distinct shingles and a
    MinHash signature of ``trees * depth`` values. Texts with equal words are one class.
-2. Each tree sorts the classes' signatures as a prefix trie. The matched prefix starts at
-   full depth and is shortened until ``1 - (1 - J^p)^trees`` reaches the target recall at
-   the threshold; classes that share that prefix in a tree are one bucket.
+2. Of each tree's ``depth`` values the first p are a band, p being the largest at which
+   ``1 - (1 - J^p)^trees`` reaches the target recall at the threshold; classes that share
+   a band are one bucket. No trie is sorted, and p does not depend on what matched.
 3. Within buckets all pairs of whole signatures are compared, in blocks, and those that
    may reach the threshold are joined; only a spanning forest of them leaves a task.
    Its components hold every candidate pair.
