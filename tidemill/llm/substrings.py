@@ -1,11 +1,10 @@
-"""Substring deduplication by seeds and extension.
+"""Substring deduplication by a table of window hashes, prefiltered by anchors.
 
-Seeds are winnowed anchors: of the ``window - seed + 1`` runs of ``seed`` words in each
+Anchors are winnowed: of the ``window - seed + 1`` runs of ``seed`` words in each
 window of ``window`` words, the one that hashes lowest. Two equal windows hold the same
-anchor, so a window can repeat only where its anchor is shared. Documents are joined on
-anchors; from each shared one the match is extended both ways, window by window, and the
-windows that repeat, joined where they overlap, are the maximal repeats of at least
-``window`` words.
+anchor, so a window can repeat only where its anchor is shared. Windows whose anchor is
+shared are hashed and looked up; words in those that repeat go. Documents are not joined
+on anchors and no match is extended.
 
 Nothing is keyed by a single word, anchor or window: texts travel in packs of some
 megabytes, a pack says once which anchors or windows it holds (sorted arrays, by range
