@@ -7,17 +7,35 @@ import tempfile
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own only where it is unset (tests)."""
+    """The folder in ``spark.checkpoint.dir``. Where it is unset, one of our own, in local mode only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + os.path.join(tempfile.gettempdir(), "tidemill-checkpoints")
     return f"{folder.rstrip('/')}/tidemill"
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    have = {c.lower() for c in df.columns}
+    name = f"_{name}"
+    while name in have:
+        name = f"_{name}"
+    return name
+
+
+def with_columns(df: DataFrame, ddl: str) -> StructType:
+    """The schema of ``df`` and further columns."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
+
+
 def written(df: DataFrame, name: str, compression: str = "zstd", options: dict | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again.
 
@@ -41,6 +59,23 @@ def dropped(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def skew_join(left: DataFrame, right: DataFrame, keys: list[str], heavy: Column) -> DataFrame:
+    """Inner join of rows with the one row of ``right`` that has their keys.
+
+    Rows of ``right`` that are ``heavy`` go out by broadcast and meet their rows of
+    ``left`` where those are: the caller sees to it that they are few, whatever the data,
+    by asking for a fixed share of all rows of ``left``. The rest is an ordinary join.
+    """
+    hot = right.where(heavy)
+    here = left.join(F.broadcast(hot), keys)
+    rest = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(right.where(~heavy), keys)
+    return here.unionByName(rest)
+
+
+#: A key is heavy if it has more than this share of all rows; there are at most as many as its inverse.
+HEAVY = 1 / 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

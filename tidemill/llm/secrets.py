@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm._spark import require, table
+from tidemill.llm._spark import require, table, with_columns
 from tidemill.llm._text import passes, utf8
 
 BLOCK = 1024
@@ -324,15 +324,15 @@ class Scanner:
         for r, rule in enumerate(self.rules):
             if not bits >> r & 1:
                 continue
-            body, prefix = self.body[r], self.prefix[r]
-            inside = body[buf]
+            inside = self.body[r][buf]
             edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
             run_end = edges[1::2]
+            longest = _Longest(self.prefix[r], data)
             used = 0
             for start in np.flatnonzero(self.begin[r][buf]).tolist():
                 if start < used:
                     continue
-                at = self._longest(prefix, data, start)
+                at = longest(start)
                 if at < 0 or at >= len(data) or not inside[at]:
                     continue
                 end = int(run_end[np.searchsorted(run_end, at, "right")])
@@ -341,17 +341,41 @@ class Scanner:
                     out.append((start, r, end))
         return sorted(out)
 
-    @staticmethod
-    def _longest(dfa: Dfa, data: bytes, start: int) -> int:
-        to, classes, k, accepts, dead = dfa
-        state, end, at = 0, start if accepts[0] else -1, start
+
+class _Longest:
+    """Ends of the longest prefixes in one text, from any starts, in time linear in the text.
+
+    Runs from different starts that meet in a state go on alike: at every ``STEP``-th byte
+    the states are remembered with the end that was reached, so no stretch is walked twice
+    in the same state. Starts are given from left to right.
+    """
+
+    STEP = 32
+
+    def __init__(self, dfa: Dfa, data: bytes):
+        self.rows = dfa.to.reshape(-1, dfa.n_classes)[:, dfa.classes].tolist()
+        self.accepts, self.dead, self.data = dfa.accepts.tolist(), dfa.dead, data
+        self.known: dict[tuple[int, int], int] = {}
+
+    def __call__(self, start: int) -> int:
+        rows, accepts, data, known = self.rows, self.accepts, self.data, self.known
+        state, end, at = 0, start if self.accepts[0] else -1, start
+        passed: list[tuple[int, int]] = []
         while at < len(data):
-            state = to[state * k + classes[data[at]]]
+            state = rows[state][data[at]]
             at += 1
-            if state == dead:
+            if state == self.dead:
                 break
             if accepts[state]:
                 end = at
+            if not at % self.STEP:
+                met = known.get((at, state))
+                if met is not None:
+                    end = max(end, met)
+                    break
+                passed.append((at, state))
+        for key in passed:
+            known[key] = end if end >= key[0] else -1
         return end
 
 
@@ -360,52 +384,75 @@ def scanner(rules: tuple[Rule, ...]) -> Scanner:
     return Scanner(rules)
 
 
-def find_secrets(docs: DataFrame, more: tuple[Rule, ...] = MORE) -> DataFrame:
-    """``docs`` with ``secrets``: array of kind, start, end (code points, end exclusive) of each span.
+def find_secrets(docs: DataFrame, more: tuple[Rule, ...] = MORE, column: str = "secrets") -> DataFrame:
+    """``docs`` with ``column``: array of kind, start, end (code points, end exclusive) of each span.
 
     Null texts count as empty and have none. Rows are never grouped, so repeated rows
-    give repeated results; an empty table gives no rows. A column named secrets is
-    replaced. Spans come by start, then by the rules' order; kinds may overlap.
+    give repeated results; an empty table gives no rows. A column of that name is
+    replaced. Spans come by start, then by the rules' order; kinds may overlap. Texts of
+    any length are scanned in time linear in them.
     """
     require(docs, ("text",))
     rules = BASE + more
-    kept = docs.drop("secrets").withColumn("text", F.col("text").cast("string"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
+    kept = docs.drop(column).withColumn("text", F.col("text").cast("string"))
     spans_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = scanner(rules)
         for batch in batches:
-            buf, offsets = utf8(batch.column("text"))
             out: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-            for i, j in passes(offsets):
-                bits = automaton.accepted(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                for r in np.flatnonzero(bits).tolist():
-                    data = buf[offsets[i + r] : offsets[i + r + 1]].tobytes()
-                    found = automaton.spans(data, int(bits[r]))
-                    if not data.isascii():
-                        points = np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
-                        points = np.concatenate([[0], points])
-                        found = [(int(points[a]), k, int(points[b])) for a, k, b in found]
-                    out[i + r] = [{"kind": rules[k].kind, "start": a, "end": b} for a, k, b in found]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, spans_type)], names=[*batch.schema.names, "secrets"])
+            for row, data, found in _found(batch.column("text"), rules):
+                if not data.isascii():
+                    points = np.concatenate([[0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)])
+                    found = [(int(points[a]), k, int(points[b])) for a, k, b in found]
+                out[row] = [{"kind": rules[k].kind, "start": a, "end": b} for a, k, b in found]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, spans_type)], names=[*batch.schema.names, column])
+
+    return kept.mapInArrow(scan, with_columns(kept, f"`{column}` array<struct<kind:string,start:bigint,end:bigint>>"))
 
-    return kept.mapInArrow(scan, f"{schema}, secrets array<struct<kind:string,start:bigint,end:bigint>>")
+
+def _found(texts: pa.Array, rules: tuple[Rule, ...]) -> Iterator[tuple[int, bytes, list[tuple[int, int, int]]]]:
+    """Row, bytes and spans (start, rule, end, in bytes) of the texts in which some rule was accepted."""
+    automaton = scanner(rules)
+    buf, offsets = utf8(texts)
+    for i, j in passes(offsets):
+        bits = automaton.accepted(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        for r in np.flatnonzero(bits).tolist():
+            data = buf[offsets[i + r] : offsets[i + r + 1]].tobytes()
+            if spans := automaton.spans(data, int(bits[r])):
+                yield i + r, data, spans
 
 
 def redact(docs: DataFrame, more: tuple[Rule, ...] = MORE) -> DataFrame:
-    """``docs`` in its own columns, each secret replaced by ``<kind>``; n_chars, if there, counted anew."""
-    found = find_secrets(docs, more)
-    # spans of several kinds may overlap: what an earlier span has taken is not taken again
-    text = F.expr("""concat_ws('',
-        transform(aggregate(secrets, named_struct('at', bigint(0), 'parts', cast(array() as array<string>)), (a, s) ->
-            if(s.end <= a.at, a, named_struct('at', s.end, 'parts',
-                concat(a.parts, array(substring(text, int(a.at + 1), int(greatest(s.start - a.at, 0))), concat('<', s.kind, '>')))))).parts, x -> x),
-        substring(text, int(coalesce(array_max(transform(secrets, s -> s.end)), 0) + 1)))""")
-    clean = found.withColumn("text", F.when(F.size("secrets") > 0, text).otherwise(F.col("text")))
+    """``docs`` in its own columns, each secret replaced by ``<kind>``; n_chars, if there, counted anew.
+
+    Null and empty texts and those without a secret stay as they are, repeated rows are
+    rows of their own, an empty table stays empty. No other column is touched, whatever
+    its name.
+    """
+    require(docs, ("text",))
+    rules = BASE + more
+    rows = docs.withColumn("text", F.col("text").cast("string"))
+
+    def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, texts = batch.schema.get_field_index("text"), None
+            for row, data, spans in _found(batch.column(at), rules):
+                texts = texts if texts is not None else batch.column(at).to_pylist()
+                parts, last = [], 0
+                for start, rule, end in spans:
+                    # spans of several kinds may overlap: what an earlier span has taken is not taken again
+                    if end > last:
+                        parts += [data[last : max(start, last)], b"<", rules[rule].kind.encode(), b">"]
+                        last = end
+                texts[row] = b"".join([*parts, data[last:]]).decode("utf-8")
+            columns = batch.columns if texts is None else [*batch.columns[:at], pa.array(texts, pa.string()), *batch.columns[at + 1 :]]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    clean = rows.mapInArrow(replace, rows.schema)
     if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.when(F.size("secrets") > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
-    return clean.select(*docs.columns)
+        kind = dict(docs.dtypes)["n_chars"]
+        clean = clean.withColumn("n_chars", F.when(F.col("n_chars").isNotNull() & F.col("text").isNotNull(), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return clean
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
