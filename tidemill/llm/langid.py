@@ -17,29 +17,49 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm._spark import require, table
+from tidemill.llm._spark import require, table, with_columns
 
 #: Characters of a block; phrases do not cross its borders.
 BLOCK = 512
-#: Labelled text that is learned: documents of each language at most, and characters of them.
-SAMPLE_DOCS = 512
+#: Labelled text that is learned: documents of each language at most, and characters of
+#: all of them; each gives a window of an equal share, from a place that its id decides.
+SAMPLE_DOCS = 256
 SAMPLE_CHARS = 40_000
-#: Letters told apart; rarer ones of the samples count as unknown.
-LETTERS = 120
+#: Letters that have a column in the dense table; rarer ones are looked up among the arcs.
+DENSE = 120
 PAD, SPACE, UNKNOWN = 0, 1, 2
 
 
 class Model(NamedTuple):
-    """``steps[state + symbol]``: twice the next state's row, plus 1 where a phrase ended before the symbol."""
+    """``steps[state + symbol]``: twice the next state's row, plus 1 where a phrase ended before the symbol.
+
+    States are row offsets of ``steps``. Letters beyond the dense columns step by ``arcs``:
+    sorted ``state * len(symbols) + symbol`` and, in ``targets``, the next row.
+    """
 
     languages: tuple[str, ...]
     roots: np.ndarray
     steps: np.ndarray
     width: int
     symbols: dict[str, int]
+    arcs: np.ndarray
+    targets: np.ndarray
+
+    def rare(self, state: np.ndarray, root: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """What ``steps`` would hold for symbols beyond the dense columns."""
+        n = len(self.symbols) + 3
+        to = self._arc(state * n + symbol)
+        anew = self._arc(root * n + symbol)
+        return np.where(to >= 0, 2 * to, 2 * np.where(anew >= 0, anew, root) + 1)
+
+    def _arc(self, key: np.ndarray) -> np.ndarray:
+        if not len(self.arcs):
+            return np.full(len(key), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
+        return np.where(self.arcs[at] == key, self.targets[at], -1)
 
 
 def suffix_automaton(text: np.ndarray) -> tuple[list[dict[int, int]], int]:
@@ -82,34 +102,26 @@ def _fold(c: str) -> str:
 
 
 def fit(samples: dict[str, list[str]]) -> Model:
-    """The model of some labelled texts: language -> texts."""
-    texts = {}
-    for name in sorted(samples):
-        parts, left = [], SAMPLE_CHARS
-        each = max(256, SAMPLE_CHARS // max(1, len(samples[name])))
-        for text in samples[name]:
-            part = " ".join(normal(text[:each]).split())[:left]
-            parts.append(part)
-            left -= len(part) + 1
-            if left <= 0:
-                break
-        texts[name] = " ".join(parts)
+    """The model of some labelled texts: language -> texts, all of them learned whole."""
+    texts = {name: " ".join(p for p in (" ".join(normal(t).split()) for t in samples[name]) if p) for name in sorted(samples)}
     counts: dict[str, int] = {}
     for text in texts.values():
         for c in text.replace(" ", ""):
             counts[c] = counts.get(c, 0) + 1
-    common = sorted(counts, key=lambda c: (-counts[c], c))[:LETTERS]
-    symbols = {c: 3 + i for i, c in enumerate(sorted(common))}
-    width = 3 + len(symbols)
-    roots, tables, base = [], [], 0
+    symbols = {c: 3 + i for i, c in enumerate(sorted(counts, key=lambda c: (-counts[c], c)))}
+    width = 3 + min(DENSE, len(symbols))
+    roots, tables, arcs, targets, base = [], [], [], [], 0
     for name in texts:
-        ids = np.array([SPACE if c == " " else symbols.get(c, UNKNOWN) for c in texts[name]], np.int64)
+        ids = np.array([SPACE if c == " " else symbols[c] for c in texts[name]], np.int64)
         follow, n = suffix_automaton(ids)
         step = np.full((n, width), -1, np.int64)
-        for s, arcs in enumerate(follow):
-            for c, to in arcs.items():
-                step[s, c] = to
-        step[:, UNKNOWN] = -1
+        for s, out in enumerate(follow):
+            for c, to in out.items():
+                if c < width:
+                    step[s, c] = to
+                else:
+                    arcs.append((base + s) * width * (len(symbols) + 3) + c)
+                    targets.append((base + to) * width)
         first = np.where(step[0] >= 0, step[0], 0)
         out = np.where(step >= 0, step * 2, first[None, :] * 2 + 1)
         out[:, PAD] = np.arange(n) * 2
@@ -118,7 +130,8 @@ def fit(samples: dict[str, list[str]]) -> Model:
         roots.append(base * width)
         base += n
     steps = np.concatenate(tables).reshape(-1).astype(np.int32) if tables else np.zeros(width, np.int32)
-    return Model(tuple(texts), np.array(roots, np.int64), steps, width, symbols)
+    order = np.argsort(np.array(arcs, np.int64))
+    return Model(tuple(texts), np.array(roots, np.int64), steps, width, symbols, np.array(arcs, np.int64)[order], np.array(targets, np.int64)[order])
 
 
 @lru_cache(maxsize=1)
@@ -144,20 +157,27 @@ def phrases(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarr
         if not todo:
             return
         order = np.array(owner)
-        grid = np.zeros((len(todo), BLOCK), np.uint8)
+        grid = np.zeros((len(todo), BLOCK), np.int32)
         for i, block in enumerate(todo):
             grid[i, : len(block)] = block
         grid[:, 1:][(grid[:, 1:] == SPACE) & (grid[:, :-1] == SPACE)] = PAD
         some = grid >= UNKNOWN
         np.add.at(letters, order, some.sum(1))
         grid = np.ascontiguousarray(grid.T)
-        state = np.repeat(model.roots, len(todo))
+        dense = np.where(grid < model.width, grid, UNKNOWN)
+        has_rare = (grid >= model.width).any(1).tolist()
+        root = np.repeat(model.roots, len(todo))
+        state = root
         ends = np.zeros(len(state), np.int64)
-        for column in grid:
+        for t, column in enumerate(dense):
             to = model.steps[state + np.tile(column, n_languages)]
+            if has_rare[t]:
+                symbol = np.tile(grid[t], n_languages)
+                some = np.flatnonzero(symbol >= model.width)
+                to[some] = model.rare(state[some], root[some], symbol[some])
             ends += to & 1
             state = to >> 1
-        ends += state != np.repeat(model.roots, len(todo))
+        ends += state != root
         np.add.at(counts, order, ends.reshape(n_languages, -1).T)
         todo.clear()
         owner.clear()
@@ -169,7 +189,7 @@ def phrases(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarr
         for a in range(0, len(ids), BLOCK):
             todo.append(ids[a : a + BLOCK])
             owner.append(r)
-            if len(todo) >= 4096:
+            if len(todo) >= 2048:
                 flush()
     flush()
     return counts, letters
@@ -183,7 +203,7 @@ def _lut(model: Model) -> np.ndarray:
     if key not in _LUTS:
         _LUTS.clear()
         fold = _alphabetic()
-        symbol = np.full(0x110000, UNKNOWN, np.uint8)
+        symbol = np.full(0x110000, UNKNOWN, np.int32)
         symbol[0] = SPACE
         for c, s in model.symbols.items():
             symbol[ord(c)] = s
@@ -216,42 +236,40 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
+def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Model:
     """A model of a bounded sample: of each language the documents whose ids hash lowest.
 
-    Every language found in ``docs`` is learned. Only ids and labels are read to choose
-    the sample, and the texts of at most ``sample_docs`` documents a language to learn it.
+    Every language found in ``docs`` is learned. Which rows and which part of a text are
+    learned is decided by ids, labels and lengths: of at most ``sample_docs`` labelled rows
+    a language, each gives a window of an equal share of ``sample_chars`` characters. Rows
+    whose label, text or id is null, or that are held out, are not learned from, also where
+    their id repeats; of rows that repeat an id and a label each counts.
     """
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    names = [r[0] for r in labelled.select(F.col("lang").cast("string")).distinct().collect()]
-    parts = None
-    for name in sorted(names):
-        part = labelled.where(F.col("lang") == name).select(F.col("lang").cast("string").alias("lang"), F.col("doc_id"), F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(sample_docs)
-        parts = part if parts is None else parts.unionByName(part)
-    if parts is None:
-        return fit({})
-    chosen = {}
-    for r in parts.collect():
-        chosen.setdefault(r["doc_id"], (r["h"], r["lang"]))
-    longest = SAMPLE_CHARS
-    rows = docs.where(F.col("doc_id").isin(list(chosen))).select("doc_id", F.substring(F.col("text").cast("string"), 1, longest).alias("text")).collect()
+    require(docs, ("doc_id", "text", "lang"))
+    rows = docs.select(F.col("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    labelled = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).withColumn("h", F.xxhash64("doc_id"))
+    # the limit on ranks is applied in each scan task first: no more than it leaves it a language
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    chosen = labelled.select("lang", "h", "doc_id").withColumn("nth", nth).where(F.col("nth") <= sample_docs)
+    size = F.floor(F.lit(sample_chars) / F.count(F.lit(1)).over(Window.partitionBy("lang")))
+    ids = chosen.withColumn("size", size).select("lang", "doc_id", "size").distinct()
+    at = F.pmod("h", F.greatest(F.lit(1), F.length("text") - F.col("size") + 1))
+    picked = labelled.join(F.broadcast(ids), ["lang", "doc_id"])  # sample_docs rows a language
+    picked = picked.select("lang", "h", "doc_id", F.substring("text", (at + 1).cast("int"), F.col("size").cast("int")).alias("part"))
     samples: dict[str, list[tuple[int, int, str]]] = {}
-    for r in rows:
-        if r["text"] is not None:
-            h, name = chosen[r["doc_id"]]
-            samples.setdefault(name, []).append((h, r["doc_id"], r["text"]))
+    for r in picked.collect():
+        samples.setdefault(r["lang"], []).append((r["h"], r["doc_id"], r["part"]))
     return fit({k: [t for _, _, t in sorted(v)] for k, v in samples.items()})
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with lang_pred and score. Only ``text`` is read; null and empty texts are ``und``.
+def identify(docs: DataFrame, model: Model, predicted: str = "lang_pred", scored: str = "score") -> DataFrame:
+    """``docs`` with the columns ``predicted`` and ``scored``. Only ``text`` is read; null and empty texts are ``und``.
 
     Rows are not grouped: repeated rows give repeated results, an empty table none.
     Columns that are named like the results are replaced.
     """
     require(docs, ("text",))
-    kept = docs.drop("lang_pred", "score").withColumn("text", F.col("text").cast("string"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
+    kept = docs.drop(predicted, scored).withColumn("text", F.col("text").cast("string"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,9 +282,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 names += got
                 scores.append(s)
             scores = np.concatenate(scores) if scores else np.empty(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores)], names=[*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores)], names=[*batch.schema.names, predicted, scored])
 
-    return kept.mapInArrow(score, f"{schema}, lang_pred string, score double")
+    return kept.mapInArrow(score, with_columns(kept, f"`{predicted}` string, `{scored}` double"))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
