@@ -15,6 +15,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -31,6 +32,8 @@ from tidemill.llm._text import ALNUM, LOWER, byte_values, hashes, passes, runs,
 PATH_BINS, WORD_BINS, RATIOS = 512, 64, 12
 HIDDEN = 24
 TRAIN_PAGES, EPOCHS, BATCH, RATE = 900, 7, 30, 0.01
+#: Elements around a block, from the nearest, whose tags and names are its features.
+NEAREST = 12
 #: Blocks that the labeller reads side by side (padded), at most; a longer page is read alone.
 GRID = 1 << 15
 
@@ -62,6 +65,8 @@ class Block(NamedTuple):
 def blocks_of(page: str | None) -> list[Block]:
     """Leaf blocks in page order: path, text with single spaces, and how much of it is linked.
 
+    The whole page is read, to any depth; a path names the elements nearest to the block.
+
     Scripts, styles, titles, templates and frames are skipped to their end tag, to the end
     of the page without one; inside svg, no further than that reaches. ``/>`` ends
     an element only on svg and inside it, as in HTML; the elements of math are inline.
@@ -70,7 +75,8 @@ def blocks_of(page: str | None) -> list[Block]:
     if not page:
         return out
     stack: list[tuple[str, str]] = []
-    path, parts, linked, in_link, at, drawings = "", [], 0, 0, 0, 0
+    open_: Counter[str] = Counter()
+    parts, linked, in_link, at, drawings = [], 0, 0, 0, 0
 
     def end_block() -> None:
         nonlocal linked
@@ -80,14 +86,14 @@ def blocks_of(page: str | None) -> list[Block]:
                 text = html.unescape(text)
             text = " ".join(text.split())
             if text:
-                out.append(Block(path, text, linked))
+                out.append(Block("".join(f">{step}" for _, step in stack[-NEAREST:]), text, linked))
             parts.clear()
         linked = 0
 
     def pop_to(i: int) -> None:
-        nonlocal path
+        for gone, _ in stack[i:]:
+            open_[gone] -= 1
         del stack[i:]
-        path = stack[-1][1] if stack else ""
 
     def svg_at() -> int:
         """Where the innermost svg is in the stack; -1 in none, or in HTML inside it."""
@@ -117,10 +123,11 @@ def blocks_of(page: str | None) -> list[Block]:
             if name in _INLINE:
                 continue
             end_block()
-            for i in range(len(stack) - 1, max(-1, len(stack) - 65), -1):
-                if stack[i][0] == name:
-                    pop_to(i)
-                    break
+            if open_[name]:
+                i = len(stack) - 1
+                while stack[i][0] != name:
+                    i -= 1
+                pop_to(i)
             continue
         if name in _INLINE:
             if name == "a":
@@ -145,8 +152,8 @@ def blocks_of(page: str | None) -> list[Block]:
         drawings += name == "svg"
         if stack and stack[-1][0] == "p" and name not in _PHRASE:
             pop_to(len(stack) - 1)
-        if name in _CLOSES:
-            for i in range(len(stack) - 1, max(-1, len(stack) - 4), -1):
+        if name in _CLOSES and any(open_[t] for t in _CLOSES[name]):
+            for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] in _CLOSES[name]:
                     pop_to(i)
                     break
@@ -157,10 +164,9 @@ def blocks_of(page: str | None) -> list[Block]:
         step = name
         if m[3]:
             words = [w.lower() for a, b, c in _NAMED.findall(m[3]) for w in _PART.findall(a or b or c)]
-            step = ".".join([name, *words[:8]])
-        if len(stack) < 200:
-            path = f"{path}>{step}"
-            stack.append((name, path))
+            step = ".".join([name, *words])
+        stack.append((name, step))
+        open_[name] += 1
     end_block()
     return out
 
@@ -171,8 +177,11 @@ def _bin(token: str) -> int:
 
 
 def path_bins(path: str) -> list[int]:
-    """Bins of a path: its tags, words of classes and ids, and the two nearest elements apart."""
-    steps = path.split(">")[-12:]
+    """Bins of a path: its tags, words of classes and ids, and the two nearest elements apart.
+
+    A path names the ``NEAREST`` elements around a block, however deep it stands.
+    """
+    steps = path.split(">")
     tokens = {t for s in steps for t in [s.split(".")[0] + "!", *s.split(".")[1:]]}
     for i, s in enumerate(reversed(steps[-2:])):
         tokens |= {f"{i}:{t}" for t in s.split(".")}
