@@ -3,27 +3,32 @@
 The automaton reads words, not characters. Training words stream through it and the
 longest match that ends at each word is tracked; where it reaches the window (or all of
 a shorter item), the matched words are hit, and the state names the items that hold the
-window. The automaton goes to the executors by broadcast only while the items' texts are
-within ``MAX_ITEM_BYTES``; more items are dealt into shards of that size, each with an
-automaton of its own, and a document's spans from all shards are united.
+window. The automaton goes to the executors by broadcast, as arrays, only while the items'
+texts are within ``MAX_ITEM_BYTES``: a word takes at most two states and three arcs. More
+items are dealt into shards of about that size, each with an automaton of its own, and a
+document's spans from all shards are united.
 """
 
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm._spark import require, table, written
+from tidemill.llm._spark import require, table, unused, with_columns, written
 from tidemill.llm._text import ALNUM, LOWER, byte_values, hashes, passes, runs, utf8
 
-MAX_ITEM_BYTES = 32 << 20
+MAX_ITEM_BYTES = 2 << 20
 
-FOUND = "n_words long, spans array<struct<first:long,last:long>>, items array<string>"
+#: Columns that a search adds, for the three names it is given.
+FOUND = "`{}` long, `{}` array<struct<first:long,last:long>>, `{}` array<string>"
+NAMES = ("n_words", "spans", "items")
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -42,7 +47,7 @@ class Automaton:
         self.vocabulary, ids = np.unique(h, return_inverse=True)
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.vocabulary >> np.uint64(44)).astype(np.int64)] = True
-        self.next: list[dict[int, int]] = [{}]
+        self.next: list[dict[int, int]] | None = [{}]
         self.link = [-1]
         self.length = [0]
         texts = [ids[a:b].tolist() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
@@ -50,6 +55,25 @@ class Automaton:
             self._add(text)
         self.shortest = min([window, *(len(t) for t in texts if t)])
         self._label([i for i, _ in items], texts)
+        self._pack()
+
+    def _pack(self) -> None:
+        """Arcs as two arrays, ``state * width + word`` and the next state, in place of a table a state."""
+        self.width = len(self.vocabulary) + 1
+        sizes = np.array([len(d) for d in self.next], np.int64)
+        words = np.fromiter((w for d in self.next for w in d), np.int64, int(sizes.sum()))
+        self.keys = np.repeat(np.arange(len(sizes)), sizes) * self.width + words
+        self.targets = np.fromiter((t for d in self.next for t in d.values()), np.int32, int(sizes.sum()))
+        self.next = None
+        self.link, self.length, self.at = (array("i", x) for x in (self.link, self.length, self.at))
+
+    @cached_property
+    def arcs(self) -> dict[int, int]:
+        """The arcs as one table, made where the automaton is used."""
+        return dict(zip(self.keys.tolist(), self.targets.tolist(), strict=True))
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "arcs"}
 
     def _add(self, text: list[int]) -> None:
         follow, link, length = self.next, self.link, self.length
@@ -106,7 +130,12 @@ class Automaton:
                         v = self.next[v][w]
                     own.setdefault(v, []).append((len(text), name))
                 continue
-            for _, v, size in self._walk(text):
+            v = size = 0
+            for w in text:
+                while w not in self.next[v]:
+                    v = self.link[v]
+                    size = self.length[v]
+                v, size = self.next[v][w], size + 1
                 if size >= window:
                     members.setdefault(self.at[v], set()).add(name)
         self.items = {v: sorted(x for x in s if x is not None) for v, s in members.items()}
@@ -116,14 +145,14 @@ class Automaton:
                 self.short[v] = have
 
     def _walk(self, text: list[int]) -> Iterator[tuple[int, int, int]]:
-        follow, link, length = self.next, self.link, self.length
+        arcs, width, link, length = self.arcs, self.width, self.link, self.length
         v = size = 0
         for i, w in enumerate(text):
-            to = follow[v].get(w)
+            to = arcs.get(v * width + w)
             while to is None and v:
                 v = link[v]
                 size = length[v]
-                to = follow[v].get(w)
+                to = arcs.get(v * width + w)
             if to is not None:
                 v, size = to, size + 1
             yield i, v, size
@@ -175,8 +204,8 @@ class Automaton:
         return found
 
 
-def _search(docs: DataFrame, items: DataFrame, window: int, keep: list[str], max_coverage: float | None = None) -> DataFrame:
-    """``docs`` (keep..., text) with FOUND, for items whose texts are within the broadcast's bound.
+def _search(docs: DataFrame, items: DataFrame, window: int, names: tuple[str, str, str], max_coverage: float | None = None) -> DataFrame:
+    """``docs`` with FOUND in columns ``names``, for items whose texts are within the broadcast's bound.
 
     With ``max_coverage``, the same pass cuts the spans out and leaves out what is more
     covered: one Python worker a task, not two.
@@ -190,7 +219,7 @@ def _search(docs: DataFrame, items: DataFrame, window: int, keep: list[str], max
         for batch in batches:
             texts = batch.column("text")
             _, offsets = utf8(texts)
-            counts, spans, names = [], [], []
+            counts, spans, found = [], [], []
             for i, j in passes(offsets):
                 _, _, _, h, first = words_of(texts.slice(i, j - i))
                 hits = automaton.find(automaton.ids(h), first)
@@ -198,17 +227,15 @@ def _search(docs: DataFrame, items: DataFrame, window: int, keep: list[str], max
                 for row in range(j - i):
                     s, have = hits.get(row, ((), ()))
                     spans.append([{"first": a, "last": b} for a, b in s])
-                    names.append(sorted(have))
+                    found.append(sorted(have))
             counts = np.concatenate(counts).astype(np.int64) if counts else np.empty(0, np.int64)
             if max_coverage is not None:
                 yield _cut(batch, spans, counts, max_coverage)
                 continue
-            added = [pa.array(counts), pa.array(spans, spans_type), pa.array(names, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, "n_words", "spans", "items"])
+            added = [pa.array(counts), pa.array(spans, spans_type), pa.array(found, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, *names])
 
-    kept = docs.select(*keep, "text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.mapInArrow(search, schema if max_coverage is not None else f"{schema}, {FOUND}")
+    return docs.mapInArrow(search, docs.schema if max_coverage is not None else with_columns(docs, FOUND.format(*names)))
 
 
 def _cut(batch: pa.RecordBatch, spans: list[list[dict]], counts: np.ndarray, max_coverage: float) -> pa.RecordBatch:
@@ -233,34 +260,39 @@ def _bytes(items: DataFrame) -> int:
     return items.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0]
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = 10, max_item_bytes: int = MAX_ITEM_BYTES) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, window: int = 10, max_item_bytes: int = MAX_ITEM_BYTES, names: tuple[str, str, str] = NAMES) -> DataFrame:
     """Each row of ``docs`` (its columns) with n_words, spans (of words, last included) and items.
 
     ``docs`` has doc_id and text, ``items`` item_id and text. Null texts have no words;
     an item without words is ignored; an item without an id hits words but is not named.
     Repeated documents are rows of their own; an empty table on either side finds nothing.
-    Columns of ``docs`` named like the results are replaced.
+    Columns of ``docs`` named like the results (``names``) are replaced.
     """
     require(docs, ("doc_id", "text"))
     require(items, ("item_id", "text"))
-    keep = [c for c in docs.columns if c not in ("text", "n_words", "spans", "items")]
-    docs = docs.withColumn("text", F.col("text").cast("string"))
+    docs = docs.drop(*names).withColumn("text", F.col("text").cast("string"))
     shards = -(-_bytes(items) // max_item_bytes)
     if shards <= 1:
-        return _search(docs, items, window, keep)
-    rows = written(docs.select(*keep, "text").withColumn("row", F.monotonically_increasing_id()), "decontaminate-rows")
+        return _search(docs, items, window, names)
+    n_words, spans, found = names
+    row = unused(docs, "row")
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "decontaminate-rows")
     parts = None
     for k in range(shards):
         shard = items.where(F.pmod(F.xxhash64(F.col("item_id").cast("string"), "text"), F.lit(shards)) == k)
-        part = written(_search(rows, shard, window, ["row"]).drop("text"), "decontaminate-shard")
+        part = written(_search(rows.select(row, "text"), shard, window, names).drop("text"), "decontaminate-shard")
         parts = part if parts is None else parts.unionByName(part)
-    found = parts.groupBy("row").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    united = parts.groupBy(row).agg(
+        F.max(n_words).alias(n_words),
+        F.array_sort(F.flatten(F.collect_list(spans))).alias(spans),  # one entry a shard
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(found)))).alias(found),
+    )
     # spans are sorted by their first word: join those that touch
-    one = F.expr("""aggregate(spans, cast(array() as array<struct<first:bigint,last:bigint>>), (a, x) ->
+    one = F.expr(f"""aggregate(`{spans}`, cast(array() as array<struct<first:bigint,last:bigint>>), (a, x) ->
         if(size(a) > 0 and element_at(a, -1).last >= x.first - 1,
            concat(slice(a, 1, size(a) - 1), array(named_struct('first', element_at(a, -1).first, 'last', greatest(element_at(a, -1).last, x.last)))),
            concat(a, array(x))))""")
-    return rows.join(found.withColumn("spans", one), "row").select(*keep, "text", "n_words", "spans", "items")
+    return rows.join(united.withColumn(spans, one), row).drop(row)
 
 
 def n_hit() -> Column:
@@ -271,27 +303,29 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, max_cover
     """``docs`` without benchmark passages, in its own columns.
 
     Hit spans are cut out of the text (and n_chars, if there, counted anew); a document
-    of which more than ``max_coverage`` is hit goes as a whole. Others stay as they are.
+    of which more than ``max_coverage`` is hit goes as a whole. Others stay as they are,
+    null and empty texts among them; repeated rows are rows of their own, and no other
+    column is touched, whatever its name. An empty table on either side changes nothing.
     """
-    names = docs.columns
     require(docs, ("doc_id", "text"))
     require(items, ("item_id", "text"))
     docs = docs.withColumn("text", F.col("text").cast("string"))
     if _bytes(items) <= max_item_bytes:
-        clean = _search(docs, items, window, [c for c in names if c != "text"], max_coverage)
+        clean = _search(docs, items, window, NAMES, max_coverage)
     else:
-        found = contamination(docs, items, window, max_item_bytes)
+        names = tuple(unused(docs, n) for n in NAMES)
+        found = contamination(docs, items, window, max_item_bytes, names)
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rest = batch.select([n for n in batch.schema.names if n not in ("n_words", "spans", "items")])
-                yield _cut(rest, batch.column("spans").to_pylist(), batch.column("n_words").to_numpy(), max_coverage)
-
-        kept = found.drop("n_words", "spans", "items")
-        clean = found.mapInArrow(cut, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema))
-    if "n_chars" in names:
-        clean = clean.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return clean.select(*names)
+                rest = batch.select([n for n in batch.schema.names if n not in names])
+                yield _cut(rest, batch.column(names[1]).to_pylist(), batch.column(names[0]).to_numpy(), max_coverage)
+
+        clean = found.mapInArrow(cut, found.drop(*names).schema)
+    if "n_chars" in docs.columns:
+        kind = dict(docs.dtypes)["n_chars"]
+        clean = clean.withColumn("n_chars", F.when(F.col("n_chars").isNotNull() & F.col("text").isNotNull(), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return clean.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
