@@ -1,31 +1,36 @@
-"""Similarity join on word shingles: MinHash banding with exact verification.
+"""Similarity join on word shingles: a MinHash LSH forest with exact verification.
 
 1. Every text gets the hash of its word sequence, its number of distinct shingles and a
    MinHash signature of ``trees * depth`` values. Texts with equal words are one class.
-2. Of each tree's ``depth`` values the first p are a band, p being the largest at which
-   ``1 - (1 - J^p)^trees`` reaches the target recall at the threshold; classes that share
-   a band are one bucket. No trie is sorted, and p does not depend on what matched.
-3. Within buckets all pairs of whole signatures are compared, in blocks, and those that
-   may reach the threshold are joined; only a spanning forest of them leaves a task.
-   Its components hold every candidate pair.
+2. The ``depth`` values of each tree are a path in a trie of all classes. Tries are not
+   stored: sorted signatures are one, with the length of the prefix that neighbours
+   share. A subtree that may hold a wanted pair, that below the shortest useful prefix,
+   is dealt as a whole; a large one in blocks.
+3. Subtrees are climbed from whole paths to ever shorter prefixes: at each length, classes
+   that meet there for the first time are compared by their whole signatures, unless they
+   are joined already. How far a class climbs depends on it: until a partner as unlike as
+   its size allows would have been met with the target recall. Only a spanning forest of
+   the pairs that may reach the threshold leaves a task; its components hold every
+   candidate pair.
 4. Within components the shingle sets of all pairs are intersected exactly, in blocks.
    What leaves a task is the number of links of each class and a spanning forest of the
    links; the components of that are the groups.
 
-Pairs are counted inside blocks of bounded size and never emitted. Large buckets and
+Pairs are counted inside blocks of bounded size and never emitted. Large subtrees and
 components are dealt into blocks by hash, and each pair of blocks is a task of its own.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm._spark import dropped, require, table, written
+from tidemill.llm._spark import HEAVY, dropped, require, skew_join, table, unused, written
 from tidemill.llm._text import ALNUM, LOWER, byte_values, grams, hashes, mix, passes, runs, utf8
 
 SHINGLE = 5
@@ -33,21 +38,45 @@ THRESHOLD = 0.8
 TREES = 24
 DEPTH = 8
 RECALL = 0.9999
-#: Classes that one side of a block holds.
-BLOCK = 256
+#: Classes that one side of a block holds, and bytes of their shingles.
+BLOCK = 1024
+BLOCK_BYTES = 8 << 20
 #: A pair is verified if this share of the threshold or more is estimated; at 192 values
 #: a pair at the threshold falls below it once in some 10^12 cases.
 SLACK = 0.7
 
-SIGNED = "doc_id long, seq_a long, seq_b long, n_shingles long, signature binary"
+SIGNED = "doc_id long, text_key long, seq_a long, seq_b long, n_shingles long, signature binary"
 
 
-def prefix_length(threshold: float, trees: int, depth: int, recall: float) -> int:
-    """The longest prefix at which a pair at the threshold meets in some tree often enough."""
-    for p in range(depth, 1, -1):
-        if 1 - (1 - threshold**p) ** trees >= recall:
-            return p
-    return 1
+def met(similarity: float, prefix: int, trees: int) -> float:
+    """How likely a pair shares a prefix of that length in some tree."""
+    return 1 - (1 - similarity**prefix) ** trees
+
+
+def prefix_length(similarity: float, trees: int, depth: int, recall: float) -> int:
+    """The prefix at which shortening may stop: the longest at which such a pair is met often enough."""
+    p = depth
+    while p > 1 and met(similarity, p, trees) < recall:
+        p -= 1
+    return p
+
+
+def least_similarity(n: int, threshold: float) -> float:
+    """The smallest similarity from the threshold on that a set of n shingles can have with any other."""
+    share = round(threshold * 1_000_000)
+    least = 1.0
+    for both in range(1, n + 1):
+        # the largest other set that still reaches the threshold with so many in common
+        other = both * 1_000_000 // share - n + both
+        if other >= both:
+            least = min(least, both / (n + other - both))
+    return least
+
+
+@lru_cache(maxsize=8)
+def prefixes_by_size(threshold: float, trees: int, depth: int, recall: float) -> np.ndarray:
+    """For each number of shingles the prefix at which shortening stops; the last entry is for all larger ones."""
+    return np.array([depth] + [prefix_length(least_similarity(n, threshold), trees, depth, recall) for n in range(1, 65)] + [prefix_length(threshold, trees, depth, recall)])
 
 
 def shingles(texts: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -116,7 +145,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h, where, a, b = shingles(batch.column(1).slice(i, j - i))
             s = signatures(h, where)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(i, j - i), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(distinct(h, where)), pa.array([x.tobytes() for x in s], pa.binary())],
+                [batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(distinct(h, where)), pa.array([x.tobytes() for x in s], pa.binary())],
                 names=[x.split(" ")[0] for x in SIGNED.split(", ")],
             )
 
@@ -175,39 +204,82 @@ def _segments(table_: pa.Table, keys: int) -> np.ndarray:
     return np.append(np.flatnonzero(change), table_.num_rows)
 
 
-def _candidates(threshold: float):
-    """Spanning forests of the pairs in each block of a bucket whose estimate is near the threshold."""
+def climb(paths: np.ndarray, stop: np.ndarray, side: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Components of the near pairs of one subtree: for each row the smallest row of its own.
+
+    ``paths`` are sorted rows of a trie below one prefix (what follows it), ``stop`` is how
+    many of those values a row wants to share at least, ``near(i, others)`` tells which of
+    the others are near row i. Rows of side 0 meet those of side 1 only, if there are any.
+    From whole paths to ever shorter prefixes, rows that share one are compared unless they
+    shared a longer one or are joined already.
+    """
+    n, depth = paths.shape
+    label = np.arange(n)
+    two = (side == 1).any()
+    shared = np.full(n + 1, -1)
+    shared[1:-1] = np.where((paths[1:] != paths[:-1]).any(1), (paths[1:] != paths[:-1]).argmax(1), depth)
+    for length in range(depth, -1, -1):
+        if not label.any():
+            break
+        edges = np.flatnonzero(shared < length)
+        # rows that have shared a longer prefix are neighbours: the end of their run
+        longer = np.flatnonzero(shared < length + 1)
+        run_end = np.repeat(longer[1:], np.diff(longer))
+        wanted = stop <= length
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if b - a < 2 or not wanted[a:b].any():
+                continue
+            for i in range(a, b):
+                others = np.arange(run_end[i], b)
+                others = others[label[others] != label[i]]
+                if two:
+                    others = others[side[others] != side[i]]
+                if not wanted[i]:
+                    others = others[wanted[others]]
+                if not len(others):
+                    continue
+                found = others[near(i, others)]
+                if len(found):
+                    all_ = np.unique(np.append(label[found], label[i]))
+                    label[np.isin(label, all_)] = all_[0]
+    return label
+
+
+def _candidates(threshold: float, trees: int, depth: int, recall: float):
+    """Spanning forests of the pairs in each block of a subtree whose estimate is near the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_size = prefixes_by_size(threshold, trees, depth, recall)
+        shortest = int(by_size.min())
         for group in _groups(batches, 3):
             ids = group.column("node").to_numpy()
             side = group.column("side").to_numpy()
             sizes = group.column("n_shingles").to_numpy()
             sig = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint32).reshape(len(ids), -1)
+            path = np.frombuffer(b"".join(group.column("path").to_pylist()), ">u4").reshape(len(ids), -1)
+            stop = by_size[np.minimum(sizes, len(by_size) - 1)] - shortest
             least = threshold * SLACK * sig.shape[1]
+
+            def near(i: int, others: np.ndarray) -> np.ndarray:
+                fit = np.minimum(sizes[others], sizes[i]) >= threshold * np.maximum(sizes[others], sizes[i])
+                fit[fit] = (sig[others[fit]] == sig[i]).sum(1) >= least
+                return fit
+
             edge = _segments(group, 3)
             a_out, b_out = [], []
             width = np.diff(edge)
-            # buckets of two, the usual case, all at once
+            # subtrees of two, the usual case, all at once
             two = edge[:-1][width == 2]
             if len(two):
-                near = (sig[two] == sig[two + 1]).sum(1) >= least
-                near &= np.minimum(sizes[two], sizes[two + 1]) >= threshold * np.maximum(sizes[two], sizes[two + 1])
-                a_out.append(ids[two[near]])
-                b_out.append(ids[two[near] + 1])
+                close = (sig[two] == sig[two + 1]).sum(1) >= least
+                close &= np.minimum(sizes[two], sizes[two + 1]) >= threshold * np.maximum(sizes[two], sizes[two + 1])
+                a_out.append(ids[two[close]])
+                b_out.append(ids[two[close] + 1])
             for s, e in zip(edge[:-1][width > 2].tolist(), edge[1:][width > 2].tolist(), strict=True):
-                forest = Forest(e - s)
-                left = np.flatnonzero(side[s:e] != 1)
-                right = np.flatnonzero(side[s:e] != 0) if (side[s:e] == 1).any() else left
-                for i in left.tolist():
-                    other = right[right > i] if right is left else right
-                    fit = np.minimum(sizes[s + other], sizes[s + i]) >= threshold * np.maximum(sizes[s + other], sizes[s + i])
-                    other = other[fit]
-                    near = other[(sig[s + other] == sig[s + i]).sum(1) >= least]
-                    forest.join(np.full(len(near), i), near)
-                moved, root = forest.edges()
+                label = climb(path[s:e], stop[s:e], side[s:e], lambda i, others, s=s: near(s + i, s + others))
+                moved = np.flatnonzero(label != np.arange(e - s))
                 a_out.append(ids[s + moved])
-                b_out.append(ids[s + root])
+                b_out.append(ids[s + label[moved]])
             a = np.concatenate(a_out) if a_out else np.empty(0, np.int64)
             b = np.concatenate(b_out) if b_out else np.empty(0, np.int64)
             pairs = np.unique(np.column_stack([np.maximum(a, b), np.minimum(a, b)]), axis=0)
@@ -285,20 +357,24 @@ def components(edges: DataFrame) -> DataFrame:
     """
     pairs = edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     pairs = written(pairs, "components")
-    before = None
+    before, n = None, pairs.count()
     while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("degree"))
         # to the smallest of the neighbourhood go all larger neighbours of each node
-        large = both.where(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = skew_join(both.where(F.col("v") > F.col("u")), low, ["u"], F.col("degree") > F.lit(2 * n * HEAVY))
+        large = large.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = written(large, "components-large")
+        n = large.count()
         dropped(pairs)
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree"))
         # and all smaller neighbours, with the node itself
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        small = skew_join(large, low, ["u"], F.col("degree") > F.lit(n * HEAVY)).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         pairs = written(small, "components-small")
         dropped(large)
         now = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        n = now[0]
         if now == before:
             break
         before = now
@@ -308,16 +384,15 @@ def components(edges: DataFrame) -> DataFrame:
     return found
 
 
-def _blocks(rows: DataFrame, key: str, size: str) -> DataFrame:
-    """Rows dealt into blocks of about BLOCK by hash, once for each pair of blocks that they are in."""
-    n = F.ceil(F.col(size) / F.lit(BLOCK)).cast("int")
-    dealt = rows.withColumn("n_blocks", n).withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
+def _blocks(rows: DataFrame, key: str, n_blocks: Column) -> DataFrame:
+    """Rows dealt into blocks by hash, once for each pair of blocks that they are in."""
+    dealt = rows.withColumn("n_blocks", n_blocks.cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
     pairs = dealt.withColumn("other", other)
     low, high = F.least("block", "other"), F.greatest("block", "other")
     # side 0: of the lower block, 1: of the higher, 2: of a block that meets itself
     side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
-    return pairs.select(F.col(key).alias("key"), low.alias("low"), high.alias("high"), side.cast("int").alias("side"), *(c for c in rows.columns if c not in (key, size)))
+    return pairs.select(F.col(key).alias("key"), low.alias("low"), high.alias("high"), side.cast("int").alias("side"), *(c for c in rows.columns if c != key))
 
 
 def similarity_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -327,47 +402,54 @@ def similarity_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     that of all documents linked to it through any chain of links, and ``n_links`` the
     number of other documents whose shingles have a Jaccard similarity of ``threshold``
     or more with this one's, copies counted each. Texts without words (null, empty) have
-    no shingles and no links: each is its own class. Rows that repeat a doc_id count as
-    copies if their texts are equal and are joined in one class otherwise. Rows with a
-    null doc_id take no part in links and keep null ids. An empty table gives no rows,
-    other columns are ignored.
+    no shingles and no links: each is its own class. Rows that repeat a doc_id are
+    documents of their own, by their texts. Rows with a null doc_id take no part in links
+    and keep null ids. An empty table gives no rows, other columns are ignored.
     """
-    return _similarity_join(docs, threshold, recall)[0]
+    found, _ = _similarity_join(docs, threshold, recall)
+    return found.select("doc_id", "copy_of", "class_id", "n_links", "group_size")
 
 
 def _similarity_join(docs: DataFrame, threshold: float, recall: float) -> tuple[DataFrame, list[DataFrame]]:
-    """The result of ``similarity_join``, and the tables that it reads."""
+    """The result of ``similarity_join`` with text_key and the group's first row, and the tables that it reads."""
     require(docs, ("doc_id", "text"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
     signed = written(rows.mapInArrow(_sign, SIGNED), "neardup-signed")
     live = signed.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    classes = live.groupBy("seq_a", "seq_b").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"))
-    classes = written(classes, "neardup-classes")
-    holders = live.withColumnRenamed("doc_id", "node").join(classes, ["seq_a", "seq_b", "node"]).dropDuplicates(["node"]).select("node", "n_shingles", "signature", "copies")
-    holders = written(holders, "neardup-holders")
+    # texts with equal words have equal signatures: any will do
+    first = F.min(F.struct("doc_id", "text_key")).alias("first")
+    classes = live.groupBy("seq_a", "seq_b").agg(first, F.count(F.lit(1)).alias("copies"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("signature").alias("signature"))
+    holders = written(classes.withColumn("node", F.monotonically_increasing_id()), "neardup-holders")
 
-    depth = prefix_length(threshold, TREES, DEPTH, recall)
+    shortest = int(prefixes_by_size(threshold, TREES, DEPTH, recall).min())
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(batch.num_rows, TREES, DEPTH)[:, :, :depth].astype(np.uint64)
+            sig = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(batch.num_rows, TREES, DEPTH)
             key = np.zeros((batch.num_rows, TREES), np.uint64)
-            for d in range(depth):
-                key = mix(key ^ sig[:, :, d] + np.arange(TREES, dtype=np.uint64)[None, :] * np.uint64(1 << 32))
-            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(np.repeat(batch.column("node").to_numpy(), TREES))], names=["key", "node"])
-
-    entries = written(holders.select("node", "signature").mapInArrow(keys, "key long, node long"), "neardup-keys")
-    buckets = entries.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    met = entries.join(buckets, "key").join(holders.select("node", "n_shingles", "signature"), "node")
-    near = _blocks(met, "key", "size").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    near = near.select("key", "low", "high", "side", "node", "n_shingles", "signature")
-    coarse = written(near.mapInArrow(_candidates(threshold), "u long, v long").distinct(), "neardup-candidates")
+            for d in range(shortest):
+                key = mix(key ^ sig[:, :, d].astype(np.uint64) + np.arange(TREES, dtype=np.uint64)[None, :] * np.uint64(1 << 32))
+            rest = sig[:, :, shortest:].astype(">u4").reshape(batch.num_rows * TREES, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(np.repeat(batch.column("node").to_numpy(), TREES)), pa.array([x.tobytes() for x in rest], pa.binary())], names=["key", "node", "path"])
+
+    entries = written(holders.select("node", "signature").mapInArrow(keys, "key long, node long, path binary"), "neardup-keys")
+    subtrees = entries.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    met_ = skew_join(entries, subtrees, ["key"], F.col("size") > F.lit(entries.count() * HEAVY)).join(holders.select("node", "n_shingles", "signature"), "node")
+    near = _blocks(met_, "key", F.ceil(F.col("size") / F.lit(BLOCK)))
+    near = near.select("key", "low", "high", "side", "node", "n_shingles", "path", "signature")
+    near = near.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "path")
+    coarse = written(near.mapInArrow(_candidates(threshold, TREES, DEPTH, recall), "u long, v long").distinct(), "neardup-candidates")
     dropped(entries)
     found = components(coarse)
-    member = written(found.join(found.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "root").join(holders.select("node", "copies"), "node"), "neardup-members")
-    dropped(coarse, found, holders)
+    sized = found.join(holders.select("node", "copies", "n_shingles"), "node")
+    totals = sized.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.sum("n_shingles").alias("shingles"))
+    n_blocks = F.ceil(F.greatest(F.col("size") / F.lit(BLOCK), F.col("shingles") * 8 / F.lit(BLOCK_BYTES)))
+    total = found.count()
+    member = skew_join(sized.select("root", "node", "copies"), totals.withColumn("n_blocks", n_blocks), ["root"], F.col("size") > F.lit(total * HEAVY))
+    member = written(member.select("root", "node", "copies", "n_blocks"), "neardup-members")
+    dropped(coarse, found)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -380,39 +462,55 @@ def _similarity_join(docs: DataFrame, threshold: float, recall: float) -> tuple[
             names = [n for n in batch.schema.names if n != "text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(out, pa.binary())], names=[*names, "shingles"])
 
-    texts = rows.withColumnRenamed("doc_id", "node").join(member, "node")
-    full = written(texts.select("root", "node", "size", "copies", "text").mapInArrow(sets, "root long, node long, size long, copies long, shingles binary"), "neardup-sets")
-    dealt = _blocks(full, "root", "size").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    # the text of one row of each class; rows that repeat both id and text are one
+    wanted = holders.select("node", "first.doc_id", "first.text_key").join(member, "node")
+    texts = rows.join(wanted, ["doc_id", "text_key"])
+    full = texts.select("root", "node", "n_blocks", "copies", "text").mapInArrow(sets, "root long, node long, n_blocks long, copies long, shingles binary")
+    full = written(full, "neardup-sets")
+    dealt = _blocks(full, "root", F.col("n_blocks")).repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
     verified = dealt.select("key", "low", "high", "side", "node", "copies", "shingles").mapInArrow(_links(threshold), "u long, v long, n long")
     verified = written(verified, "neardup-links")
     dropped(full, member)
     links = verified.groupBy("u").agg(F.sum("n").alias("others"))
     groups = components(verified.select("u", "v"))
 
-    named = classes.join(links.withColumnRenamed("u", "node"), "node", "left").join(groups, "node", "left")
-    named = named.select("seq_a", "seq_b", "node", F.coalesce("root", "node").alias("root"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies")
-    named = named.join(named.groupBy("root").agg(F.sum("copies").alias("group_size")), "root")
+    named = holders.select("seq_a", "seq_b", "node", "first", "copies").join(links.withColumnRenamed("u", "node"), "node", "left").join(groups, "node", "left")
+    named = named.select("seq_a", "seq_b", "first", F.coalesce("root", "node").alias("root"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies")
+    whole = named.groupBy("root").agg(F.sum("copies").alias("group_size"), F.min("first").alias("group_first"), F.count(F.lit(1)).alias("classes"))
+    named = skew_join(named, whole, ["root"], F.col("classes") > F.lit(holders.count() * HEAVY))
     named = written(named, "neardup-named")
-    dropped(verified, groups, classes)
+    dropped(verified, groups, holders)
     lone = signed.where(F.col("doc_id").isNull() | (F.col("n_shingles") == 0))
-    lone = lone.select("doc_id", F.col("doc_id").alias("copy_of"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("group_size"))
-    found = live.select("doc_id", "seq_a", "seq_b").join(named, ["seq_a", "seq_b"])
-    return found.select("doc_id", F.col("node").alias("copy_of"), F.col("root").alias("class_id"), "n_links", "group_size").unionByName(lone), [signed, named]
+    own = F.struct("doc_id", "text_key")
+    lone = lone.select("doc_id", "text_key", F.col("doc_id").alias("copy_of"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("group_size"), own.alias("group_first"))
+    linked = skew_join(live.select("doc_id", "text_key", "seq_a", "seq_b"), named, ["seq_a", "seq_b"], F.col("copies") > F.lit(signed.count() * HEAVY))
+    linked = linked.select("doc_id", "text_key", F.col("first.doc_id").alias("copy_of"), F.col("group_first.doc_id").alias("class_id"), "n_links", "group_size", "group_first")
+    return linked.unionByName(lone), [signed, named]
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` in its own columns with one document of each group: that with the smallest doc_id.
 
-    Of rows that repeat that doc_id one stays; rows with a null doc_id all stay.
+    Of rows that repeat that doc_id with texts of one group, the text whose hash is the
+    smallest stays; different texts that are not near copies all stay, whatever their
+    ids. Of rows that repeat both doc_id and text one stays, that whose other columns come
+    first in order. Rows with a null doc_id all stay, as do texts without words under an id
+    of their own. Empty tables stay empty; no column is touched, whatever its name.
     """
     found, read = _similarity_join(docs, THRESHOLD, RECALL)
-    gone = written(found.where(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct(), "neardup-gone")
+    key, number = unused(docs, "text_key"), unused(docs, "doc_id")
+    other = F.struct("doc_id", "text_key") != F.col("group_first")
+    gone = written(found.where(F.col("doc_id").isNotNull() & other).select(F.col("doc_id").alias(number), F.col("text_key").alias(key)).distinct(), "neardup-gone")
     dropped(*read)
-    rest = docs.join(gone, "doc_id", "left_anti")
-    again = rest.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).collect()
+    keyed = docs.withColumn(number, F.col("doc_id").cast("long")).withColumn(key, F.xxhash64(F.col("text").cast("string")))
+    rest = keyed.join(gone, [number, key], "left_anti")
+    again = rest.groupBy(number, key).count().where(F.col(number).isNotNull() & (F.col("count") > 1)).limit(1).collect()
+    own = [F.col(f"`{c}`") for c in docs.columns]
     if not again:
-        return rest
-    return rest.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(rest.where(F.col("doc_id").isNull()))
+        return rest.select(*own)
+    named = rest.where(F.col(number).isNotNull())
+    once = named.groupBy(number, key).agg(F.min(F.struct(*own)).alias("row")).select("row.*")
+    return once.unionByName(rest.where(F.col(number).isNull()).select(*own))
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
