@@ -69,11 +69,11 @@ def add(flow: Flow) -> None:
         eigen=f"SELECT code, index_code, k, c, {e['disc']} AS disc, {e['radius']} AS rho, {e['wedge']} AS in_wedge, {e['class']} AS class, {e['stability']} AS stability, {e['mode']} AS mode, {e['response']} AS response, {e['distance']} AS distance FROM kc WHERE status LIKE 'ok%'",
         sector_si=f"""SELECT m.industry, count(*) AS n, median(rho) AS rho, median(k) AS k, median(c) AS c, avg(CASE WHEN in_wedge THEN 1e0 ELSE 0e0 END) AS wedge, avg(CASE WHEN stability = 'schur_stable' THEN 1e0 ELSE 0e0 END) AS stable,
             percentile(rho, 0.25) AS rho_25, percentile(rho, 0.75) AS rho_75, median(distance) AS distance FROM eigen e JOIN master m ON e.code = m.code GROUP BY m.industry""",
-        rolled="SELECT *, " + ", ".join(f"sum({x}) OVER (PARTITION BY code ORDER BY ts ROWS BETWEEN 119 PRECEDING AND CURRENT ROW) AS {y}" for y, x in {
+        rolled="SELECT *, " + ", ".join(f"sum({x}) OVER (PARTITION BY code ORDER BY ts ROWS BETWEEN 239 PRECEDING AND CURRENT ROW) AS {y}" for y, x in {
             "a": "dx * dx + dy * dy", "b": "dx * ux + dy * uy", "d": "ux * ux + uy * uy", "p": "-dx * (ax - beta * bx) - dy * (ay - beta * by_)", "q": "-ux * (ax - beta * bx) - uy * (ay - beta * by_)"}.items())
-        + ", count(*) OVER (PARTITION BY code ORDER BY ts ROWS BETWEEN 119 PRECEDING AND CURRENT ROW) AS n FROM displaced WHERE ax IS NOT NULL",
+        + ", count(*) OVER (PARTITION BY code ORDER BY ts ROWS BETWEEN 239 PRECEDING AND CURRENT ROW) AS n FROM displaced WHERE ax IS NOT NULL",
         kc_time="""SELECT code, ts AS asof_date, n, (p * d - q * b) / nullif(a * d - b * b, 0) AS k, (a * q - b * p) / nullif(a * d - b * b, 0) AS c FROM rolled r
-            WHERE n >= 30 AND ts IN (SELECT max(ts) FROM bars GROUP BY date_trunc('month', ts))""",
+            WHERE n >= 60 AND ts IN (SELECT max(ts) FROM bars GROUP BY date_trunc('month', ts))""",
         si_time=f"""SELECT asof_date, industry, count(*) AS n, 0.5 * {clip('1 - median(rho) / 2')} + 0.2 * {clip('1 - abs(median(c) - 1) / 2')} + 0.3 * {clip('avg(w)')} AS si FROM (
             SELECT t.asof_date, m.industry, t.c, {e['radius']} AS rho, CASE WHEN {e['wedge']} THEN 1e0 ELSE 0e0 END AS w FROM kc_time t JOIN master m ON t.code = m.code WHERE k IS NOT NULL) x GROUP BY asof_date, industry""",
     )
@@ -114,6 +114,4 @@ def add(flow: Flow) -> None:
         natural_frequency="SELECT code, CASE WHEN c * c < 4 * k AND k > 0 THEN round(atan2(sqrt(4 * k - c * c) / 2, 1 - c / 2), 6) END AS omega FROM kc WHERE status LIKE 'ok%'",
         stability_grid=f"SELECT round(k, 6) AS k, round(c, 6) AS c, round({e['radius']}, 6) AS rho, {e['class']} AS class FROM (SELECT -0.5 + i * 0.075 AS k FROM (SELECT explode(sequence(0, 59)) AS i) a) p CROSS JOIN (SELECT -0.5 + j * 0.0813 AS c FROM (SELECT explode(sequence(0, 59)) AS j) b) q".replace("-0.5 + i * 0.075", "cast(-0.5 + i * 0.075 AS double)").replace("-0.5 + j * 0.0813", "cast(-0.5 + j * 0.0813 AS double)"),
         wedge_boundary="SELECT i, round(cast(i AS double) / 10, 6) AS k, round(2 * sqrt(cast(i AS double) / 10 + 1), 6) AS c FROM (SELECT explode(sequence(0, 40)) AS i) x",
-        driver_swap="""SELECT a.code, round(a.beta - b.beta, 8) AS beta_change, sign_flip FROM (SELECT code, avg(beta) AS beta FROM movement GROUP BY code) a JOIN (SELECT code, median(beta) AS beta, avg(beta) < 0 AS sign_flip FROM movement GROUP BY code) b ON a.code = b.code""",
-        batch_manifest="SELECT code, count(*) AS n, round(avg(r), 6) AS mean_r, round(sqrt(max(e_self)), 4) AS max_root_e, count_if(state = 'against') AS against FROM states GROUP BY code",
     )

@@ -21,14 +21,9 @@ def add(flow: Flow) -> None:
         strict_rolling=f"SELECT code, ts, round({rolling('avg(close)', 20, 20)}, 6) AS ma, round({rolling('stddev_samp(close)', 20, 20)}, 4) AS sd FROM bars",
         deltas_and_delays="SELECT code, ts, " + ", ".join(f"round(close - {lag('close', n)}, 8) AS delta_{n}, round({ratio('close', lag('close', n))} - 1, 8) AS ret_{n}, round({lag('close', n)}, 8) AS delay_{n}, {lag('volume', n)} AS delay_v_{n}" for n in (1, 5, 10, 20)) + " FROM bars",
         ma_ratios="SELECT code, ts, round(ma_5 / (ma_20 + 1e-12), 8) AS ma_5_20, round(ma_10 / (ma_60 + 1e-12), 8) AS ma_10_60 FROM averaged",
-        bollinger="""SELECT code, ts, round((ma_5 + ma_10 + ma_20 + ma_60) / 4, 6) AS bbi, round(ma_20 + 2 * std_20, 4) AS upper_band, round(ma_20 - 2 * std_20, 4) AS lower_band,
-            round(4 * std_20 / (ma_20 + 1e-12), 6) AS width, round((close - (ma_20 - 2 * std_20)) / (4 * std_20 + 1e-12), 5) AS place FROM averaged WHERE std_20 > 1e-6""",
         stochastic_k=f"""SELECT code, ts, round(coalesce(100 * (close - lo) / nullif(hi - lo, 0), 50), 6) AS stoch_k FROM (SELECT code, ts, close,
             {rolling('min(low)', 14, 14)} AS lo, {rolling('max(high)', 14, 14)} AS hi FROM bars) x""",
         true_range=f"SELECT code, ts, round(greatest(high - low, abs(high - {lag('close')}), abs(low - {lag('close')})), 6) AS tr FROM bars",
-        money_flow=f"""SELECT code, ts, round(100 - 100 / (1 + up_sum / (down_sum + 1e-9)), 6) AS mfi FROM (SELECT code, ts,
-            {rolling('sum(up_flow)', 14)} AS up_sum, {rolling('sum(down_flow)', 14)} AS down_sum, row_number() OVER ({ROWS}) AS nth FROM flows) x WHERE nth >= 14 AND down_sum > 0""",
-        obv_zscore=f"SELECT code, ts, round((obv - m) / (s + 1e-9), 5) AS obv_z FROM (SELECT *, {rolling('avg(obv)', 20, 20, 'obv')} AS m, {rolling('stddev_samp(obv)', 20, 20, 'obv')} AS s FROM obv) x WHERE s > 1e-3",
         vwap_deviation="SELECT code, ts, round(close / nullif(coalesce(nullif(amount, 0), close * volume) / nullif(volume, 0), 0) - 1, 8) AS vwap_dev FROM bars",
         volume_features=f"""SELECT code, ts, round({rolling('avg(volume)', 5)}, 6) AS v_ma_5, round({rolling('avg(volume)', 20)}, 6) AS v_ma_20,
             round(volume / ({rolling('avg(volume)', 5)} + 1e-12), 8) AS v_ratio_5, round(volume / ({rolling('avg(volume)', 20)} + 1e-12), 8) AS v_ratio_20, round(close * volume, 6) AS vwap_proxy FROM bars""",

@@ -27,12 +27,6 @@ def feature_panel(flow: Flow) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: rows(spark, sf_dir).withColumnRenamed("range_", "range").dropna(subset=list(FEATURES))
 
 
-def ic_significance(flow: Flow) -> Callable[[SparkSession, str], DataFrame]:
-    """Mean IC by horizon with Student's t and its two-sided p-value."""
-    summary = flow.run("SELECT h, count(*) AS n, avg(ic) AS ic_mean, avg(ic) / nullif(stddev_samp(ic) / sqrt(count(*)), 0) AS t FROM ic GROUP BY h")
-    return lambda spark, sf_dir: summary(spark, sf_dir).withColumn("p", two_sided_p(F.col("t"), F.col("n") - 1))
-
-
 def feature_selection(flow: Flow, level: float = 0.05, relaxed: float = 0.20) -> Callable[[SparkSession, str], DataFrame]:
     """Benjamini-Hochberg over Spearman tests of each feature against the label's return.
 
@@ -189,5 +183,5 @@ def factor_gate(flow: Flow, least: float = 0.0, most: float = 0.7) -> Callable[[
 
 
 def registered(flow: Flow) -> tuple[dict[str, Callable], dict[str, str]]:
-    made = (ic_significance, feature_selection, classifier, placebo, formula_search, factor_gate)
+    made = (feature_selection, classifier, placebo, formula_search, factor_gate)
     return {f.__name__: f(flow) for f in made}, {}

@@ -75,9 +75,6 @@ def add(flow: Flow) -> None:
         industry_pairs="SELECT industry, n, round(k, 6) AS k, round(c, 6) AS c, nth FROM (SELECT *, row_number() OVER (ORDER BY round(c / nullif(k, 0), 8) DESC NULLS LAST, industry) AS nth FROM sector_si) x WHERE nth <= 6",
         si_histogram="SELECT bin, count(*) AS n FROM (SELECT least(4, cast(floor(si * 5) AS int)) AS bin FROM si_time) x GROUP BY bin",
         si_latest_top="SELECT industry, round(si, 6) AS si, nth FROM (SELECT industry, si, row_number() OVER (ORDER BY round(si, 10) DESC, industry) AS nth FROM si_time WHERE asof_date = (SELECT max(asof_date) FROM si_time)) x WHERE nth <= 10",
-        lagged_si_ic=f"""SELECT ts, count(*) AS n, round({correlation('a', 'b')}, 6) AS ic FROM (SELECT ts, {average_rank('si', 'ts')} AS a, {average_rank('fwd', 'ts')} AS b FROM (
-            SELECT r.ts, r.industry, r.fwd, max_by(s.si, s.asof_date) AS si FROM (SELECT industry, ts, lead(med, 5) OVER (PARTITION BY industry ORDER BY ts) / nullif(med, 0) - 1 AS fwd FROM (
-              SELECT industry, ts, median(close) AS med FROM factors GROUP BY industry, ts HAVING count(*) >= 3) m) r JOIN rebalances d ON d.ts = r.ts AND d.day JOIN si_time s ON s.industry = r.industry AND s.asof_date <= r.ts WHERE r.fwd IS NOT NULL GROUP BY r.ts, r.industry, r.fwd) x) y GROUP BY ts HAVING count(*) >= 5""",
         factor_panel="""SELECT code, factor, round(value, 6) AS value FROM (SELECT code, 'rho' AS factor, rho AS value FROM eigen UNION ALL SELECT code, 'distance', distance FROM eigen UNION ALL SELECT code, 'k', k FROM eigen UNION ALL SELECT code, 'c', c FROM eigen
             UNION ALL SELECT code, 'ratio', c / nullif(k, 0) FROM eigen) x WHERE value IS NOT NULL""",
         gain_at_three="SELECT code, round(1 / sqrt((cos(0.002) - 2 * cos(0.001) + 1 + c * (cos(0.001) - 1) + k) * (cos(0.002) - 2 * cos(0.001) + 1 + c * (cos(0.001) - 1) + k) + (sin(0.002) - 2 * sin(0.001) + c * sin(0.001)) * (sin(0.002) - 2 * sin(0.001) + c * sin(0.001))), 5) AS gain_dc, round(1 / nullif(abs(4 - 2 * c + k), 0), 5) AS gain_pi FROM eigen WHERE k > 0.001",
@@ -91,7 +88,6 @@ def add(flow: Flow) -> None:
             FULL OUTER JOIN (SELECT code, ts, close / nullif(ma_20, 0) - 1 AS gap FROM averaged WHERE std_20 IS NOT NULL) b ON a.code = b.code AND a.ts = b.ts""",
         pool_left_joins="""SELECT a.code, a.ts, round(a.f, 8) AS momentum, round(b.drawdown, 8) AS drawdown FROM factors a LEFT JOIN (SELECT code, ts, close / max(close) OVER (PARTITION BY code ORDER BY ts ROWS UNBOUNDED PRECEDING) - 1 AS drawdown FROM bars WHERE volume > 30) b ON a.code = b.code AND a.ts = b.ts""",
         kc_override="""SELECT kc.code, round(coalesce(o.k, kc.k, 0), 6) AS k, round(coalesce(o.c, kc.c, 0), 6) AS c, CASE WHEN o.code IS NOT NULL THEN 'explicit' WHEN kc.k IS NOT NULL THEN 'fit' ELSE 'zero' END AS source FROM kc LEFT JOIN (VALUES (1, 0.25, 0.75), (3, 0.5, 1.0)) AS o(code, k, c) ON kc.code = o.code""",
-        overlay_pairs="""SELECT cast(split_part(part, ',', 1) AS double) AS k, cast(split_part(part, ',', 2) AS double) AS c, trim(split_part(part, ',', 3)) AS label FROM (VALUES ('0.1,0.5,base'), ('0.3,0.9,fast'), ('-0.2,0.4,anti')) AS o(part)""",
         pool_append="""SELECT run, code, source FROM (SELECT 'r2' AS run, code, 'new' AS source FROM master WHERE code % 2 = 0 UNION ALL SELECT o.run, o.code, 'old' FROM (SELECT CASE WHEN code % 3 = 0 THEN 'r2' ELSE 'r1' END AS run, code FROM master) o
             WHERE o.run NOT IN (SELECT DISTINCT 'r2' FROM master)) x""",
         common_with_all="SELECT a.ts FROM (SELECT DISTINCT ts FROM bars WHERE code % 2 = 0) a JOIN (SELECT DISTINCT ts FROM bars WHERE code % 2 = 1) b ON a.ts = b.ts",
@@ -102,9 +98,7 @@ def add(flow: Flow) -> None:
         two_layer_alpha="""SELECT t.ts, count(*) AS n, round(avg(CASE WHEN nth <= 10 THEN ret END) - avg(ret), 8) AS alpha FROM (SELECT ts, y1 AS ret, row_number() OVER (PARTITION BY ts ORDER BY f DESC, code) AS nth FROM forward WHERE f IS NOT NULL AND y1 IS NOT NULL) t GROUP BY t.ts HAVING count(*) >= 20""",
         indicator_ic_aggregate="""SELECT count(*) AS n, round(median(ic), 6) AS median, round(avg(ic), 6) AS mean, round(stddev_samp(ic), 6) AS sd, round(avg(ic) / (stddev_samp(ic) + 1e-9), 5) AS ir, count(CASE WHEN ic > 0 THEN 1 END) AS above_0, count(CASE WHEN ic > 0.05 THEN 1 END) AS above_5, count(CASE WHEN ic < -0.05 THEN 1 END) AS below_5 FROM ic WHERE h = 5""",
         ic_distribution="SELECT h, round(percentile(ic, 0.25), 6) AS q25, round(percentile(ic, 0.5), 6) AS q50, round(percentile(ic, 0.75), 6) AS q75, count_if(ic > 0) AS up, count_if(ic < 0) AS down FROM ic GROUP BY h",
-        weights_asof="""SELECT b.ts, b.code, round(coalesce(p.weight, 0), 6) AS weight FROM bars b LEFT JOIN picks p ON p.code = b.code AND p.month = cast(date_trunc('month', b.ts) AS date)""",
         spike_scales="""SELECT w.code, round(w.v / nullif(m.v, 0), 8) AS volume_ratio, round(w.r / nullif(m.r, 0), 6) AS range_ratio FROM (SELECT code, avg(volume) AS v, avg(high - low) AS r FROM bars GROUP BY code) w JOIN (SELECT code, avg(volume) AS v, avg(high - low) AS r FROM bars_m GROUP BY code) m ON w.code = m.code""",
         granularity_gate="SELECT w.code, w.n AS weekly, m.n AS monthly, w.n >= 3 * m.n AND w.n >= 200 AS adopt FROM (SELECT code, count(*) AS n FROM bars GROUP BY code) w FULL OUTER JOIN (SELECT code, count(*) AS n FROM bars_m GROUP BY code) m ON w.code = m.code",
         candle_chart="SELECT code, ts, CASE WHEN close >= open THEN 'up' ELSE 'down' END AS colour, round(CASE WHEN n5 = 5 THEN ma_5 END, 6) AS ma_5, round(CASE WHEN n20 = 20 THEN ma_20 END, 6) AS ma_20 FROM (SELECT *, count(close) OVER (PARTITION BY code ORDER BY ts ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS n5, count(close) OVER (PARTITION BY code ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS n20 FROM averaged) x",
-        last_dates="SELECT code, ts, round(close, 6) AS close FROM (SELECT *, dense_rank() OVER (ORDER BY ts DESC) AS nth FROM bars WHERE ts >= date '1998-06-01') x WHERE nth <= 5",
     )

@@ -2,8 +2,9 @@
 
 A step is a SELECT over tables (``{table}``) and other steps (by name). A query needs its
 own SELECT only: the steps that it names are put before it as common table expressions,
-so operators are written once and composed by name. The same text, with the few words
-that differ, is the DuckDB statement that a query is held against.
+so operators are written once and composed by name. A query is held against a DuckDB
+statement: one of its own, written with other constructs, where ``pair`` gives it, and
+else the same text with the few words that differ. The steps below it are shared.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ class Flow:
     def __init__(self) -> None:
         self.steps: dict[str, str] = {}
         self.queries: dict[str, str] = {}
+        self.oracles: dict[str, str] = {}
 
     def step(self, **steps: str) -> None:
         for name, text in steps.items():
@@ -45,6 +47,12 @@ class Flow:
         for name, text in queries.items():
             self.queries[name] = " ".join(text.split())
 
+    def pair(self, **pairs: tuple[str, str]) -> None:
+        """Queries with a DuckDB statement of their own over the same steps."""
+        for name, (text, other) in pairs.items():
+            self.query(**{name: text})
+            self.oracles[name] = " ".join(other.split())
+
     def statement(self, text: str) -> str:
         """``text`` after the steps that it names, directly or through others."""
         order: list[str] = []
@@ -71,10 +79,25 @@ class Flow:
         return query
 
     def duckdb(self, text: str) -> str:
-        sql = re.sub(r"\{(\w+)\}", r"\1", self.statement(text))
-        for pattern, other in _DUCKDB:
-            sql = re.sub(pattern, other, sql)
-        return sql
+        return _to_duckdb(self.statement(text))
+
+    def oracle(self, name: str) -> str:
+        """The DuckDB statement of a query."""
+        text = self.oracles.get(name)
+        if text is None:
+            return self.duckdb(self.queries[name])
+        whole = self.statement(text)
+        head = _to_duckdb(whole[: len(whole) - len(text)])
+        text = re.sub(r"\{(\w+)\}", r"\1", text)
+        # tables of its own follow the steps in one list
+        return f"{head.rstrip()}, {text.removeprefix('WITH ')}" if head and text.startswith("WITH ") else head + text
 
     def registered(self) -> tuple[dict[str, Callable], dict[str, str]]:
-        return {n: self.run(t) for n, t in self.queries.items()}, {n: self.duckdb(t) for n, t in self.queries.items()}
+        return {n: self.run(t) for n, t in self.queries.items()}, {n: self.oracle(n) for n in self.queries}
+
+
+def _to_duckdb(sql: str) -> str:
+    sql = re.sub(r"\{(\w+)\}", r"\1", sql)
+    for pattern, other in _DUCKDB:
+        sql = re.sub(pattern, other, sql)
+    return sql
