@@ -90,6 +90,8 @@ class Flow:
         head = _to_duckdb(whole[: len(whole) - len(text)])
         text = re.sub(r"\{(\w+)\}", r"\1", text)
         # tables of its own follow the steps in one list
+        if text.startswith("WITH RECURSIVE "):
+            return f"{head.rstrip().replace('WITH ', 'WITH RECURSIVE ', 1)}, {text.removeprefix('WITH RECURSIVE ')}"
         return f"{head.rstrip()}, {text.removeprefix('WITH ')}" if head and text.startswith("WITH ") else head + text
 
     def registered(self) -> tuple[dict[str, Callable], dict[str, str]]:

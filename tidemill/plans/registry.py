@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tidemill.operators import cross_section, dynamics, features, folds, learning, selection, stability, studies, validation
+from tidemill.operators import cross_section, dynamics, features, folds, learning, selection, stability, studies, trajectory, validation
 from tidemill.plans.flow import Flow
 from tidemill.sources import bars
 from tidemill.streaming import quotes
@@ -14,7 +14,7 @@ FLAGSHIP = "state_distribution"
 
 def flow() -> Flow:
     made = Flow()
-    for part in (bars, features, cross_section, dynamics, selection, studies, stability, validation):
+    for part in (bars, features, cross_section, dynamics, selection, studies, stability, validation, trajectory):
         part.add(made)
     return made
 
@@ -22,6 +22,6 @@ def flow() -> Flow:
 QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
 _FLOW = flow()
-for _queries, _sql in (_FLOW.registered(), folds.registered(_FLOW), quotes.registered(_FLOW), learning.registered(_FLOW), validation.registered(_FLOW)):
+for _queries, _sql in (_FLOW.registered(), folds.registered(_FLOW), quotes.registered(_FLOW), learning.registered(_FLOW), validation.registered(_FLOW), trajectory.registered(_FLOW)):
     QUERIES |= _queries
     ORACLE_SQL |= _sql
