@@ -50,8 +50,6 @@ def add(flow: Flow) -> None:
             SELECT s.code, s.ts, s.ret_1 AS r, i.ri, s.amount, row_number() OVER (PARTITION BY s.code ORDER BY s.ts DESC) AS nth FROM changed s JOIN master m ON s.code = m.code
             JOIN (SELECT index_code, ts, close / lag(close) OVER (PARTITION BY index_code ORDER BY ts) - 1 AS ri FROM index_bars) i ON i.index_code = m.index_code AND i.ts = s.ts) x
             WHERE nth <= 168 AND r IS NOT NULL AND ri IS NOT NULL GROUP BY code HAVING count(*) >= 50""",
-        relative_channels="""SELECT b.code, b.ts, round(b.close / i.close, 8) AS rel_close, round(b.high / i.close, 8) AS rel_high, round(b.low / i.close, 8) AS rel_low, round(b.volume / (i.volume + 1), 10) AS rel_volume
-            FROM bars b JOIN master m ON b.code = m.code JOIN index_bars i ON i.index_code = m.index_code AND i.ts = b.ts""",
         window_statistics="SELECT code, ts, " + ", ".join(f"round(CASE WHEN n = 30 THEN {e} END, 6) AS {k}" for k, e in {
             "mean": "m", "variance": "v / 1e3", "minimum": "lo", "maximum": "hi", "sum_changes": "ch", "energy": "sq / 1e6"}.items())
         + f""" FROM (SELECT code, ts, count(close) OVER {last(30)} AS n, avg(close) OVER {last(30)} AS m, var_pop(close) OVER {last(30)} AS v, min(close) OVER {last(30)} AS lo, max(close) OVER {last(30)} AS hi,

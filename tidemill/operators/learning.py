@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import random
 from collections.abc import Callable
 
@@ -139,28 +138,7 @@ def fitness(rows: DataFrame, trees: list[Tree], target: str) -> list[float]:
     return [abs(v) if v is not None and np.isfinite(v) else 0.0 for v in means]
 
 
-def formula_search(flow: Flow, population: int = 10, generations: int = 2, seed: int = 7) -> Callable[[SparkSession, str], DataFrame]:
-    """Symbolic regression: a population of formulas evolves on the driver, each generation scored in one job."""
-    panel = feature_panel(flow)
-
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rng = random.Random(seed)
-        rows = panel(spark, sf_dir).where("fwd IS NOT NULL").select("ts", "fwd", *FEATURES).persist()
-        trees = [*FEATURES[:3], *(grow(rng, FEATURES, 3) for _ in range(population - 3))]
-        best: dict[str, tuple[float, Tree]] = {}
-        for _ in range(generations):
-            for t, v in zip(trees, fitness(rows, trees, "fwd"), strict=True):
-                best[to_sql(t)] = (v, t)
-            parents = [t for _, t in sorted(best.values(), key=lambda x: (-x[0], str(x[1])))[: population // 2]]
-            trees = [mutate(rng, rng.choice(parents), rng.choice(parents), FEATURES) for _ in range(population)]
-        rows.unpersist()
-        top = sorted(((v, s, json.dumps(t)) for s, (v, t) in best.items()), key=lambda x: (-x[0], x[1]))[:population]
-        return spark.createDataFrame([(i + 1, s, j, float(v)) for i, (v, s, j) in enumerate(top)], "rank int, formula string, program string, fitness double")
-
-    return query
-
-
-def factor_gate(flow: Flow, least: float = 0.0, most: float = 0.7) -> Callable[[SparkSession, str], DataFrame]:
+def factor_gate(flow: Flow, least: float = 0.04, most: float = 0.7) -> Callable[[SparkSession, str], DataFrame]:
     """Features by |IC|, each dropped if its mean daily rank correlation with a kept one is above ``most``."""
     panel = feature_panel(flow)
 
@@ -183,5 +161,5 @@ def factor_gate(flow: Flow, least: float = 0.0, most: float = 0.7) -> Callable[[
 
 
 def registered(flow: Flow) -> tuple[dict[str, Callable], dict[str, str]]:
-    made = (feature_selection, classifier, placebo, formula_search, factor_gate)
+    made = (feature_selection, classifier, placebo, factor_gate)
     return {f.__name__: f(flow) for f in made}, {}

@@ -32,9 +32,6 @@ def add(flow: Flow) -> None:
     flow.query(
         monthly_top_n="SELECT month, code, nth, round(weight, 6) AS weight FROM picks",
         portfolio_nav="SELECT month, round(ret, 8) AS ret, round(nav, 6) AS nav, round(nav / max(nav) OVER (ORDER BY month ROWS UNBOUNDED PRECEDING) - 1, 6) AS drawdown FROM nav",
-        equity_metrics="SELECT count(*) AS n, round(exp(sum(ln(1 + ret))) - 1, 6) AS total, round(pow(exp(sum(ln(1 + ret))), 12.0 / count(*)) - 1, 6) AS ann, round(stddev_samp(ret) * sqrt(12), 6) AS vol, round(avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(12), 5) AS sharpe FROM portfolio WHERE ret > -1",
-        weight_changes="""SELECT month, code, CASE WHEN before IS NULL THEN 'entry' ELSE 'hold' END AS act FROM (SELECT p.month, p.code, q.month AS before FROM picks p JOIN (SELECT month, lag(month) OVER (ORDER BY month) AS prev FROM (SELECT DISTINCT month FROM picks) d) o ON p.month = o.month
-            LEFT JOIN picks q ON q.code = p.code AND q.month = o.prev) x""",
         top_industries="SELECT ts, industry, nth, round(ret, 8) AS ret FROM (SELECT *, row_number() OVER (PARTITION BY ts ORDER BY round(ret, 10) DESC, industry) AS nth FROM industry_return_20 WHERE n >= 2) x WHERE nth <= 3",
         top_industry_members="""SELECT ts, industry, code, nth, round(ret, 8) AS ret FROM (SELECT r.ts, r.industry, r.code, r.ret, row_number() OVER (PARTITION BY r.ts, r.industry ORDER BY r.ret DESC, r.code) AS nth FROM (SELECT m.industry, b.code, b.ts, b.close / nullif(lag(b.close, 20) OVER (PARTITION BY b.code ORDER BY b.ts), 0) - 1 AS ret
             FROM bars b JOIN master m ON b.code = m.code) r JOIN (SELECT ts, max_by(industry, struct(round(ret, 10), industry)) AS industry FROM industry_return_20 WHERE n >= 2 GROUP BY ts) t ON r.ts = t.ts AND r.industry = t.industry WHERE r.ret IS NOT NULL) x WHERE nth <= 3""",

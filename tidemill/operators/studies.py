@@ -78,7 +78,6 @@ def add(flow: Flow) -> None:
         factor_panel="""SELECT code, factor, round(value, 6) AS value FROM (SELECT code, 'rho' AS factor, rho AS value FROM eigen UNION ALL SELECT code, 'distance', distance FROM eigen UNION ALL SELECT code, 'k', k FROM eigen UNION ALL SELECT code, 'c', c FROM eigen
             UNION ALL SELECT code, 'ratio', c / nullif(k, 0) FROM eigen) x WHERE value IS NOT NULL""",
         gain_at_three="SELECT code, round(1 / sqrt((cos(0.002) - 2 * cos(0.001) + 1 + c * (cos(0.001) - 1) + k) * (cos(0.002) - 2 * cos(0.001) + 1 + c * (cos(0.001) - 1) + k) + (sin(0.002) - 2 * sin(0.001) + c * sin(0.001)) * (sin(0.002) - 2 * sin(0.001) + c * sin(0.001))), 5) AS gain_dc, round(1 / nullif(abs(4 - 2 * c + k), 0), 5) AS gain_pi FROM eigen WHERE k > 0.001",
-        equal_weight_states=f"SELECT state, count(*) AS n, round(avg(ret), 6) AS mean_ret FROM (SELECT s.state, {lead('b.close').replace('PARTITION BY code ORDER BY ts', 'PARTITION BY b.code ORDER BY b.ts')} / nullif(b.close, 0) - 1 AS ret FROM states s JOIN bars b ON s.code = b.code AND s.ts = b.ts) x WHERE ret IS NOT NULL GROUP BY state",
         state_share_ic=f"""SELECT state, count(*) AS n, round({correlation('a', 'b')}, 6) AS ic FROM (SELECT state, {average_rank('share', 'state')} AS a, {average_rank('ret', 'state')} AS b FROM (SELECT s.state, s.code, s.n / t.total AS share, r.ret FROM (SELECT code, state, count(*) AS n FROM states GROUP BY code, state) s
             JOIN (SELECT code, cast(count(*) AS double) AS total FROM states GROUP BY code) t ON s.code = t.code JOIN (SELECT code, max_by(close, ts) / min_by(close, ts) - 1 AS ret FROM bars GROUP BY code) r ON r.code = s.code) x) y GROUP BY state HAVING count(*) >= 3""",
         focus_groups="SELECT code, state, round(n / total, 8) AS share FROM (SELECT s.code, s.state, s.n, cast(t.total AS double) AS total FROM (SELECT code, state, count(*) AS n FROM states GROUP BY code, state) s JOIN (SELECT code, count(*) AS total FROM states GROUP BY code) t ON s.code = t.code) x WHERE state IN ('against', 'follow', 'returning') AND n >= 0.2 * total",
@@ -88,8 +87,6 @@ def add(flow: Flow) -> None:
             FULL OUTER JOIN (SELECT code, ts, close / nullif(ma_20, 0) - 1 AS gap FROM averaged WHERE std_20 IS NOT NULL) b ON a.code = b.code AND a.ts = b.ts""",
         pool_left_joins="""SELECT a.code, a.ts, round(a.f, 8) AS momentum, round(b.drawdown, 8) AS drawdown FROM factors a LEFT JOIN (SELECT code, ts, close / max(close) OVER (PARTITION BY code ORDER BY ts ROWS UNBOUNDED PRECEDING) - 1 AS drawdown FROM bars WHERE volume > 30) b ON a.code = b.code AND a.ts = b.ts""",
         kc_override="""SELECT kc.code, round(coalesce(o.k, kc.k, 0), 6) AS k, round(coalesce(o.c, kc.c, 0), 6) AS c, CASE WHEN o.code IS NOT NULL THEN 'explicit' WHEN kc.k IS NOT NULL THEN 'fit' ELSE 'zero' END AS source FROM kc LEFT JOIN (VALUES (1, 0.25, 0.75), (3, 0.5, 1.0)) AS o(code, k, c) ON kc.code = o.code""",
-        pool_append="""SELECT run, code, source FROM (SELECT 'r2' AS run, code, 'new' AS source FROM master WHERE code % 2 = 0 UNION ALL SELECT o.run, o.code, 'old' FROM (SELECT CASE WHEN code % 3 = 0 THEN 'r2' ELSE 'r1' END AS run, code FROM master) o
-            WHERE o.run NOT IN (SELECT DISTINCT 'r2' FROM master)) x""",
         common_with_all="SELECT a.ts FROM (SELECT DISTINCT ts FROM bars WHERE code % 2 = 0) a JOIN (SELECT DISTINCT ts FROM bars WHERE code % 2 = 1) b ON a.ts = b.ts",
         missing_codes="SELECT code FROM master EXCEPT SELECT code FROM bars WHERE ts >= date '1998-01-01' AND volume > 40",
         long_format="SELECT code, ts, 'close' AS kind, round(close, 6) AS value FROM bars UNION ALL SELECT code, ts, 'volume', volume FROM bars UNION ALL SELECT code, ts, 'amount', amount FROM bars",
