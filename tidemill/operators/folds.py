@@ -1,13 +1,14 @@
 """Operators whose next value needs the last one: EWM averages, simulation.
 
-A series is one array, ordered once, and folded in the JVM by ``aggregate``. The array is
-per code, bounded by the number of its bars.
+Averages over a series are one grouped map by code, linear in its bars; folds over a few
+steps run in the JVM by ``aggregate``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,27 +25,27 @@ def ewm(values: Column, alpha: float) -> Column:
     return F.aggregate(values, F.array().cast("array<double>"), step)
 
 
-def series(bars: DataFrame, *columns: str) -> DataFrame:
-    """One row per code: ``ts`` and each column as arrays in order of ts."""
-    rows = bars.groupBy("code").agg(F.array_sort(F.collect_list(F.struct("ts", *columns))).alias("rows"))
-    return rows.select("code", *(F.col(f"rows.{c}").alias(c) for c in ("ts", *columns)))
+def smoothed(rows: DataFrame, alphas: dict[str, tuple[str, float]]) -> DataFrame:
+    """``rows`` (code, ts, columns) with ewm averages: name -> (column, alpha); a code is one group, read once."""
+    columns = [c for c in rows.columns if c not in ("code", "ts")]
 
+    def fold(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("ts", ignore_index=True)
+        for name, (column, alpha) in alphas.items():
+            frame[name] = frame[column].ewm(alpha=alpha, adjust=False).mean()
+        return frame
 
-def spread(arrays: DataFrame, *columns: str) -> DataFrame:
-    """Back to one row per code and ts."""
-    return arrays.select("code", F.explode(F.arrays_zip("ts", *columns)).alias("r")).select("code", "r.*")
+    schema = "code long, ts date, " + ", ".join(f"{c} double" for c in [*columns, *alphas])
+    return rows.select("code", F.col("ts").cast("date").alias("ts"), *(F.col(c).cast("double").alias(c) for c in columns)).groupBy("code").applyInPandas(fold, schema)
 
 
 def macd(flow: Flow) -> Callable[[SparkSession, str], DataFrame]:
     bars = flow.run("SELECT code, ts, close FROM bars")
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        s = series(bars(spark, sf_dir), "close")
-        s = s.withColumn("dif", F.zip_with(ewm(F.col("close"), 2 / 13), ewm(F.col("close"), 2 / 27), lambda a, b: a - b))
-        s = s.withColumn("dea", ewm(F.col("dif"), 2 / 10))
-        s = s.withColumn("bar", F.zip_with("dif", "dea", lambda a, b: 2 * (a - b)))
-        out = spread(s, "dif", "dea", "bar")
-        return out.select("code", "ts", *(F.round(c, 4).alias(c) for c in ("dif", "dea", "bar")))
+        s = smoothed(bars(spark, sf_dir), {"fast": ("close", 2 / 13), "slow": ("close", 2 / 27)})
+        s = smoothed(s.withColumn("dif", F.col("fast") - F.col("slow")), {"dea": ("dif", 2 / 10)})
+        return s.select("code", "ts", F.round("dif", 4).alias("dif"), F.round("dea", 4).alias("dea"), F.round(2 * (F.col("dif") - F.col("dea")), 4).alias("bar"))
 
     return query
 
@@ -65,10 +66,8 @@ def wilder(flow: Flow) -> Callable[[SparkSession, str], DataFrame]:
         FROM changed WHERE delta_1 IS NOT NULL""")
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        s = series(moves(spark, sf_dir), "close", "gain", "loss", "tr")
-        for c in ("gain", "loss", "tr"):
-            s = s.withColumn(c, ewm(F.col(c), 1 / 14))
-        out = spread(s, "close", "gain", "loss", "tr")
+        out = smoothed(moves(spark, sf_dir), {f"{c}_14": (c, 1 / 14) for c in ("gain", "loss", "tr")})
+        out = out.select("code", "ts", "close", *(F.col(f"{c}_14").alias(c) for c in ("gain", "loss", "tr")))
         rsi = F.coalesce(100 - 100 / (1 + F.col("gain") / F.nullif(F.col("loss"), F.lit(0))), F.lit(50.0))
         return out.select("code", "ts", F.round(rsi, 4).alias("rsi"), F.round("tr", 4).alias("atr"), F.round(F.col("tr") / F.nullif(F.col("close"), F.lit(0)) * 100, 4).alias("adx_proxy"))
 
@@ -85,6 +84,25 @@ SELECT code, ts, round(coalesce(100 - 100 / (1 + gain / nullif(loss, 0)), 50), 4
 """
 
 
+def span_indicators(flow: Flow) -> Callable[[SparkSession, str], DataFrame]:
+    """RSI and true range with the span of 14 (alpha 2 / 15)."""
+    moves = flow.run("""SELECT code, ts, greatest(delta_1, 0) AS gain, greatest(-delta_1, 0) AS loss, greatest(high - low, abs(high - prev_close), abs(low - prev_close)) AS tr FROM changed WHERE delta_1 IS NOT NULL""")
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = smoothed(moves(spark, sf_dir), {f"{c}_14": (c, 2 / 15) for c in ("gain", "loss", "tr")})
+        return out.select("code", "ts", F.round(100 - 100 / (1 + F.col("gain_14") / (F.col("loss_14") + 1e-12)), 4).alias("rsi"), F.round("tr_14", 4).alias("atr"))
+
+    return query
+
+
+SPAN_SQL = """
+, o AS (SELECT code, ts, greatest(delta_1, 0) AS gain, greatest(-delta_1, 0) AS loss, list_max([high - low, abs(high - prev_close), abs(low - prev_close)]) AS tr, row_number() OVER (PARTITION BY code ORDER BY ts) AS n FROM changed WHERE delta_1 IS NOT NULL),
+e AS (SELECT code, ts, n, gain, loss, tr FROM o WHERE n = 1
+  UNION ALL SELECT o.code, o.ts, o.n, (2 * o.gain + 13 * e.gain) / 15, (2 * o.loss + 13 * e.loss) / 15, (2 * o.tr + 13 * e.tr) / 15 FROM e JOIN o ON o.code = e.code AND o.n = e.n + 1)
+SELECT code, ts, round(100 * gain / (gain + loss + 1e-12), 4) AS rsi, round(tr, 4) AS atr FROM e
+"""
+
+
 def simulation(flow: Flow, steps: int = 8) -> Callable[[SparkSession, str], DataFrame]:
     """Free motion of each fitted pair from d = 1, u = 0: d' = d + u, u' = u - k d - c u."""
     fitted = flow.run("SELECT code, k, c FROM kc WHERE status LIKE 'ok%'")
@@ -116,6 +134,6 @@ def registered(flow: Flow) -> tuple[dict[str, Callable], dict[str, str]]:
         return head.replace("WITH ", "WITH RECURSIVE ", 1) + rest
 
     return (
-        {"macd": macd(flow), "wilder_indicators": wilder(flow), "simulation": simulation(flow)},
-        {"macd": recursive("bars", MACD_SQL), "wilder_indicators": recursive("changed", WILDER_SQL), "simulation": recursive("kc", SIMULATION_SQL)},
+        {"macd": macd(flow), "wilder_indicators": wilder(flow), "span_indicators": span_indicators(flow), "simulation": simulation(flow)},
+        {"macd": recursive("bars", MACD_SQL), "wilder_indicators": recursive("changed", WILDER_SQL), "span_indicators": recursive("changed", SPAN_SQL), "simulation": recursive("kc", SIMULATION_SQL)},
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tidemill.operators import backtests, cross_section, dynamics, features, folds, learning, pool, selection, stability, studies, trajectory, validation, walk_forward
+from tidemill.operators import backtests, cross_section, dynamics, features, folds, learning, patterns, pool, selection, stability, studies, trajectory, validation, walk_forward
 from tidemill.plans.flow import Flow
 from tidemill.sources import bars, store
 from tidemill.streaming import quotes
@@ -14,7 +14,7 @@ FLAGSHIP = "state_distribution"
 
 def flow() -> Flow:
     made = Flow()
-    for part in (bars, features, cross_section, dynamics, selection, studies, stability, validation, trajectory, backtests, walk_forward, pool):
+    for part in (bars, features, cross_section, dynamics, selection, studies, stability, validation, trajectory, backtests, walk_forward, pool, patterns):
         part.add(made)
     return made
 
