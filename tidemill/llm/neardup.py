@@ -39,7 +39,7 @@ TREES = 24
 DEPTH = 8
 RECALL = 0.9999
 #: Classes that one side of a block holds, and bytes of their shingles.
-BLOCK = 1024
+BLOCK = 512
 BLOCK_BYTES = 8 << 20
 #: A pair is verified if this share of the threshold or more is estimated; at 192 values
 #: a pair at the threshold falls below it once in some 10^12 cases.
@@ -443,12 +443,13 @@ def _similarity_join(docs: DataFrame, threshold: float, recall: float) -> tuple[
     coarse = written(near.mapInArrow(_candidates(threshold, TREES, DEPTH, recall), "u long, v long").distinct(), "neardup-candidates")
     dropped(entries)
     found = components(coarse)
-    sized = found.join(holders.select("node", "copies", "n_shingles"), "node")
+    sized = found.join(holders.select("node", "copies", "n_shingles", "first.doc_id", "first.text_key"), "node")
     totals = sized.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.sum("n_shingles").alias("shingles"))
     n_blocks = F.ceil(F.greatest(F.col("size") / F.lit(BLOCK), F.col("shingles") * 8 / F.lit(BLOCK_BYTES)))
     total = found.count()
-    member = skew_join(sized.select("root", "node", "copies"), totals.withColumn("n_blocks", n_blocks), ["root"], F.col("size") > F.lit(total * HEAVY))
-    member = written(member.select("root", "node", "copies", "n_blocks"), "neardup-members")
+    # the text of one row of each class is wanted; rows that repeat both id and text are one
+    member = skew_join(sized.drop("n_shingles"), totals.withColumn("n_blocks", n_blocks), ["root"], F.col("size") > F.lit(total * HEAVY))
+    member = written(member.select("root", "node", "copies", "doc_id", "text_key", "n_blocks"), "neardup-members")
     dropped(coarse, found)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -462,9 +463,8 @@ def _similarity_join(docs: DataFrame, threshold: float, recall: float) -> tuple[
             names = [n for n in batch.schema.names if n != "text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(out, pa.binary())], names=[*names, "shingles"])
 
-    # the text of one row of each class; rows that repeat both id and text are one
-    wanted = holders.select("node", "first.doc_id", "first.text_key").join(member, "node")
-    texts = rows.join(wanted, ["doc_id", "text_key"])
+    # a share of all documents decides here: a merge at every size, never a broadcast
+    texts = rows.join(member.hint("merge"), ["doc_id", "text_key"])
     full = texts.select("root", "node", "n_blocks", "copies", "text").mapInArrow(sets, "root long, node long, n_blocks long, copies long, shingles binary")
     full = written(full, "neardup-sets")
     dealt = _blocks(full, "root", F.col("n_blocks")).repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
@@ -503,7 +503,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     gone = written(found.where(F.col("doc_id").isNotNull() & other).select(F.col("doc_id").alias(number), F.col("text_key").alias(key)).distinct(), "neardup-gone")
     dropped(*read)
     keyed = docs.withColumn(number, F.col("doc_id").cast("long")).withColumn(key, F.xxhash64(F.col("text").cast("string")))
-    rest = keyed.join(gone, [number, key], "left_anti")
+    rest = keyed.join(gone.hint("merge"), [number, key], "left_anti")
     again = rest.groupBy(number, key).count().where(F.col(number).isNotNull() & (F.col("count") > 1)).limit(1).collect()
     own = [F.col(f"`{c}`") for c in docs.columns]
     if not again:
