@@ -114,7 +114,7 @@ def fit(samples: dict[str, list[str]]) -> Model:
     for name in texts:
         ids = np.array([SPACE if c == " " else symbols[c] for c in texts[name]], np.int64)
         follow, n = suffix_automaton(ids)
-        step = np.full((n, width), -1, np.int64)
+        step = np.full((n, width), -1, np.int32)
         for s, out in enumerate(follow):
             for c, to in out.items():
                 if c < width:
@@ -126,10 +126,11 @@ def fit(samples: dict[str, list[str]]) -> Model:
         out = np.where(step >= 0, step * 2, first[None, :] * 2 + 1)
         out[:, PAD] = np.arange(n) * 2
         # rows are addressed by state * width, over the tables of all languages
-        tables.append(((out >> 1) + base) * (2 * width) + (out & 1))
+        out += 2 * base
+        tables.append(((out >> 1) * (2 * width) + (out & 1)).reshape(-1))
         roots.append(base * width)
         base += n
-    steps = np.concatenate(tables).reshape(-1).astype(np.int32) if tables else np.zeros(width, np.int32)
+    steps = np.concatenate(tables) if tables else np.zeros(width, np.int32)
     order = np.argsort(np.array(arcs, np.int64))
     return Model(tuple(texts), np.array(roots, np.int64), steps, width, symbols, np.array(arcs, np.int64)[order], np.array(targets, np.int64)[order])
 
@@ -248,9 +249,11 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = S
     require(docs, ("doc_id", "text", "lang"))
     rows = docs.select(F.col("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     labelled = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).withColumn("h", F.xxhash64("doc_id"))
-    # the limit on ranks is applied in each scan task first: no more than it leaves it a language
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    chosen = labelled.select("lang", "h", "doc_id").withColumn("nth", nth).where(F.col("nth") <= sample_docs)
+    # ranked in parts of a language first, so that no task sees all of a common one
+    chosen = labelled.select("lang", "h", "doc_id", F.pmod(F.xxhash64("h"), F.lit(64)).alias("part"))
+    for keys in (("lang", "part"), ("lang",)):
+        nth = F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc_id"))
+        chosen = chosen.withColumn("nth", nth).where(F.col("nth") <= sample_docs).drop("nth")
     size = F.floor(F.lit(sample_chars) / F.count(F.lit(1)).over(Window.partitionBy("lang")))
     ids = chosen.withColumn("size", size).select("lang", "doc_id", "size").distinct()
     at = F.pmod("h", F.greatest(F.lit(1), F.length("text") - F.col("size") + 1))
