@@ -39,8 +39,8 @@ def add(flow: Flow) -> None:
             round(iv - {lag('iv')}, 4) AS mx, round(ia - {lag('ia')}, 4) AS my FROM pairs) x WHERE sx IS NOT NULL""",
         movement="""SELECT *, CASE WHEN mx * mx + my * my > 1e-12 THEN (sx * mx + sy * my) / (mx * mx + my * my) ELSE 0.0 END AS beta,
             sqrt(sx * sx + sy * sy) AS s_mag, sqrt(mx * mx + my * my) AS m_mag FROM moves""",
-        anchors="SELECT code, CASE WHEN median(m_mag) > 0 THEN median(m_mag) ELSE 1e-12 END AS anchor FROM movement GROUP BY code",
-        damped="""SELECT v.*, m_mag / (m_mag + anchor) AS q, m_mag / (m_mag + anchor) * beta * mx AS px, m_mag / (m_mag + anchor) * beta * my AS py FROM movement v JOIN anchors a ON v.code = a.code""",
+        damped="""SELECT *, m_mag / (m_mag + anchor) AS q, m_mag / (m_mag + anchor) * beta * mx AS px, m_mag / (m_mag + anchor) * beta * my AS py FROM (
+            SELECT *, CASE WHEN median(m_mag) OVER (PARTITION BY code) > 0 THEN median(m_mag) OVER (PARTITION BY code) ELSE 1e-12 END AS anchor FROM movement) v""",
         dynamics=f"""SELECT *, CASE WHEN s_mag * m_mag > 1e-12 THEN acos({clip('(sx * mx + sy * my) / (s_mag * m_mag)', '-1.0D', '1.0D')}) END AS theta,
             0.5 * (px * px + py * py) AS e_market, 0.5 * ((sx - px) * (sx - px) + (sy - py) * (sy - py)) AS e_self, 0.5 * s_mag * s_mag AS e_total,
             CASE WHEN s_mag * s_mag > 1e-12 THEN ((sx - px) * (sx - px) + (sy - py) * (sy - py)) / (s_mag * s_mag) ELSE 0.0 END AS r FROM damped""".replace("1.0D", "1.0"),
@@ -78,8 +78,7 @@ def add(flow: Flow) -> None:
             SELECT t.asof_date, m.industry, t.c, {e['radius']} AS rho, CASE WHEN {e['wedge']} THEN 1e0 ELSE 0e0 END AS w FROM kc_time t JOIN master m ON t.code = m.code WHERE k IS NOT NULL) x GROUP BY asof_date, industry""",
     )
     flow.query(
-        state_distribution="""SELECT s.code, s.state, s.n, round(s.n / t.total, 8) AS share FROM (SELECT code, state, count(*) AS n FROM states GROUP BY code, state) s
-            JOIN (SELECT code, count(*) AS total FROM states GROUP BY code) t ON s.code = t.code""",
+        state_distribution="SELECT code, state, n, round(n / cast(sum(n) OVER (PARTITION BY code) AS double), 8) AS share FROM (SELECT code, state, count(*) AS n FROM states GROUP BY code, state) s",
         state_counts="SELECT code, " + ", ".join(f"count_if(state = '{s}') AS {s}" for s in STATES) + " FROM states GROUP BY code",
         dominant_state="""SELECT code, max_by(state, struct(n, state)) AS dominant, max(n) AS n FROM (SELECT code, state, count(*) AS n FROM states GROUP BY code, state) x GROUP BY code""",
         top_states="SELECT code, state, n, nth FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY n DESC, state) AS nth FROM (SELECT code, state, count(*) AS n FROM states GROUP BY code, state) a) b WHERE nth <= 3",

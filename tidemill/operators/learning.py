@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidemill.functions.exprs import ROWS, average_rank, correlation
 from tidemill.functions.special import two_sided_p
 from tidemill.plans.flow import Flow
+from tidemill.plans.scratch import stored
 
 FEATURES = ("ret_1", "ret_5", "ma_gap", "vol_ratio", "range", "sd_20")
 _FEATURES_SQL = f"""SELECT code, ts, ret_1, ret_5, ma_gap, vol_ratio, range_, sd_20, CASE WHEN fwd IS NULL THEN NULL WHEN fwd > 0 THEN 1e0 ELSE 0e0 END AS label, fwd, n, total FROM (
@@ -59,7 +60,8 @@ def classifier(flow: Flow) -> Callable[[SparkSession, str], DataFrame]:
         from pyspark.ml.feature import StandardScaler, VectorAssembler
         from pyspark.ml.functions import vector_to_array
 
-        rows = panel(spark, sf_dir).where("label IS NOT NULL").withColumn("train", F.col("n") <= F.floor(0.7 * F.col("total")))
+        # read several times below: written once
+        rows = stored(panel(spark, sf_dir).where("label IS NOT NULL"), "classifier-panel").withColumn("train", F.col("n") <= F.floor(0.7 * F.col("total")))
         share = rows.where("train").agg(F.avg("label")).first()[0]
         rows = rows.withColumn("weight", F.when(F.col("label") == 1, F.lit(0.5 / max(share, 1e-9))).otherwise(F.lit(0.5 / max(1 - share, 1e-9))))
         wide = VectorAssembler(inputCols=list(FEATURES), outputCol="raw").transform(rows)

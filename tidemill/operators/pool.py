@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from tidemill.functions.exprs import average_rank, correlation
 from tidemill.operators import learning
 from tidemill.plans.flow import Flow
-from tidemill.sources.store import Config, scratch
+from tidemill.plans.scratch import scratch
+from tidemill.sources.store import Config
 
 CONFIG = Config()
 #: Last day of the rows that a factor is chosen on; later ones test it.

@@ -53,6 +53,7 @@ def add(flow: Flow) -> None:
             JOIN master s ON s.industry = t.industry WHERE w.until IS NOT NULL""",
         rotation="""SELECT h.ts, avg(e.close / nullif(b.close, 0) - 1) AS ret, count(*) AS n FROM holdings h JOIN bars b ON b.code = h.code AND b.ts = h.ts JOIN bars e ON e.code = h.code AND e.ts = h.until GROUP BY h.ts""",
     )
+    flow.store("designs", "thetas", "oos")
     flow.query(
         ablation_fits="SELECT code, model, n, round(q, 4) + 0e0 AS q_hat, round(k, 4) + 0e0 AS k_hat, round(c, 4) + 0e0 AS c_hat, round(r2, 5) + 0e0 AS r2 FROM insample",
         ablation_oos="SELECT code, model, n, round(ic, 4) + 0e0 AS ic, round(r2, 4) + 0e0 AS r2 FROM oos",

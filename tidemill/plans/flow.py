@@ -14,6 +14,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemill.plans.scratch import stored
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 #: Words that differ between Spark's SQL and DuckDB's.
 _DUCKDB = (
@@ -36,6 +38,7 @@ class Flow:
         self.steps: dict[str, str] = {}
         self.queries: dict[str, str] = {}
         self.oracles: dict[str, str] = {}
+        self.stored: list[str] = []
 
     def step(self, **steps: str) -> None:
         for name, text in steps.items():
@@ -53,28 +56,52 @@ class Flow:
             self.query(**{name: text})
             self.oracles[name] = " ".join(other.split())
 
-    def statement(self, text: str) -> str:
-        """``text`` after the steps that it names, directly or through others."""
+    def statement(self, text: str, cut: frozenset[str] = frozenset()) -> str:
+        """``text`` after the steps that it names, directly or through others; those in ``cut`` are tables."""
         order: list[str] = []
 
         def visit(sql: str) -> None:
             for name in dict.fromkeys(_NAME.findall(sql)):
-                if name in self.steps and name not in order:
+                if name in self.steps and name not in order and name not in cut:
                     visit(self.steps[name])
                     if name not in order:
                         order.append(name)
 
         visit(text)
+        table = lambda sql: _NAME.sub(lambda m: f"{m[0][: -len(m[1])]}{{{m[1]}}}" if m[1] in cut else m[0], sql)
         if not order:
-            return text
-        return "WITH " + ", ".join(f"{n} AS ({self.steps[n]})" for n in order) + " " + text
+            return table(text)
+        return "WITH " + ", ".join(f"{n} AS ({table(self.steps[n])})" for n in order) + " " + table(text)
+
+    def store(self, *names: str) -> None:
+        """Steps that are written once where a query reads them more than once."""
+        self.stored.extend(names)
+
+    def _reads(self, text: str) -> dict[str, int]:
+        """How often each stored step is read, with every step put in where it is named."""
+        found: dict[str, int] = {}
+        for name in _NAME.findall(text):
+            if name in self.steps:
+                for k, n in self._reads(self.steps[name]).items():
+                    found[k] = found.get(k, 0) + n
+                if name in self.stored:
+                    found[name] = found.get(name, 0) + 1
+        return found
 
     def run(self, text: str) -> Callable[[SparkSession, str], DataFrame]:
-        statement = self.statement(text)
-        used = [t for t in TABLES if f"{{{t}}}" in statement]
+        reads = self._reads(text)
+        # in the order of ``stored``: a step may read those before it
+        first = [n for n in self.stored if reads.get(n, 0) > 1]
+        parts = [(n, self.statement(self.steps[n], frozenset(first[:i]))) for i, n in enumerate(first)] + [("", self.statement(text, frozenset(first)))]
 
         def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return spark.sql(statement, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
+            made: dict[str, DataFrame] = {}
+            for name, sql in parts:
+                used = [t for t in (*TABLES, *made) if f"{{{t}}}" in sql]
+                found = spark.sql(sql, **{t: made[t] if t in made else spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
+                if name:
+                    made[name] = stored(found, name)
+            return found
 
         return query
 

@@ -7,9 +7,6 @@ new ones. Queries here write to the session's shared folder and read back what t
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
@@ -18,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidemill.plans.flow import Flow
+from tidemill.plans.scratch import scratch
 
 #: Kinds in the order in which a code is looked up, periods and their seconds.
 KINDS = ("stocks", "sectors", "indices")
@@ -48,16 +46,6 @@ class Config:
     names: dict[str, str] = field(default_factory=dict)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``; under a temporary one in local mode only, where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = "file://" + os.path.join(tempfile.gettempdir(), "tidemill-checkpoints")
-    return f"{folder.rstrip('/')}/tidemill-core/{name}-{uuid.uuid4().hex}"
-
-
 def checked(kind: str, period: str) -> None:
     if kind not in KINDS:
         raise ValueError(f"kind is one of {', '.join(KINDS)}, not {kind!r}")
