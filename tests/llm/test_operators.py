@@ -194,6 +194,38 @@ def test_substrings_over_many_packs(docs, monkeypatch):
         assert tuple(got.loc[i]) == want
 
 
+@pytest.mark.parametrize("hot", [1, 64])
+def test_substrings_of_small_packs(docs, hot):
+    got = table(substrings.repeated_substrings(docs, buckets=2, with_text=False, pack_bytes=500, hot_packs=hot))
+    for i, want in substrings.brute_force(list(texts_of().items())).items():
+        assert tuple(got.loc[i]) == want
+
+
+def test_extensions_in_pairs_and_by_hash(monkeypatch):
+    rng = np.random.default_rng(3)
+    anchor = np.sort(rng.integers(0, 40, 400).astype(np.uint64))
+    words_ = rng.integers(0, 2, (400, 16)).astype(np.uint32)
+    words_[:, 3:5] = words_[:, 8:14] = 7
+    room = rng.integers(4, 9, (400, 2)).astype(np.uint8)
+    ids = rng.integers(0, 60, 400)
+    found = substrings.extended(anchor, words_, room, ids)
+    monkeypatch.setattr(substrings, "PAIRS", 2)
+    assert found.any() and np.array_equal(found, substrings.extended(anchor, words_, room, ids))
+
+
+def test_substrings_of_long_texts_ties_and_repeated_rows(spark):
+    rng = random.Random(6)
+    passage = words(rng, 60)
+    rows = [(5, words(rng, 30000) + " " + passage), (5, words(rng, 20)), (5, passage), (9, passage + " " + words(rng, 40000)), (9, passage), (2, "x " * 5000), (2, None), (7, "x " * 30), (None, passage)]
+    got = substrings.repeated_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).toPandas()
+    assert len(got) == len(rows)
+    by = lambda i: sorted(got[got.doc_id == i][["n_words", "n_removed"]].itertuples(index=False, name=None))
+    assert by(5) == [(20, 0), (60, 0), (30060, 0)]
+    assert by(9) == [(60, 60), (40060, 60)]
+    assert by(7) == [(30, 30)] and by(2) == [(0, 0), (5000, 0)]
+    assert got[got.doc_id.isna()].n_removed.tolist() == [60]
+
+
 def test_substrings_when_the_scan_is_split_anew(spark, docs, tmp_path, monkeypatch):
     docs.repartition(9).write.parquet(str(tmp_path / "docs"))
     key, sizes = "spark.sql.files.maxPartitionBytes", iter(["128m", "1m", "9m"])

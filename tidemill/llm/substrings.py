@@ -1,17 +1,21 @@
-"""Substring deduplication by a table of window hashes, prefiltered by anchors.
+"""Substring deduplication by seeds and extension.
 
-Anchors are winnowed: of the ``window - seed + 1`` runs of ``seed`` words in each
+Seeds are winnowed anchors: of the ``window - seed + 1`` runs of ``seed`` words in each
 window of ``window`` words, the one that hashes lowest. Two equal windows hold the same
-anchor, so a window can repeat only where its anchor is shared. Windows whose anchor is
-shared are hashed and looked up; words in those that repeat go. Documents are not joined
-on anchors and no match is extended.
-
-Nothing is keyed by a single word, anchor or window: texts travel in packs of some
-megabytes, a pack says once which anchors or windows it holds (sorted arrays, by range
-of hash), and is told which of them occur elsewhere, or start in a smaller document. An
-anchor that stands in a third of all documents is one entry a pack.
-
-Windows are told apart by 64-bit hashes of their words.
+anchor at the same place, so documents are joined on the anchors that they share, and
+every match of a document with a smaller one is extended from the anchor word by word to
+the left and to the right. An extension that makes the match a window long, or longer, is
+a repeat; repeats of one document that overlap are united, so what is cut is maximal.
+
+Nothing is keyed by a single word or anchor alone: texts travel in packs of some
+megabytes, and a pack sends each anchor once for each different surrounding, with the
+smallest document that has it, by range of anchor. An anchor that very many packs share
+(a phrase in a third of all texts) is dealt further by the words that it is extended
+over: its windows are compared whole, by range of window hash. What a pack is told is one
+array a range.
+
+Words are told apart by hashes of 64 bits in anchors and windows, of 32 bits in the words
+that an anchor is extended over (beside the 64 of the anchor).
 """
 
 from __future__ import annotations
@@ -26,12 +30,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm._spark import require, table, written
-from tidemill.llm._text import SOLID, byte_values, grams, hashes, passes, runs, sliding_min, utf8
+from tidemill.llm._text import SOLID, byte_values, grams, hashes, mix, passes, runs, sliding_min, utf8
 
 #: Text of a pack, at most; a longer document is a pack of its own.
 PACK_BYTES = 2 << 20
 #: Bits of an anchor that are told to other packs: a chance match costs some work, no result.
 ANCHOR_BYTES = 6
+#: Packs that share an anchor from which it is dealt by the words around it.
+HOT_PACKS = 64
+#: Surroundings of one anchor in one range that are compared in pairs; more are by hashes of each extension.
+PAIRS = 32
 
 
 class Pack:
@@ -43,7 +51,7 @@ class Pack:
         self.starts, self.ends = runs(SOLID[self.buf], self.offsets)
         self.words = hashes(self.buf, self.starts, self.ends, byte_values())
         self.first = np.searchsorted(self.starts, self.offsets)
-        self.window = window
+        self.window, self.seed = window, seed
         self.row = np.repeat(np.arange(len(ids)), np.diff(self.first))
         n = len(self.words) - window + 1
         whole = self.row[: max(n, 0)] == self.row[window - 1 :] if n > 0 else np.empty(0, bool)
@@ -59,27 +67,137 @@ class Pack:
             return a, np.empty(0, bool)
         return a[begins], np.minimum.reduceat(rows, begins) != np.maximum.reduceat(rows, begins)
 
-    def candidates(self, elsewhere: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place and hash of the windows whose anchor is shared."""
+    def seeds(self, elsewhere: np.ndarray) -> np.ndarray:
+        """Places in ``at`` of the windows whose anchor is shared, within the pack or with others."""
         a, several = self.anchors()
         mine = several | _has(elsewhere, _short(a))
-        keep = mine[np.searchsorted(a, self.anchor)] if len(a) else np.empty(0, bool)
-        at = self.at[keep]
-        return at, grams(self.words, self.window, 1)[at] if len(at) else np.empty(0, np.uint64)
+        return np.flatnonzero(mine[np.searchsorted(a, self.anchor)]) if len(a) else np.empty(0, np.int64)
 
-    def repeats(self, elsewhere: np.ndarray, smaller: np.ndarray) -> np.ndarray:
+    def split(self, elsewhere: np.ndarray, hot: np.ndarray) -> tuple[Surroundings, np.ndarray, np.ndarray]:
+        """Of the shared anchors' windows: surroundings of the ordinary ones; places and hashes of the others' windows."""
+        some = self.seeds(elsewhere)
+        dealt = _has(hot, _short(self.anchor[some]))
+        at = self.at[some[dealt]]
+        h = grams(self.words, self.window, 1)[at] if len(at) else np.empty(0, np.uint64)
+        return Surroundings(self, some[~dealt]), at, h
+
+    def repeats(self, elsewhere: np.ndarray, hot: np.ndarray, masks: np.ndarray, smaller: np.ndarray) -> np.ndarray:
         """For each word: whether it is in a window that also starts in a smaller document."""
-        at, h = self.candidates(elsewhere)
+        around, at, h = self.split(elsewhere, hot)
         w, least = _least(h, self.ids[self.row[at]])
         gone = _has(smaller, h)
         if len(w):
             gone |= least[np.searchsorted(w, h)] < self.ids[self.row[at]]
+        begins = np.concatenate([at[gone], around.repeats(masks)])
         edge = np.zeros(len(self.words) + 1, np.int64)
-        edge[at[gone]] += 1
-        edge[at[gone] + self.window] -= 1
+        np.add.at(edge, begins, 1)
+        np.add.at(edge, begins + self.window, -1)
         return np.cumsum(edge[:-1]) > 0
 
 
+class Surroundings:
+    """Occurrences of anchors in a pack, and each different surrounding of an anchor once.
+
+    ``anchor``, ``words`` (32-bit hashes of the words left of the anchor, the nearest
+    first, then of those right of it), ``room`` (how many there are on either side) and
+    ``least`` (the smallest document that has it) are of the different surroundings, by
+    anchor; ``which`` is the surrounding of each occurrence.
+    """
+
+    def __init__(self, pack: Pack, some: np.ndarray):
+        self.pack = pack
+        reach = self.reach = pack.window - pack.seed
+        # where in its window the anchor stands: the first of the lowest runs
+        runs_ = grams(pack.words, pack.seed) if len(some) else np.empty(0, np.uint64)
+        begin = pack.at[some]
+        place = np.full(len(some), -1, np.int64)
+        for o in range(reach, -1, -1):
+            place[runs_[begin + o] == pack.anchor[some]] = o
+        self.start, first = np.unique(begin + place, return_index=True)
+        anchor = pack.anchor[some[first]] if len(some) else np.empty(0, np.uint64)
+        row = pack.row[self.start]
+        around = np.empty((len(self.start), 2 * reach), np.uint32)
+        room = np.zeros((len(self.start), 2), np.uint8)
+        key = np.empty(len(self.start), np.uint64)
+        words = (pack.words >> np.uint64(32)).astype(np.uint32)
+        steps = np.concatenate([-np.arange(1, reach + 1), pack.seed - 1 + np.arange(1, reach + 1)])
+        for a in range(0, len(self.start), 1 << 16):
+            part = slice(a, a + (1 << 16))
+            at = self.start[part, None] + steps
+            inside = (at >= pack.first[row[part], None]) & (at < pack.first[row[part] + 1, None])
+            around[part] = np.where(inside, words[np.clip(at, 0, len(words) - 1)], 0)
+            room[part, 0], room[part, 1] = inside[:, :reach].sum(1), inside[:, reach:].sum(1)
+            key[part] = mix(grams_of(around[part]) ^ (room[part, 0].astype(np.uint64) << np.uint64(8)) ^ room[part, 1])
+        order = np.lexsort((key, anchor))
+        new = np.ones(len(order), bool)
+        new[1:] = (anchor[order][1:] != anchor[order][:-1]) | (key[order][1:] != key[order][:-1])
+        self.which = np.empty(len(order), np.int64)
+        self.which[order] = np.cumsum(new) - 1
+        self.ids = pack.ids[row]
+        heads = order[new]
+        self.anchor, self.words, self.room = anchor[heads], around[heads], room[heads]
+        self.least = np.minimum.reduceat(self.ids[order], np.flatnonzero(new)) if len(order) else self.ids
+
+    def repeats(self, masks: np.ndarray) -> np.ndarray:
+        """First words of the windows that repeat, given for each surrounding the bits of its repeated extensions."""
+        if not len(self.start):
+            return np.empty(0, np.int64)
+        out = []
+        for left in range(self.reach + 1):
+            whole = (self.room[:, 0] >= left) & (self.room[:, 1] >= self.reach - left)
+            # what a smaller document of the pack has too, or what others told
+            again = whole[self.which] & ((masks[self.which] >> left & 1 > 0) | (self.ids > self.least[self.which]))
+            out.append(self.start[again] - left)
+        return np.concatenate(out)
+
+
+def grams_of(words: np.ndarray) -> np.ndarray:
+    """A hash of each row."""
+    out = np.zeros(len(words), np.uint64)
+    for column in words.T:
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + column.astype(np.uint64))
+    return out
+
+
+def extended(anchor: np.ndarray, words: np.ndarray, room: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For surroundings sorted by anchor: bits ``left`` of the extensions that a smaller document has as well.
+
+    Bit ``left`` stands for the window of ``left`` words before the anchor and the rest
+    after it. Surroundings of one anchor are compared in pairs, growing the match to both
+    sides; where there are very many, each extension is looked up by its hash.
+    """
+    n, reach = words.shape[0], words.shape[1] // 2
+    masks = np.zeros(n, np.uint16)
+    if not n:
+        return masks
+    begins = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+    size = np.repeat(np.diff(np.append(begins, n)), np.diff(np.append(begins, n)))
+    # windows of a match that reaches l words to the left and r to the right
+    bits = np.zeros((reach + 1, reach + 1), np.uint16)
+    for l_ in range(reach + 1):
+        for r in range(reach + 1):
+            bits[l_, r] = sum(1 << k for k in range(reach + 1) if k <= l_ and reach - k <= r)
+    few = size <= PAIRS
+    for shift in range(1, min(PAIRS, int(size[few].max()) if few.any() else 0)):
+        i = np.flatnonzero(few[:-shift] & (anchor[:-shift] == anchor[shift:]))
+        for a in range(0, len(i), 1 << 18):
+            x = i[a : a + (1 << 18)]
+            y = x + shift
+            same = words[x] == words[y]
+            grown = [np.minimum(np.logical_and.accumulate(same[:, side], axis=1).sum(1), np.minimum(room[x, k], room[y, k])) for k, side in ((0, slice(0, reach)), (1, slice(reach, None)))]
+            found = bits[grown[0], grown[1]]
+            later, sooner = ids[x] > ids[y], ids[x] < ids[y]
+            masks[x[later]] |= found[later]
+            masks[y[sooner]] |= found[sooner]
+    many = np.flatnonzero(~few)
+    for left in range(reach + 1) if len(many) else ():
+        able = many[(room[many, 0] >= left) & (room[many, 1] >= reach - left)]
+        h = mix(anchor[able] ^ grams_of(np.concatenate([words[able, :left], words[able, reach : 2 * reach - left]], axis=1)))
+        w, least = _least(h, ids[able])
+        masks[able[least[np.searchsorted(w, h)] < ids[able]]] |= np.uint16(1 << left) if len(w) else 0
+    return masks
+
+
 def _short(a: np.ndarray) -> np.ndarray:
     return a >> np.uint64(64 - 8 * ANCHOR_BYTES)
 
@@ -112,16 +230,16 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+def _gathered(batches: Iterator[pa.RecordBatch], pack_bytes: int) -> Iterator[tuple[int, pa.Table]]:
     """Packs of consecutive rows of a scan's partition: number, rows."""
     number = TaskContext.get().partitionId() << 32
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
         _, offsets = utf8(batch.column(1))
-        for i, j in passes(offsets, PACK_BYTES):
+        for i, j in passes(offsets, pack_bytes):
             part = int(offsets[j] - offsets[i])
-            if held and size + part > PACK_BYTES:
+            if held and size + part > pack_bytes:
                 yield number, pa.Table.from_batches(held).combine_chunks()
                 number, held, size = number + 1, [], 0
             held.append(batch.slice(i, j - i))
@@ -130,7 +248,7 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table
         yield number, pa.Table.from_batches(held).combine_chunks()
 
 
-def _packs(docs: DataFrame) -> DataFrame:
+def _packs(docs: DataFrame, pack_bytes: int) -> DataFrame:
     """Packs of rows, stored: pack, data (an Arrow stream, compressed).
 
     All passes read this table, so a pack's number means the same documents in each of
@@ -139,7 +257,7 @@ def _packs(docs: DataFrame) -> DataFrame:
     """
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, whole in _gathered(batches):
+        for number, whole in _gathered(batches, pack_bytes):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, whole.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 out.write_table(whole)
@@ -168,43 +286,74 @@ def _ranges(h: np.ndarray, bits: int, n: int) -> Iterator[tuple[int, slice]]:
         yield b, slice(edges[b], edges[b + 1])
 
 
-def _told(found: DataFrame, schema: str, answer: Callable) -> DataFrame:
-    """Let ``answer`` see each range of hashes whole; what each pack is told, as one array a pack."""
-    parts = found.groupBy("bucket").applyInArrow(answer, schema)
-    return parts.groupBy("pack").applyInArrow(_joined, "pack long, told binary")
+TOLD = "pack long, bucket long, told binary, apart binary"
+
+
+def _told(found: DataFrame, answer: Callable) -> DataFrame:
+    """Let ``answer`` see each range of hashes whole; what each pack is told, as two arrays a pack."""
+    parts = found.groupBy("bucket").applyInArrow(answer, TOLD)
+    return parts.groupBy("pack").applyInArrow(_joined, "pack long, told binary, apart binary")
 
 
 def _joined(parts: pa.Table) -> pa.Table:
-    told = b"".join(parts.sort_by("bucket").column("told").to_pylist())
-    return pa.table({"pack": parts.column("pack").slice(0, 1), "told": pa.array([told], pa.binary())})
+    parts = parts.sort_by("bucket")
+    both = {name: pa.array([b"".join(parts.column(name).to_pylist())], pa.binary()) for name in ("told", "apart")}
+    return pa.table({"pack": parts.column("pack").slice(0, 1), **both})
 
 
-def _shared_anchors(found: pa.Table) -> pa.Table:
-    """Of the anchors of each pack, those that other packs have too."""
+def _shared_anchors(found: pa.Table, hot_packs: int = HOT_PACKS) -> pa.Table:
+    """Of the anchors of each pack, those that other packs have too; those that very many have come second."""
     packs = found.column("pack").to_pylist()
     arrays = [_wide(x) for x in found.column("anchors").to_pylist()]
-    h = np.concatenate(arrays)
-    values, counts = np.unique(h, return_counts=True)
-    shared = values[counts > 1]
-    told = [_narrow(a[_has(shared, a)]) for a in arrays]
-    keep = [i for i, t in enumerate(told) if t]
-    bucket = found.column("bucket")[0].as_py()
-    return pa.table({"pack": pa.array([packs[i] for i in keep], pa.int64()), "bucket": pa.array([bucket] * len(keep), pa.int64()), "told": pa.array([told[i] for i in keep], pa.binary())})
+    values, counts = np.unique(np.concatenate(arrays), return_counts=True)
+    shared, hot = values[counts > 1], values[counts > hot_packs]
+    told = [(_narrow(a[_has(shared, a)]), _narrow(a[_has(hot, a)])) for a in arrays]
+    return _answers(found, [(p, *t) for p, t in zip(packs, told, strict=True) if t[0]])
+
+
+def _extensions(found: pa.Table) -> pa.Table:
+    """Bits of the repeated extensions of each pack's surroundings, in their order."""
+    packs = found.column("pack").to_pylist()
+    parts = [_surroundings(r) for r in found.select(["anchors", "words", "room", "ids", "least"]).to_pylist()]
+    anchor, words, room, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(anchor, kind="stable")
+    masks = np.empty(len(order), np.uint16)
+    masks[order] = extended(anchor[order], words[order], room[order], ids[order])
+    cuts = np.cumsum([len(p[0]) for p in parts])[:-1]
+    return _answers(found, [(p, m.astype("<u2").tobytes(), b"") for p, m in zip(packs, np.split(masks, cuts), strict=True)])
+
+
+def _surroundings(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    anchor = np.frombuffer(row["anchors"], "<u8")
+    room = np.frombuffer(row["room"], np.uint8).reshape(len(anchor), 2)
+    return anchor, np.frombuffer(row["words"], "<u4").reshape(len(anchor), -1), room, _ids_of(row["ids"], row["least"])
+
+
+def _ids_of(ids: bytes, least: bytes) -> np.ndarray:
+    return np.frombuffer(ids, "<i8")[np.frombuffer(least, "<u2" if len(ids) <= 8 << 16 else "<u4")]
 
 
 def _smaller_windows(found: pa.Table) -> pa.Table:
     """Of the windows of each pack, those that start in a smaller document of another pack."""
     packs = found.column("pack").to_pylist()
-    arrays = [np.frombuffer(x, "<u8") for x in found.column("windows").to_pylist()]
-    ids = [np.frombuffer(i, "<i8")[np.frombuffer(x, "<u2" if len(i) <= 8 << 16 else "<u4")] for i, x in zip(found.column("ids").to_pylist(), found.column("least").to_pylist(), strict=True)]
+    arrays = [np.frombuffer(x, "<u8") for x in found.column("anchors").to_pylist()]
+    ids = [_ids_of(i, x) for i, x in zip(found.column("ids").to_pylist(), found.column("least").to_pylist(), strict=True)]
     w, least = _least(np.concatenate(arrays), np.concatenate(ids))
     told = [a[least[np.searchsorted(w, a)] < i].astype("<u8").tobytes() for a, i in zip(arrays, ids, strict=True)]
-    keep = [i for i, t in enumerate(told) if t]
+    return _answers(found, [(p, b"", t) for p, t in zip(packs, told, strict=True) if t])
+
+
+def _answers(found: pa.Table, rows: list[tuple[int, bytes, bytes]]) -> pa.Table:
     bucket = found.column("bucket")[0].as_py()
-    return pa.table({"pack": pa.array([packs[i] for i in keep], pa.int64()), "bucket": pa.array([bucket] * len(keep), pa.int64()), "told": pa.array([told[i] for i in keep], pa.binary())})
+    return pa.table({"pack": pa.array([r[0] for r in rows], pa.int64()), "bucket": pa.array([bucket] * len(rows), pa.int64()), "told": pa.array([r[1] for r in rows], pa.binary()), "apart": pa.array([r[2] for r in rows], pa.binary())})
 
 
-def repeated_substrings(docs: DataFrame, window: int = 13, seed: int = 5, buckets: int | None = None, with_text: bool = True) -> DataFrame:
+def _either(found: pa.Table) -> pa.Table:
+    """A range of anchors with their surroundings, or one of windows: windows have ranges below zero."""
+    return (_extensions if found.column("bucket")[0].as_py() >= 0 else _smaller_windows)(found)
+
+
+def repeated_substrings(docs: DataFrame, window: int = 13, seed: int = 5, buckets: int | None = None, with_text: bool = True, pack_bytes: int = PACK_BYTES, hot_packs: int = HOT_PACKS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and ``kept``) of each row of ``docs`` (doc_id, text).
 
     A word goes if it is in a window of ``window`` words whose words also start in a
@@ -217,9 +366,11 @@ def repeated_substrings(docs: DataFrame, window: int = 13, seed: int = 5, bucket
     require(docs, ("doc_id", "text"))
     if not 0 < seed <= window:
         raise ValueError("a seed is at least a word and at most a window long")
+    if window - seed > 15:
+        raise ValueError("a window is at most 15 words longer than its seed")
     spark = docs.sparkSession
     n = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packs = _packs(docs)
+    packs = _packs(docs, pack_bytes)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,32 +380,34 @@ def repeated_substrings(docs: DataFrame, window: int = 13, seed: int = 5, bucket
                 out = [(b, _narrow(a[s])) for b, s in _ranges(a, 8 * ANCHOR_BYTES, n)]
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int64()), pa.array([number] * len(out), pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["bucket", "pack", "anchors"])
 
+    def share(found: pa.Table) -> pa.Table:
+        return _shared_anchors(found, hot_packs)
+
     found = packs.mapInArrow(anchors, "bucket long, pack long, anchors binary")
-    shared = written(_told(found, "pack long, bucket long, told binary", _shared_anchors), "substrings-anchors", "none")
+    shared = written(_told(found, share), "substrings-anchors", "none")
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, data, told in zip(batch.column("pack").to_pylist(), batch.column("data"), batch.column("told").to_pylist(), strict=True):
+            for number, data, told, apart in zip(batch.column("pack").to_pylist(), batch.column("data"), batch.column("told").to_pylist(), batch.column("apart").to_pylist(), strict=True):
                 pack, _ = _open(data.as_buffer(), window, seed)
-                at, h = pack.candidates(_wide(told or b""))
-                # the smallest id of a window's documents, as its place among the pack's sorted ids
+                around, at, h = pack.split(_wide(told or b""), _wide(apart or b""))
+                # the smallest id of the documents, as its place among the pack's sorted ids
                 ids, place = np.unique(pack.ids, return_inverse=True)
+                out = [(b, around.anchor[s].astype("<u8").tobytes(), np.ascontiguousarray(around.words[s], "<u4").tobytes(), around.room[s].tobytes(), *_own_ids(ids, np.searchsorted(ids, around.least[s]))) for b, s in _ranges(around.anchor, 64, n)]
                 w, least = _least(h, place[pack.row[at]])
-                out = [(b, w[s], least[s]) for b, s in _ranges(w, 64, n)]
-                rows = [_own_ids(ids, x) for _, _, x in out]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([b for b, _, _ in out], pa.int64()), pa.array([number] * len(out), pa.int64()), pa.array([x.astype("<u8").tobytes() for _, x, _ in out], pa.binary()), pa.array([i for i, _ in rows], pa.binary()), pa.array([x for _, x in rows], pa.binary())],
-                    names=["bucket", "pack", "windows", "ids", "least"],
-                )
+                out += [(b - n, w[s].astype("<u8").tobytes(), b"", b"", *_own_ids(ids, least[s])) for b, s in _ranges(w, 64, n)]
+                columns = [[x[i] for x in out] for i in range(6)]
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array([number] * len(out), pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["bucket", "pack", "anchors", "words", "room", "ids", "least"])
 
-    seen = packs.join(shared, "pack", "left").mapInArrow(windows, "bucket long, pack long, windows binary, ids binary, least binary")
-    smaller = written(_told(seen, "pack long, bucket long, told binary", _smaller_windows), "substrings-windows", "none")
+    seen = packs.join(shared, "pack", "left").mapInArrow(ranges, "bucket long, pack long, anchors binary, words binary, room binary, ids binary, least binary")
+    answers = written(_told(seen, _either).withColumnsRenamed({"told": "masks", "apart": "windows"}), "substrings-answers", "none")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data, told, small in zip(batch.column("data"), batch.column("told").to_pylist(), batch.column("small").to_pylist(), strict=True):
+            for data, *told in zip(batch.column("data"), *(batch.column(c).to_pylist() for c in ("told", "apart", "masks", "windows")), strict=True):
                 pack, whole = _open(data.as_buffer(), window, seed)
-                gone = pack.repeats(_wide(told or b""), np.sort(np.frombuffer(small or b"", "<u8")))
+                elsewhere, hot, masks, small = (x or b"" for x in told)
+                gone = pack.repeats(_wide(elsewhere), _wide(hot), np.frombuffer(masks, "<u2"), np.sort(np.frombuffer(small, "<u8")))
                 texts = _kept(pack, ~gone)
                 counts = np.diff(pack.first)
                 sums = np.concatenate([[0], np.cumsum(gone)])
@@ -263,8 +416,8 @@ def repeated_substrings(docs: DataFrame, window: int = 13, seed: int = 5, bucket
                     columns.append(pa.array(texts, pa.binary()).cast(pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"][: len(columns)])
 
-    joined = packs.join(shared, "pack", "left").join(smaller.withColumnRenamed("told", "small"), "pack", "left")
-    return joined.select("data", "told", "small").mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if with_text else ""))
+    joined = packs.join(shared, "pack", "left").join(answers, "pack", "left")
+    return joined.select("data", "told", "apart", "masks", "windows").mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if with_text else ""))
 
 
 def _own_ids(ids: np.ndarray, place: np.ndarray) -> tuple[bytes, bytes]:
