@@ -45,20 +45,20 @@ def add(flow: Flow) -> None:
                 round(if(len(l) < {LEAST}, 0, greatest(-1, least(1, coalesce(list_dot_product(x[:-2], x[2:]) / nullif(list_dot_product(x[:-2], x[:-2]), 0), 0)))), 6) AS rho_x, round(if(len(l) < {LEAST}, 0, greatest(-1, least(1, coalesce(list_dot_product(y[:-2], y[2:]) / nullif(list_dot_product(y[:-2], y[:-2]), 0), 0)))), 6) AS rho_y FROM c""",
         ),
         self_force_ar1=(
-            f"SELECT code, t.t AS step, round(mean_x + pow(rho_x, t.t) * (last_x - mean_x), 5) AS fx, round(mean_y + pow(rho_y, t.t) * (last_y - mean_y), 4) AS fy FROM predictors CROSS JOIN (SELECT explode(sequence(0, {STEPS})) AS t) t",
+            f"SELECT code, t.t AS step, round(mean_x + pow(rho_x, t.t) * (last_x - mean_x), 5) + 0e0 AS fx, round(mean_y + pow(rho_y, t.t) * (last_y - mean_y), 4) + 0e0 AS fy FROM predictors CROSS JOIN (SELECT explode(sequence(0, {STEPS})) AS t) t",
             f"""WITH RECURSIVE r AS (SELECT code, 0 AS step, last_x AS fx, last_y AS fy, mean_x, mean_y, rho_x, rho_y FROM predictors UNION ALL SELECT code, step + 1, mean_x + rho_x * (fx - mean_x), mean_y + rho_y * (fy - mean_y), mean_x, mean_y, rho_x, rho_y FROM r WHERE step < {STEPS})
-              SELECT code, step, round(fx, 5) AS fx, round(fy, 4) AS fy FROM r""",
+              SELECT code, step, round(fx, 5) + 0 AS fx, round(fy, 4) + 0 AS fy FROM r""",
         ),
         driver_forecasts=(
-            f"""SELECT code, t.t AS step, round(mx, 4) AS m_last_x, round(my, 3) AS m_last_y, round(beta, 6) AS beta_last, round(beta_10, 6) AS beta_mean, CASE WHEN t.t < {STEPS} THEN round(q, 6) END AS q_last FROM (
+            f"""SELECT code, t.t AS step, round(mx, 6) AS m_last_x, round(my, 6) AS m_last_y, round(beta, 6) AS beta_last, round(beta_10, 6) AS beta_mean, CASE WHEN t.t < {STEPS} THEN round(q, 6) END AS q_last FROM (
                 SELECT f.code, f.mx / 1e3 AS mx, f.my / 1e3 AS my, f.beta, d.q, f.back, avg(f.beta) OVER (PARTITION BY f.code ORDER BY f.ts ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS beta_10 FROM own_force f JOIN damped d ON d.code = f.code AND d.ts = f.ts) x CROSS JOIN (SELECT explode(sequence(0, {STEPS})) AS t) t WHERE back = 1""",
             f"""WITH l AS (SELECT f.code, arg_max(f.mx, f.ts) / 1e3 AS mx, arg_max(f.my, f.ts) / 1e3 AS my, arg_max(f.beta, f.ts) AS b, list_avg(list(f.beta ORDER BY f.ts)[-10:]) AS m, arg_max(d.q, d.ts) AS q FROM own_force f JOIN damped d USING (code, ts) GROUP BY f.code)
-              SELECT code, unnest(range(0, {STEPS + 1})) AS step, round(mx, 4) AS m_last_x, round(my, 3) AS m_last_y, round(b, 6) AS beta_last, round(m, 6) AS beta_mean, if(step < {STEPS}, round(q, 6), NULL) AS q_last FROM l""",
+              SELECT code, unnest(range(0, {STEPS + 1})) AS step, round(mx, 6) AS m_last_x, round(my, 6) AS m_last_y, round(b, 6) AS beta_last, round(m, 6) AS beta_mean, if(step < {STEPS}, round(q, 6), NULL) AS q_last FROM l""",
         ),
         ode_prediction=(
-            """SELECT code, ts, round(sx + gx, 4) AS pred_x, round(sy + gy, 3) AS pred_y, round(nx, 4) AS actual_x, round(ny, 3) AS actual_y, round(cosine, 6) AS cosine, CASE WHEN cosine > 0 THEN 1 ELSE 0 END AS dir_match, round(err, 3) AS err FROM (
+            """SELECT code, ts, round(sx + gx, 4) + 0e0 AS pred_x, round(sy + gy, 3) + 0e0 AS pred_y, round(nx, 6) + 0e0 AS actual_x, round(ny, 6) + 0e0 AS actual_y, round(cosine, 6) + 0e0 AS cosine, CASE WHEN cosine > 0 THEN 1 ELSE 0 END AS dir_match, round(err, 3) AS err FROM (
                 SELECT *, ((sx + gx) * nx + (sy + gy) * ny) / (sqrt((sx + gx) * (sx + gx) + (sy + gy) * (sy + gy)) * sqrt(nx * nx + ny * ny) + 1e-30) AS cosine, sqrt((sx + gx - nx) * (sx + gx - nx) + (sy + gy - ny) * (sy + gy - ny)) AS err FROM one_step) x""",
-            """SELECT code, ts, round(p[1], 4) AS pred_x, round(p[2], 3) AS pred_y, round(a[1], 4) AS actual_x, round(a[2], 3) AS actual_y, round(list_dot_product(p, a) / (sqrt(list_dot_product(p, p)) * sqrt(list_dot_product(a, a)) + 1e-30), 6) AS cosine, (list_dot_product(p, a) > 0)::INT AS dir_match,
+            """SELECT code, ts, round(p[1], 4) + 0 AS pred_x, round(p[2], 3) + 0 AS pred_y, round(a[1], 6) + 0 AS actual_x, round(a[2], 6) + 0 AS actual_y, round(list_dot_product(p, a) / (sqrt(list_dot_product(p, p)) * sqrt(list_dot_product(a, a)) + 1e-30), 6) + 0 AS cosine, (list_dot_product(p, a) > 0)::INT AS dir_match,
                 round(list_distance(p, a), 3) AS err FROM (SELECT code, ts, [sx + gx, sy + gy] AS p, [nx, ny] AS a FROM one_step)""",
         ),
         ode_prediction_summary=(
@@ -66,10 +66,10 @@ def add(flow: Flow) -> None:
             """WITH z AS (SELECT code, list_distance([sx + gx, sy + gy], [nx, ny]) AS e, list_dot_product([sx + gx, sy + gy], [nx, ny]) AS d FROM one_step) SELECT code, count(*) AS n_valid, round(count(*) FILTER (WHERE d > 0)::DOUBLE / count(*), 6) AS dir_hit_rate, round(sqrt(sum(e * e) / count(*)), 3) AS rmse, round(avg(e), 3) AS mean_err FROM z GROUP BY code""",
         ),
         oos_alignment=(
-            f"""SELECT code, ts, {label('sqrt(ax * ax + ay * ay)')} AS state_pred, next_state AS state_actual, round(ax, 4) AS a_pred_x, round(ay, 3) AS a_pred_y FROM (SELECT *, gx + hx AS ax, gy + hy AS ay FROM aligned) x WHERE next_state IS NOT NULL""",
+            f"""SELECT code, ts, {label('sqrt(ax * ax + ay * ay)')} AS state_pred, next_state AS state_actual, round(ax, 4) + 0e0 AS a_pred_x, round(ay, 3) + 0e0 AS a_pred_y FROM (SELECT *, gx + hx AS ax, gy + hy AS ay FROM aligned) x WHERE next_state IS NOT NULL""",
             f"""WITH o AS (SELECT code, ts, sx, sy, gx, gy, row_number() OVER (PARTITION BY code ORDER BY ts) AS i FROM one_step), h AS (SELECT a.code, a.ts, any_value(a.gx) + if(any_value(a.i) > {WINDOW}, avg(b.sx), 0) AS ax, any_value(a.gy) + if(any_value(a.i) > {WINDOW}, avg(b.sy), 0) AS ay FROM o a LEFT JOIN o b ON a.code = b.code AND b.i BETWEEN a.i - {WINDOW} AND a.i - 1 GROUP BY a.code, a.ts),
                 n AS (SELECT a.code, a.ts, b.state FROM (SELECT code, ts, row_number() OVER (PARTITION BY code ORDER BY ts) AS i FROM one_step) a JOIN (SELECT o.code, s.state, row_number() OVER (PARTITION BY o.code ORDER BY o.ts) AS i FROM one_step o JOIN states s USING (code, ts)) b ON a.code = b.code AND b.i = a.i + 1)
-              SELECT code, ts, ['none', 'follow', 'accelerating'][1 + (norm >= 0.005)::INT + (norm >= 0.05)::INT] AS state_pred, state AS state_actual, round(ax, 4) AS a_pred_x, round(ay, 3) AS a_pred_y FROM (SELECT *, sqrt(ax ** 2 + ay ** 2) AS norm FROM h) JOIN n USING (code, ts)""",
+              SELECT code, ts, ['none', 'follow', 'accelerating'][1 + (norm >= 0.005)::INT + (norm >= 0.05)::INT] AS state_pred, state AS state_actual, round(ax, 4) + 0e0 AS a_pred_x, round(ay, 3) + 0e0 AS a_pred_y FROM (SELECT *, sqrt(ax ** 2 + ay ** 2) AS norm FROM h) JOIN n USING (code, ts)""",
         ),
         oos_metrics=(
             f"""SELECT code, count(*) AS n_oos, round(avg(CASE WHEN {label('p')} = next_state THEN 1e0 ELSE 0e0 END), 6) AS hit_rate, round(sqrt(avg((p - a) * (p - a))), 3) AS rmse, round(avg(abs(p - a)), 3) AS mae, round(avg(CASE WHEN signum(p) = signum(a) THEN 1e0 ELSE 0e0 END), 6) AS direction_accuracy FROM (
@@ -123,7 +123,7 @@ def trajectory(flow: Flow, steps: int = STEPS) -> Callable[[SparkSession, str],
         state = F.when(c("theta").isNull(), "none").when(c("theta") >= F.pi() / 2, "against").when((c("r") >= 0.5) & (c("theta") < F.pi() / 6), "resonance").when(c("r") >= 0.5, "independent").when(c("r") >= 0.1, "weak_div").when(c("theta") < F.pi() / 6, "follow").otherwise("none")
         balanced = F.abs(c("e_total") - c("e_market") - c("e_self")) <= 1e-9 * F.greatest(c("e_total"), F.lit(1e-12))
         return energy.select(
-            "code", "step", F.round("vx", 3).alias("vx"), F.round("vy", 2).alias("vy"), F.round("dx", 3).alias("dx"), F.round("dy", 2).alias("dy"), F.round(F.sqrt(2 * c("e_total")), 2).alias("speed"), F.round(F.sqrt(2 * c("e_market")), 2).alias("along"), F.round(F.sqrt(2 * c("e_self")), 2).alias("across"),
+            "code", "step", (F.round("vx", 3) + 0.0).alias("vx"), (F.round("vy", 2) + 0.0).alias("vy"), (F.round("dx", 3) + 0.0).alias("dx"), (F.round("dy", 2) + 0.0).alias("dy"), F.round(F.sqrt(2 * c("e_total")), 2).alias("speed"), F.round(F.sqrt(2 * c("e_market")), 2).alias("along"), F.round(F.sqrt(2 * c("e_self")), 2).alias("across"),
             F.round("r", 6).alias("r"), F.round("theta", 5).alias("theta"), F.round(F.abs(c("k")) * F.sqrt(_square(c("dx"), c("dy"))), 2).alias("f_restore"), F.round(F.abs(c("c")) * F.sqrt(_square(c("ux"), c("uy"))), 2).alias("f_damp"), F.round(F.sqrt(_square(c("fx"), c("fy"))), 3).alias("f_self"), balanced.alias("balanced"), state.alias("state"),
         )
 
@@ -135,7 +135,7 @@ TRAJECTORY_SQL = f"""
   UNION ALL SELECT code, k, c, mx, my, beta, fx, fy, step + 1, vx - k * dx - c * (vx - beta * mx) + fx, vy - k * dy - c * (vy - beta * my) + fy, dx + vx - beta * mx, dy + vy - beta * my FROM m WHERE step < {STEPS}),
 w AS (SELECT *, sqrt(vx ** 2 + vy ** 2) AS v, abs(vx * mx + vy * my) / nullif(sqrt(mx ** 2 + my ** 2), 0) AS g, abs(vx * my - vy * mx) / nullif(sqrt(mx ** 2 + my ** 2), 0) AS x FROM m),
 s AS (SELECT *, coalesce(x ** 2 / nullif(v ** 2, 0), 0) AS r, acos(greatest(-1, least(1, (vx * mx + vy * my) / nullif(v * sqrt(mx ** 2 + my ** 2), 0)))) AS t FROM w)
-SELECT code, step, round(vx, 3) AS vx, round(vy, 2) AS vy, round(dx, 3) AS dx, round(dy, 2) AS dy, round(v, 2) AS speed, round(g, 2) AS along, round(x, 2) AS across, round(r, 6) AS r, round(t, 5) AS theta, round(abs(k) * sqrt(dx ** 2 + dy ** 2), 2) AS f_restore,
+SELECT code, step, round(vx, 3) + 0 AS vx, round(vy, 2) + 0 AS vy, round(dx, 3) + 0 AS dx, round(dy, 2) + 0 AS dy, round(v, 2) AS speed, round(g, 2) AS along, round(x, 2) AS across, round(r, 6) AS r, round(t, 5) AS theta, round(abs(k) * sqrt(dx ** 2 + dy ** 2), 2) AS f_restore,
   round(abs(c) * sqrt((vx - beta * mx) ** 2 + (vy - beta * my) ** 2), 2) AS f_damp, round(sqrt(fx ** 2 + fy ** 2), 3) AS f_self, true AS balanced,
   CASE WHEN t IS NULL THEN 'none' WHEN t >= pi() / 2 THEN 'against' WHEN r >= 0.5 AND t < pi() / 6 THEN 'resonance' WHEN r >= 0.5 THEN 'independent' WHEN r >= 0.1 THEN 'weak_div' WHEN t < pi() / 6 THEN 'follow' ELSE 'none' END AS state FROM s
 """
