@@ -56,7 +56,8 @@ class Pack:
         n = len(self.words) - window + 1
         whole = self.row[: max(n, 0)] == self.row[window - 1 :] if n > 0 else np.empty(0, bool)
         self.at = np.flatnonzero(whole)
-        self.anchor = sliding_min(grams(self.words, seed), window - seed + 1)[self.at] if n > 0 else np.empty(0, np.uint64)
+        # the lowest hashes are small numbers: mixed again, so that ranges of them are of one size
+        self.anchor = mix(sliding_min(grams(self.words, seed), window - seed + 1)[self.at]) if n > 0 else np.empty(0, np.uint64)
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """The distinct anchors, and whether more than one document of the pack has them."""
@@ -108,7 +109,7 @@ class Surroundings:
         self.pack = pack
         reach = self.reach = pack.window - pack.seed
         # where in its window the anchor stands: the first of the lowest runs
-        runs_ = grams(pack.words, pack.seed) if len(some) else np.empty(0, np.uint64)
+        runs_ = mix(grams(pack.words, pack.seed)) if len(some) else np.empty(0, np.uint64)
         begin = pack.at[some]
         place = np.full(len(some), -1, np.int64)
         for o in range(reach, -1, -1):
