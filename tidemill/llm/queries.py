@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemill.llm import decontaminate, html_text, langid, neardup, packing, secrets, substrings, tokens, topk, warc
+from tidemill.llm import decontaminate, html_text, langid, licenses, neardup, packing, secrets, substrings, tokens, topk, warc, whitening
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,10 +15,13 @@ QUERIES = {
     "op8_substrings": substrings.op8_substrings,
     "op9_secrets": secrets.op9_secrets,
     "op10_topk": topk.op10_topk,
+    "op11_whitening": whitening.op11_whitening,
+    "op13_licenses": licenses.op13_licenses,
 }
 
 #: The others are held against brute force in tests/llm.
 ORACLE_SQL = {
     "op1_warc": warc.OP1_SQL,
     "op10_topk": topk.OP10_SQL,
+    "op13_licenses": licenses.OP13_SQL,
 }
