@@ -28,13 +28,15 @@ def tables(spark, tmp_path_factory):
     spark.createDataFrame(PAGES, "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
     spark.createDataFrame(items(), "item_id string, text string").write.parquet(f"{folder}/benchmark.parquet")
     spark.createDataFrame(vectors, "vec_id long, embedding array<double>").write.parquet(f"{folder}/embeddings.parquet")
+    talk = [(c, k, "user" if k % 2 else None, f"t{c % 3} of {k}") for c in range(60) for k in range(c % 5)]
+    spark.createDataFrame(talk, "conv_id long, turn long, role string, text string").write.parquet(f"{folder}/conversations.parquet")
     return str(folder), {r[0]: r for r in documents}
 
 
 @pytest.fixture(scope="module")
 def empties(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("empty")
-    for name, schema in (("documents", DOCS), ("pages", "page_id long, url string, html string"), ("benchmark", "item_id string, text string"), ("embeddings", "vec_id long, embedding array<double>")):
+    for name, schema in (("documents", DOCS), ("pages", "page_id long, url string, html string"), ("benchmark", "item_id string, text string"), ("embeddings", "vec_id long, embedding array<double>"), ("conversations", "conv_id long, turn long, role string, text string")):
         spark.createDataFrame([], schema).write.parquet(f"{folder}/{name}.parquet")
     return str(folder)
 
@@ -51,7 +53,7 @@ def test_empty_tables(spark, empties, name):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql(spark, tables, name):
     db = duckdb.connect()
-    for t in ("pages", "embeddings"):
+    for t in ("pages", "embeddings", "documents", "conversations"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tables[0]}/{t}.parquet/*.parquet'")
     want = db.execute(queries.ORACLE_SQL[name]).df()
     got = queries.QUERIES[name](spark, tables[0]).toPandas()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemill.llm import decontaminate, html_text, langid, licenses, neardup, packing, secrets, substrings, tokens, topk, warc, whitening
+from tidemill.llm import conversations, decontaminate, html_text, langid, licenses, neardup, packing, secrets, substrings, tokens, topk, warc, whitening
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_secrets": secrets.op9_secrets,
     "op10_topk": topk.op10_topk,
     "op11_whitening": whitening.op11_whitening,
+    "op12_prefix_trie": conversations.op12_prefix_trie,
     "op13_licenses": licenses.op13_licenses,
 }
 
@@ -23,5 +24,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_warc": warc.OP1_SQL,
     "op10_topk": topk.OP10_SQL,
+    "op12_prefix_trie": conversations.OP12_SQL,
     "op13_licenses": licenses.OP13_SQL,
 }
