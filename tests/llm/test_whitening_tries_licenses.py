@@ -164,7 +164,7 @@ NOTICE = licenses.TEMPLATES[2][1]
 LICENSED = [
     (1, "Released under the MIT License."), (2, None), (3, ""), (4, "mit license MIT-LICENSE  Mit\nlicense"), (5, "prose " + NOTICE + " prose " * 9 + NOTICE), (5, "prose " + NOTICE + " prose " * 9 + NOTICE),
     (None, "cc by cc by"), (6, NOTICE.replace("without restriction", "with no other restriction").replace("copies of the Software,", "all copies of the Software,")), (7, NOTICE[: len(NOTICE) // 2]), (8, "MİT LİCENSE miT license K"),
-    (9, "é" * 3 + " cc by-nc 4.0 " * 400 + "Licensed under CC BY-NC 4.0."), (10, " ".join(NOTICE.split()[::-1])), (11, "x " * 60_000 + NOTICE + " y" * 60_000), (12, "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. THIS SOFTWARE"),
+    (9, "é" * 3 + " cc by-nc 4.0 " * 400 + "Licensed under CC BY-NC 4.0."), (10, " ".join(NOTICE.split()[::-1])), (11, "x " * 6_000 + NOTICE + " y" * 6_000), (12, "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. THIS SOFTWARE"),
 ]
 
 

@@ -145,17 +145,23 @@ def _quoted(text: str) -> str:
 
 _SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+
+def _next(n: int) -> str:
+    """SQL: the next n words of a text, joined."""
+    return " || ' ' || ".join(f"lead(word, {j}) OVER along" if j else "word" for j in range(n))
+
+
 OP13_SQL = f"""
 WITH w AS (SELECT row_number() OVER () AS nr, doc_id, {_SQL_WORDS} AS words FROM documents),
-base AS (
-  SELECT nr, unnest(list_filter(range(len(words)), lambda i: words[i + 1 : i + p.n] = p.phrase)) AS place, p.label
-  FROM w, (VALUES {", ".join(f"({p.split(' ')}, {len(p.split(' '))}, {_quoted(label)})" for p, label in PHRASES.items())}) p(phrase, n, label)
-), t AS (
-  SELECT tpl, label, {_SQL_WORDS} AS words FROM (VALUES {", ".join(f"({i}, {_quoted(label)}, {_quoted(text)})" for i, (label, text) in enumerate(TEMPLATES))}) x(tpl, label, text)
+placed AS (SELECT nr, unnest(words) AS word, unnest(range(len(words))) AS pos FROM w),
+grams AS (SELECT nr, pos, {", ".join(f"{_next(n)} AS g{n}" for n in sorted({len(p.split(" ")) for p in PHRASES} | {K}))} FROM placed WINDOW along AS (PARTITION BY nr ORDER BY pos)),
+base AS ({" UNION ALL ".join(f"SELECT nr, pos AS place, {_quoted(label)} AS label FROM grams WHERE g{len(p.split(' '))} = {_quoted(p)}" for p, label in PHRASES.items())}),
+t AS (
+  SELECT tpl, label, len(words) AS n, unnest(words) AS word, unnest(range(len(words))) AS tpos
+  FROM (SELECT tpl, label, {_SQL_WORDS} AS words FROM (VALUES {", ".join(f"({i}, {_quoted(label)}, {_quoted(text)})" for i, (label, text) in enumerate(TEMPLATES))}) x(tpl, label, text))
 ), met AS (
   SELECT d.nr, g.tpl, g.label, g.n, d.pos, g.tpos, d.pos - g.tpos AS diagonal
-  FROM (SELECT nr, i AS pos, words[i + 1 : i + {K}] AS gram FROM (SELECT nr, words, unnest(range(len(words) - {K - 1})) AS i FROM w)) d
-  JOIN (SELECT tpl, label, len(words) AS n, i AS tpos, words[i + 1 : i + {K}] AS gram FROM (SELECT tpl, label, words, unnest(range(len(words) - {K - 1})) AS i FROM t)) g USING (gram)
+  FROM grams d JOIN (SELECT tpl, label, n, tpos, {_next(K)} AS gram FROM t WINDOW along AS (PARTITION BY tpl ORDER BY tpos)) g ON d.g{K} = g.gram
 ), merged AS (
   SELECT nr, tpl, diagonal, sum(apart) OVER (PARTITION BY nr, tpl ORDER BY diagonal) AS nth
   FROM (SELECT nr, tpl, diagonal, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY nr, tpl ORDER BY diagonal) > {SLACK} THEN 1 ELSE 0 END AS apart FROM (SELECT DISTINCT nr, tpl, diagonal FROM met))
