@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tidemill.operators import backtests, cross_section, dynamics, features, folds, learning, patterns, pool, selection, stability, studies, trajectory, validation, walk_forward
+from tidemill.operators import backtests, cross_section, dynamics, features, folds, learning, patterns, pool, regression, selection, stability, studies, trajectory, validation, walk_forward
 from tidemill.plans.flow import Flow
 from tidemill.sources import bars, store
 from tidemill.streaming import quotes
@@ -22,6 +22,6 @@ def flow() -> Flow:
 QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
 _FLOW = flow()
-for _queries, _sql in (_FLOW.registered(), folds.registered(_FLOW), quotes.registered(_FLOW), learning.registered(_FLOW), validation.registered(_FLOW), trajectory.registered(_FLOW), walk_forward.registered(_FLOW), store.registered(_FLOW), pool.registered(_FLOW)):
+for _queries, _sql in (_FLOW.registered(), folds.registered(_FLOW), quotes.registered(_FLOW), learning.registered(_FLOW), regression.registered(_FLOW), validation.registered(_FLOW), trajectory.registered(_FLOW), walk_forward.registered(_FLOW), store.registered(_FLOW), pool.registered(_FLOW)):
     QUERIES |= _queries
     ORACLE_SQL |= _sql
