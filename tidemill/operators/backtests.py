@@ -154,10 +154,10 @@ def add(flow: Flow) -> None:
             """WITH d AS (SELECT a.nav / max(b.nav) - 1 AS down FROM nav a JOIN nav b ON b.month <= a.month GROUP BY a.month, a.nav) SELECT count(*) AS n, round(product(1 + ret) - 1, 6) AS total, round(product(1 + ret) ** (12.0 / count(*)) - 1, 6) AS ann, round(sqrt(12 * var_samp(ret)), 6) AS vol, round(avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(12), 5) AS sharpe, (SELECT round(min(down), 6) FROM d) AS max_drawdown FROM portfolio WHERE ret > -1""",
         ),
         two_layer_ranking=(
-            """SELECT code, nth, round(ret, 6) AS ret, round(alpha_index, 6) AS alpha_index, round(alpha_sector, 6) AS alpha_sector, row_number() OVER (ORDER BY round(alpha_sector, 8) DESC, code) AS nth_sector FROM (SELECT *, ret - sector AS alpha_sector FROM (SELECT r.code, r.ret, r.ret - x.ri AS alpha_index, s.sector, row_number() OVER (ORDER BY round(r.ret - x.ri, 8) DESC, r.code) AS nth FROM (
+            """SELECT code, nth, round(ret, 6) AS ret, round(alpha_index, 6) AS alpha_index, round(alpha_sector, 6) AS alpha_sector, row_number() OVER (ORDER BY round(alpha_sector, 8) DESC, code) AS nth_sector FROM (SELECT *, ret - sector AS alpha_sector, row_number() OVER (ORDER BY round(alpha_index, 8) DESC, code) AS nth FROM (SELECT r.code, r.ret, r.ret - x.ri AS alpha_index, s.sector FROM (
                 SELECT code, max(CASE WHEN nth = 1 THEN close END) / max(CASE WHEN nth = 21 THEN close END) - 1 AS ret FROM (SELECT code, close, row_number() OVER (PARTITION BY code ORDER BY ts DESC) AS nth FROM bars) a WHERE nth IN (1, 21) GROUP BY code) r JOIN master m ON m.code = r.code
               JOIN (SELECT index_code, max(CASE WHEN nth = 1 THEN close END) / max(CASE WHEN nth = 21 THEN close END) - 1 AS ri FROM (SELECT index_code, close, row_number() OVER (PARTITION BY index_code ORDER BY ts DESC) AS nth FROM index_bars) b WHERE nth IN (1, 21) GROUP BY index_code) x ON x.index_code = m.index_code
-              CROSS JOIN (SELECT max(CASE WHEN nth = 1 THEN med END) / max(CASE WHEN nth = 21 THEN med END) - 1 AS sector FROM (SELECT med, row_number() OVER (ORDER BY ts DESC) AS nth FROM (SELECT ts, median(close) AS med FROM bars GROUP BY ts) c) d WHERE nth IN (1, 21)) s WHERE r.ret IS NOT NULL) e WHERE nth <= 20) f""",
+              CROSS JOIN (SELECT max(CASE WHEN nth = 1 THEN med END) / max(CASE WHEN nth = 21 THEN med END) - 1 AS sector FROM (SELECT med, row_number() OVER (ORDER BY ts DESC) AS nth FROM (SELECT ts, median(close) AS med FROM bars GROUP BY ts) c) d WHERE nth IN (1, 21)) s WHERE r.ret IS NOT NULL ORDER BY round(r.ret - x.ri, 8) DESC, r.code LIMIT 20) e) f""",
             """WITH l AS (SELECT code, list(close ORDER BY ts DESC) AS l FROM bars GROUP BY code HAVING count(*) > 20), i AS (SELECT index_code, list(close ORDER BY ts DESC) AS l FROM index_bars GROUP BY ALL), s AS (SELECT list(v ORDER BY ts DESC) AS l FROM (SELECT ts, quantile_cont(close, 0.5) AS v FROM bars GROUP BY ts)),
                 t AS (SELECT l.code, l.l[1] / l.l[21] - 1 AS ret, l.l[1] / l.l[21] - i.l[1] / i.l[21] AS a, l.l[1] / l.l[21] - s.l[1] / s.l[21] AS b FROM l JOIN master m USING (code) JOIN i USING (index_code), s), u AS (SELECT *, row_number() OVER (ORDER BY round(a, 8) DESC, code) AS nth FROM t QUALIFY nth <= 20)
               SELECT code, nth, round(ret, 6) AS ret, round(a, 6) AS alpha_index, round(b, 6) AS alpha_sector, row_number() OVER (ORDER BY round(b, 8) DESC, code) AS nth_sector FROM u""",

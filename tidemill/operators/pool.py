@@ -79,8 +79,8 @@ def add(flow: Flow) -> None:
             f"SELECT if(ts > DATE '{SPLIT}', 'test', 'train') AS part, count(*) AS n, count(DISTINCT ts) AS n_dates, min(ts) AS first_ts, max(ts) AS last_ts FROM pool_rows GROUP BY ALL",
         ),
         seeded_sample=(
-            "SELECT code, ts FROM (SELECT code, ts, count(*) OVER (PARTITION BY 0) AS total FROM pool_keys) x WHERE total <= 1000 OR (code * 7919 + datediff(ts, date '1970-01-01') * 104729 + 42) % 1000 < 300",
-            "SELECT code, ts FROM pool_keys WHERE (SELECT count(*) FROM pool_keys) <= 1000 OR (code * 7919 + date_diff('day', DATE '1970-01-01', ts) * 104729 + 42) % 1000 < 300",
+            "SELECT code, ts FROM pool_keys WHERE (SELECT count(*) FROM pool_keys) <= 50000 OR (code * 7919 + datediff(ts, date '1970-01-01') * 104729 + 42) % 1000 < 300",
+            "SELECT code, ts FROM pool_keys WHERE (SELECT count(*) FROM pool_keys) <= 50000 OR (code * 7919 + date_diff('day', DATE '1970-01-01', ts) * 104729 + 42) % 1000 < 300",
         ),
     )
     flow.step(pool_keys="SELECT code, ts FROM pool_rows")
