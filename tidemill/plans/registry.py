@@ -14,7 +14,7 @@ FLAGSHIP = "state_distribution"
 
 def flow() -> Flow:
     made = Flow()
-    for part in (bars, features, cross_section, dynamics, selection, studies, stability, validation, trajectory, backtests, walk_forward, window_statistics, pool, patterns):
+    for part in (bars, features, cross_section, dynamics, selection, studies, stability, validation, trajectory, backtests, walk_forward, window_statistics, pool, patterns, quotes):
         part.add(made)
     return made
 
