@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from tidemill.llm._spark import require, table, unused, with_columns, written
 from tidemill.llm._text import ALNUM, LOWER, byte_values, hashes, passes, runs, utf8
+from tidemill.operators.ranking import preceding
 
 MAX_ITEM_BYTES = 2 << 20
 
@@ -210,8 +211,8 @@ def _search(docs: DataFrame, items: DataFrame, window: int, names: tuple[str, st
     With ``max_coverage``, the same pass cuts the spans out and leaves out what is more
     covered: one Python worker a task, not two.
     """
-    rows = items.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t")).where(F.col("t").isNotNull()).collect()
-    shared = docs.sparkSession.sparkContext.broadcast(Automaton([(r["i"], r["t"]) for r in rows], window))
+    rows = items.select("item_id", "text").collect()
+    shared = docs.sparkSession.sparkContext.broadcast(Automaton([(r["item_id"], r["text"]) for r in rows], window))
     spans_type = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,8 +257,20 @@ def _cut(batch: pa.RecordBatch, spans: list[list[dict]], counts: np.ndarray, max
     return pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(pa.array(keep))
 
 
+def _distinct(items: DataFrame) -> DataFrame:
+    """item_id and text, as strings, each pair once: items that repeat find nothing more."""
+    return items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull()).distinct()
+
+
 def _bytes(items: DataFrame) -> int:
-    return items.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0]
+    return items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+
+
+def _dealt(items: DataFrame, most: int, name: str) -> DataFrame:
+    """``items`` with a shard number: by running size, so that a shard exceeds ``most`` bytes by its last item at most."""
+    rows = items.withColumn("_h", F.xxhash64("item_id", "text")).withColumn("_g", F.hash("text", "item_id"))
+    placed = preceding(rows, ["_h", "_g", "item_id"], F.octet_length("text").cast("long"), name="_before")
+    return placed.select("item_id", "text", F.floor(F.col("_before") / F.lit(most)).alias(name))
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10, max_item_bytes: int = MAX_ITEM_BYTES, names: tuple[str, str, str] = NAMES) -> DataFrame:
@@ -265,21 +278,23 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, max_item_
 
     ``docs`` has doc_id and text, ``items`` item_id and text. Null texts have no words;
     an item without words is ignored; an item without an id hits words but is not named.
+    Repeated items count once. More than ``max_item_bytes`` of items are dealt into shards
+    of about that size, each a pass; one item must fit.
     Repeated documents are rows of their own; an empty table on either side finds nothing.
     Columns of ``docs`` named like the results (``names``) are replaced.
     """
     require(docs, ("doc_id", "text"))
     require(items, ("item_id", "text"))
-    docs = docs.drop(*names).withColumn("text", F.col("text").cast("string"))
-    shards = -(-_bytes(items) // max_item_bytes)
-    if shards <= 1:
+    docs, items = docs.drop(*names).withColumn("text", F.col("text").cast("string")), _distinct(items)
+    if _bytes(items) <= max_item_bytes:
         return _search(docs, items, window, names)
     n_words, spans, found = names
     row = unused(docs, "row")
     rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "decontaminate-rows")
+    items = written(_dealt(items, max_item_bytes, "shard"), "decontaminate-items")
     parts = None
-    for k in range(shards):
-        shard = items.where(F.pmod(F.xxhash64(F.col("item_id").cast("string"), "text"), F.lit(shards)) == k)
+    for (k,) in sorted(items.select("shard").distinct().collect()):
+        shard = items.where(F.col("shard") == k)
         part = written(_search(rows.select(row, "text"), shard, window, names).drop("text"), "decontaminate-shard")
         parts = part if parts is None else parts.unionByName(part)
     united = parts.groupBy(row).agg(
@@ -309,7 +324,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, max_cover
     """
     require(docs, ("doc_id", "text"))
     require(items, ("item_id", "text"))
-    docs = docs.withColumn("text", F.col("text").cast("string"))
+    docs, items = docs.withColumn("text", F.col("text").cast("string")), _distinct(items)
     if _bytes(items) <= max_item_bytes:
         clean = _search(docs, items, window, NAMES, max_coverage)
     else:

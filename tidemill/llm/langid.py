@@ -244,25 +244,29 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = S
     learned is decided by ids, labels and lengths: of at most ``sample_docs`` labelled rows
     a language, each gives a window of an equal share of ``sample_chars`` characters. Rows
     whose label, text or id is null, or that are held out, are not learned from, also where
-    their id repeats; of rows that repeat an id and a label each counts.
+    their id repeats; texts under one id and label are rows of their own, and rows that
+    repeat all of them count once.
     """
     require(docs, ("doc_id", "text", "lang"))
     rows = docs.select(F.col("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     labelled = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).withColumn("h", F.xxhash64("doc_id"))
+    labelled = labelled.withColumn("key", F.xxhash64("text"))
     # ranked in parts of a language first, so that no task sees all of a common one
-    chosen = labelled.select("lang", "h", "doc_id", F.pmod(F.xxhash64("h"), F.lit(64)).alias("part"))
-    for keys in (("lang", "part"), ("lang",)):
-        nth = F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc_id"))
+    keys = ["lang", "h", "doc_id", "key"]
+    chosen = labelled.select(*keys).distinct().withColumn("part", F.pmod(F.xxhash64("h", "key"), F.lit(64)))
+    for group in (("lang", "part"), ("lang",)):
+        nth = F.row_number().over(Window.partitionBy(*group).orderBy("h", "doc_id", "key"))
         chosen = chosen.withColumn("nth", nth).where(F.col("nth") <= sample_docs).drop("nth")
     size = F.floor(F.lit(sample_chars) / F.count(F.lit(1)).over(Window.partitionBy("lang")))
-    ids = chosen.withColumn("size", size).select("lang", "doc_id", "size").distinct()
+    chosen = chosen.withColumn("size", size).drop("part")
     at = F.pmod("h", F.greatest(F.lit(1), F.length("text") - F.col("size") + 1))
-    picked = labelled.join(F.broadcast(ids), ["lang", "doc_id"])  # sample_docs rows a language
-    picked = picked.select("lang", "h", "doc_id", F.substring("text", (at + 1).cast("int"), F.col("size").cast("int")).alias("part"))
-    samples: dict[str, list[tuple[int, int, str]]] = {}
+    picked = labelled.join(F.broadcast(chosen), keys)  # sample_docs rows a language
+    # rows that repeat a chosen one are as good as it: at most sample_docs windows a language reach the driver
+    picked = picked.select(*keys, F.substring("text", (at + 1).cast("int"), F.col("size").cast("int")).alias("part")).groupBy(*keys).agg(F.min("part").alias("part"))
+    samples: dict[str, list[tuple[int, int, int, str]]] = {}
     for r in picked.collect():
-        samples.setdefault(r["lang"], []).append((r["h"], r["doc_id"], r["part"]))
-    return fit({k: [t for _, _, t in sorted(v)] for k, v in samples.items()})
+        samples.setdefault(r["lang"], []).append((r["h"], r["doc_id"], r["key"], r["part"]))
+    return fit({k: [v[-1] for v in sorted(rows)] for k, rows in samples.items()})
 
 
 def identify(docs: DataFrame, model: Model, predicted: str = "lang_pred", scored: str = "score") -> DataFrame:
