@@ -16,7 +16,7 @@ def add(flow: Flow) -> None:
         ic=f"SELECT ts, h, count(*) AS n, {correlation('rf', 'ry')} AS ic FROM ranked GROUP BY ts, h HAVING count(*) >= 20 AND count(DISTINCT f) > 1 AND count(DISTINCT y) > 1",
         quintile_edges="SELECT ts, h, " + ", ".join(f"percentile(f, {q}) AS e{i}" for i, q in enumerate((0.2, 0.4, 0.6, 0.8))) + ", count(*) AS n FROM ranked GROUP BY ts, h",
         quintiles=f"SELECT r.ts, r.h, {edge_bucket('f', ['e0', 'e1', 'e2', 'e3'])} + 1 AS q, avg(y) AS y FROM ranked r JOIN quintile_edges e ON r.ts = e.ts AND r.h = e.h WHERE e.n >= 10 GROUP BY r.ts, r.h, {edge_bucket('f', ['e0', 'e1', 'e2', 'e3'])} + 1",
-        monthly_rank="SELECT code, month, avg(rf) AS r FROM (SELECT code, cast(date_trunc('month', ts) AS date) AS month, rf FROM ranked WHERE h = 5) x GROUP BY code, month",
+        monthly_rank="SELECT code, month, avg(rf) AS r FROM (SELECT code, cast(date_trunc('month', ts) AS date) AS month, row_number() OVER (PARTITION BY ts ORDER BY f, code) AS rf FROM factors WHERE f IS NOT NULL) x GROUP BY code, month",
         month_order="SELECT month, lag(month) OVER (ORDER BY month) AS before FROM (SELECT DISTINCT month FROM monthly_rank) x",
         demeaned="""SELECT code, ts, f - avg(f) OVER (PARTITION BY ts, industry) AS df, s - avg(s) OVER (PARTITION BY ts, industry) AS ds, count(*) OVER (PARTITION BY ts) AS n FROM (
             SELECT code, ts, industry, f, ln(1 + size) AS s FROM factors WHERE f IS NOT NULL AND size IS NOT NULL) x""",

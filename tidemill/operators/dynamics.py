@@ -12,6 +12,8 @@ from tidemill.plans.flow import Flow
 
 #: States by precedence of their rules' names in reports.
 STATES = ("follow", "weak_div", "accelerating", "independent", "against", "returning", "resonance", "none")
+#: The most frequent state, the first in the order of the labels among equals.
+FIRST_OF_MOST = "max_by(state, struct(n, -CASE state " + " ".join(f"WHEN '{s}' THEN {i}" for i, s in enumerate(STATES)) + " END))"
 
 
 def classify(k: str, c: str) -> dict[str, str]:
@@ -28,7 +30,7 @@ def classify(k: str, c: str) -> dict[str, str]:
         WHEN {minus_one} THEN 'critical_period2' WHEN {plus_one} THEN 'critical_real_unit' WHEN {disc} < -1e-8 THEN 'critical_periodic' ELSE 'critical_real_unit' END)"""
     stability = f"(CASE WHEN abs({k}) < 1e-8 THEN 'critical' WHEN {radius} < 1 - 1e-8 THEN 'schur_stable' WHEN {radius} > 1 + 1e-8 THEN 'unstable' ELSE 'critical' END)"
     mode = f"(CASE WHEN {disc} > 1e-8 THEN 'real_distinct' WHEN {disc} < -1e-8 THEN 'complex_conjugate' ELSE 'real_double' END)"
-    response = f"(CASE WHEN {c} < 0 THEN 'anti_damped' WHEN {disc} > 1e-8 THEN 'overdamped' WHEN {disc} < -1e-8 THEN 'underdamped' ELSE 'critical' END)"
+    response = f"(CASE WHEN {k} < 0 THEN 'anti_damped' WHEN abs({k} - {c}) < 1e-9 THEN 'critical' WHEN {k} < {c} THEN 'overdamped' ELSE 'underdamped' END)"
     return {"disc": disc, "radius": radius, "wedge": wedge, "class": label, "stability": stability, "mode": mode, "response": response, "distance": f"least({k}, {c} - {k}, 2 + {k} / 2 - {c})"}
 
 
@@ -80,7 +82,7 @@ def add(flow: Flow) -> None:
     flow.query(
         state_distribution="SELECT code, state, n, round(n / cast(sum(n) OVER (PARTITION BY code) AS double), 8) AS share FROM (SELECT code, state, count(*) AS n FROM states GROUP BY code, state) s",
         state_counts="SELECT code, " + ", ".join(f"count_if(state = '{s}') AS {s}" for s in STATES) + " FROM states GROUP BY code",
-        dominant_state="""SELECT code, max_by(state, struct(n, state)) AS dominant, max(n) AS n FROM (SELECT code, state, count(*) AS n FROM states GROUP BY code, state) x GROUP BY code""",
+        dominant_state=f"""SELECT code, {FIRST_OF_MOST} AS dominant, max(n) AS n FROM (SELECT code, state, count(*) AS n FROM states GROUP BY code, state) x GROUP BY code""",
         top_states="SELECT code, state, n, nth FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY n DESC, state) AS nth FROM (SELECT code, state, count(*) AS n FROM states GROUP BY code, state) a) b WHERE nth <= 3",
         state_series="SELECT code, ts, state FROM states",
         stock_index_pairs="SELECT code, ts, index_code, sv, sa, iv, ia FROM pairs",
@@ -97,7 +99,7 @@ def add(flow: Flow) -> None:
         identifiability_audit="SELECT identification, quality, count(*) AS n, round(median(r2), 6) AS r2_median, round(median(cond), 3) AS cond_median FROM kc GROUP BY identification, quality",
         kc_month_end="SELECT code, asof_date, n, round(k, 6) AS k_hat, round(c, 6) AS c_hat FROM kc_time",
         kc_evolution="SELECT code, asof_date, round(k - lag(k) OVER (PARTITION BY code ORDER BY asof_date), 6) AS dk, round(c - lag(c) OVER (PARTITION BY code ORDER BY asof_date), 6) AS dc FROM kc_time",
-        state_kc="SELECT d.dominant, count(*) AS n, round(median(k), 6) AS k_median, round(median(c), 6) AS c_median, round(avg(c), 6) AS c_mean FROM kc JOIN (SELECT code, max_by(state, struct(n, state)) AS dominant FROM (SELECT code, state, count(*) AS n FROM states GROUP BY code, state) x GROUP BY code) d ON kc.code = d.code GROUP BY d.dominant",
+        state_kc=f"SELECT d.dominant, count(*) AS n, round(median(k), 6) AS k_median, round(median(c), 6) AS c_median, round(avg(c), 6) AS c_mean FROM kc JOIN (SELECT code, {FIRST_OF_MOST} AS dominant FROM (SELECT code, state, count(*) AS n FROM states GROUP BY code, state) x GROUP BY code) d ON kc.code = d.code GROUP BY d.dominant",
         eigen_summary="SELECT code, round(k, 6) AS k, round(c, 6) AS c, round(disc, 6) AS disc, round(rho, 6) AS rho, in_wedge, class, stability, mode, response, round(distance, 6) AS distance FROM eigen",
         eigen_population="SELECT class, stability, count(*) AS n, count_if(in_wedge) AS in_wedge, count_if(abs(distance) < 0.05) AS near_boundary FROM eigen GROUP BY class, stability",
         industry_stability="SELECT industry, n, round(rho, 6) AS rho, round(rho_25, 6) AS rho_25, round(rho_75, 6) AS rho_75, round(k, 6) AS k, round(c, 6) AS c, round(wedge, 6) AS wedge, round(stable, 6) AS stable, round(distance, 6) AS distance FROM sector_si",

@@ -17,8 +17,10 @@ def fee(amount: str, exchange: str, sale: bool) -> str:
 
 def add(flow: Flow) -> None:
     flow.step(
-        month_close="SELECT code, month, max_by(close, ts) AS close, max_by(f, ts) AS f FROM (SELECT code, ts, close, f, cast(date_trunc('month', ts) AS date) AS month FROM factors WHERE f IS NOT NULL) x GROUP BY code, month",
-        picks="SELECT month, code, close, 1.0 / 10 AS weight, nth FROM (SELECT *, row_number() OVER (PARTITION BY month ORDER BY f DESC, code) AS nth, count(*) OVER (PARTITION BY month) AS n FROM month_close) x WHERE nth <= 10 AND n >= 10",
+        month_close="SELECT code, month, max(ts) AS ts, max_by(close, ts) AS close, max_by(f, ts) AS f FROM (SELECT code, ts, close, f, cast(date_trunc('month', ts) AS date) AS month FROM factors WHERE f IS NOT NULL) x GROUP BY code, month",
+        month_dates="SELECT cast(date_trunc('month', ts) AS date) AS month, max(ts) AS ts FROM factors GROUP BY cast(date_trunc('month', ts) AS date)",
+        # a code without a value on the month's last date is no candidate
+        picks="SELECT month, code, close, 1.0 / 10 AS weight, nth FROM (SELECT c.*, row_number() OVER (PARTITION BY c.month ORDER BY c.f DESC, c.code) AS nth, count(*) OVER (PARTITION BY c.month) AS n FROM month_close c JOIN month_dates d ON d.month = c.month AND d.ts = c.ts) x WHERE nth <= 10 AND n >= 10",
         next_month="SELECT code, month, lead(close) OVER (PARTITION BY code ORDER BY month) / close - 1 AS ret FROM month_close",
         portfolio="SELECT p.month, sum(p.weight * coalesce(n.ret, 0)) AS ret FROM picks p JOIN next_month n ON p.code = n.code AND p.month = n.month GROUP BY p.month",
         nav="SELECT month, ret, exp(sum(ln(1 + ret)) OVER (ORDER BY month ROWS UNBOUNDED PRECEDING)) AS nav FROM portfolio WHERE ret > -1",

@@ -7,7 +7,7 @@ Spark one (filters and lists for windows and joins, ``QUALIFY`` for ranks).
 from __future__ import annotations
 
 from tidemill.functions.exprs import clip
-from tidemill.operators.dynamics import classify
+from tidemill.operators.dynamics import FIRST_OF_MOST, STATES, classify
 from tidemill.plans.flow import Flow
 
 #: Codes that an industry holds at least, and at least in the second attempt; industries that satisfy.
@@ -218,18 +218,18 @@ def add(flow: Flow) -> None:
                 count(*) FILTER (WHERE round(fm, 6) < round(fi, 6)) AS worsened, round((count(*) FILTER (WHERE round(fm, 6) > round(fi, 6)))::DOUBLE / count(*), 6) AS improved_share, round(quantile_cont(abs(km - ki), 0.5), 5) AS k_gap_median FROM p""",
         ),
         factor_panel_full=(
-            """SELECT code, factor_name, round(value_num, 5) AS value_num, value_str, asof_date, 'loaded' AS status FROM (
+            f"""SELECT code, factor_name, round(value_num, 5) AS value_num, value_str, asof_date, 'loaded' AS status FROM (
                 SELECT code, factor_name, value_num, cast(NULL AS string) AS value_str, cast(NULL AS date) AS asof_date FROM (SELECT code, stack(7, 'k', k, 'c', c, 'c_over_k', CASE WHEN abs(k) > 1e-12 THEN c / k END, 'log_c_over_k', CASE WHEN abs(k) > 1e-12 THEN log10(abs(c / k) + 1e-12) END,
                   'rho', rho, 'theta', theta, 'dist_to_unit', 1 - rho) AS (factor_name, value_num) FROM angled) a
                 UNION ALL SELECT code, 'regime', NULL, regime, NULL FROM angled
                 UNION ALL SELECT code, concat('state_p_', state), n / total, NULL, NULL FROM (SELECT code, state, count(*) AS n, cast(sum(count(*)) OVER (PARTITION BY code) AS double) AS total FROM states GROUP BY code, state) s
-                UNION ALL SELECT code, 'state_dominant', NULL, max_by(state, struct(n, state)), NULL FROM (SELECT code, state, count(*) AS n FROM states GROUP BY code, state) s GROUP BY code
+                UNION ALL SELECT code, 'state_dominant', NULL, {FIRST_OF_MOST}, NULL FROM (SELECT code, state, count(*) AS n FROM states GROUP BY code, state) s GROUP BY code
                 UNION ALL SELECT code, factor_name, value_num, NULL, asof_date FROM (SELECT code, asof_date, stack(4, 'delta_k', dk, 'delta_c', dc, 'delta_rho', drho, 'delta_theta', dtheta) AS (factor_name, value_num) FROM evolved) d WHERE value_num IS NOT NULL) x""",
-            """SELECT code, factor_name, round(value_num, 5) AS value_num, value_str, asof_date, 'loaded' AS status FROM (
+            f"""SELECT code, factor_name, round(value_num, 5) AS value_num, value_str, asof_date, 'loaded' AS status FROM (
                 SELECT code, unnest(['k', 'c', 'c_over_k', 'log_c_over_k', 'rho', 'theta', 'dist_to_unit']) AS factor_name, unnest([k, c, if(abs(k) > 1e-12, c / k, NULL), if(abs(k) > 1e-12, log10(abs(c / k) + 1e-12), NULL), rho, theta, 1 - rho]) AS value_num, NULL AS value_str, NULL::DATE AS asof_date FROM angled
                 UNION ALL SELECT code, 'regime', NULL, regime, NULL FROM angled
                 UNION ALL SELECT s.code, 'state_p_' || s.state, count(*)::DOUBLE / any_value(t.total), NULL, NULL FROM states s JOIN (SELECT code, count(*) AS total FROM states GROUP BY code) t USING (code) GROUP BY s.code, s.state
-                UNION ALL SELECT code, 'state_dominant', NULL, arg_max(state, (n, state)), NULL FROM (SELECT code, state, count(*) AS n FROM states GROUP BY ALL) GROUP BY code
+                UNION ALL SELECT code, 'state_dominant', NULL, arg_max(state, (n, -list_position({list(STATES)}, state))), NULL FROM (SELECT code, state, count(*) AS n FROM states GROUP BY ALL) GROUP BY code
                 UNION ALL SELECT code, factor_name, value_num, NULL, asof_date FROM (SELECT code, asof_date, unnest(['delta_k', 'delta_c', 'delta_rho', 'delta_theta']) AS factor_name, unnest([dk, dc, drho, dtheta]) AS value_num FROM evolved) WHERE value_num IS NOT NULL)""",
         ),
         batch_manifest=(

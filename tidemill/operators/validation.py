@@ -50,7 +50,8 @@ def add(flow: Flow) -> None:
         tested_factors="""SELECT f.code, f.ts, f.industry, n.factor, CASE n.factor WHEN 'momentum' THEN f.f WHEN 'size' THEN f.size WHEN 'rho' THEN e.rho ELSE e.distance END AS value, f.y1, f.y5, f.y10, f.y20
             FROM forward f LEFT JOIN eigen e ON e.code = f.code CROSS JOIN (VALUES ('momentum'), ('size'), ('rho'), ('distance')) AS n(factor)""",
         tested_long="SELECT code, ts, industry, factor, value, h, y FROM (SELECT code, ts, industry, factor, value, h.h, CASE h.h WHEN 1 THEN y1 WHEN 5 THEN y5 WHEN 10 THEN y10 ELSE y20 END AS y FROM tested_factors CROSS JOIN (VALUES (1), (5), (10), (20)) AS h(h) WHERE value IS NOT NULL) x WHERE y IS NOT NULL",
-        tested_ranks=f"SELECT factor, h, ts, industry, value, y, {average_rank('value', 'factor, h, ts')} AS a, {average_rank('y', 'factor, h, ts')} AS b, ntile(5) OVER (PARTITION BY factor, h, ts ORDER BY value, code) AS fifth FROM tested_long",
+        tested_ranks=f"SELECT factor, h, ts, industry, value, y, {average_rank('value', 'factor, h, ts')} AS a, {average_rank('y', 'factor, h, ts')} AS b, fifth FROM (SELECT l.*, " + quantile_bucket("l.value", "e.edges") + " AS fifth FROM tested_long l JOIN tested_edges e ON e.factor = l.factor AND e.h = l.h AND e.ts = l.ts) x",
+        tested_edges="SELECT factor, h, ts, array_distinct(percentile(value, array(0.0, 0.2, 0.4, 0.6, 0.8, 1.0))) AS edges FROM tested_long GROUP BY factor, h, ts",
         tested_daily=f"""SELECT factor, h, ts, count(*) AS n, {correlation('a', 'b')} AS ic, avg(CASE WHEN fifth = 1 THEN y END) AS q1, avg(CASE WHEN fifth = 2 THEN y END) AS q2, avg(CASE WHEN fifth = 3 THEN y END) AS q3,
             avg(CASE WHEN fifth = 4 THEN y END) AS q4, avg(CASE WHEN fifth = 5 THEN y END) AS q5 FROM tested_ranks GROUP BY factor, h, ts HAVING count(*) >= 10 AND count(DISTINCT value) > 1""",
         tested_all="""SELECT factor, h, sum(n) AS n_obs, count(*) AS n_dates, avg(ic) AS ic_mean, stddev_samp(ic) AS ic_std, avg(ic) / nullif(stddev_samp(ic), 0) AS ir, avg(ic) / nullif(stddev_samp(ic) / sqrt(count(*)), 0) AS t,
@@ -100,9 +101,9 @@ def add(flow: Flow) -> None:
         ),
         factor_validation=(
             f"SELECT factor, h, n_obs, n_dates, round(ic_mean, 7) AS ic_mean, round(ic_std, 7) AS ic_std, round(ir, 6) AS ir, round({p_t}, 6) AS p, " + ", ".join(f"round(q{i}, 7) AS q{i}" for i in range(1, 6)) + ", round(q5 - q1, 7) AS spread FROM tested_all",
-            f"""WITH u AS (SELECT * FROM (UNPIVOT (SELECT code, ts, factor, value, y1 AS "1", y5 AS "5", y10 AS "10", y20 AS "20" FROM tested_factors WHERE value IS NOT NULL) ON "1", "5", "10", "20" INTO NAME h VALUE y)),
-                d AS (SELECT factor, h, ts, count(*) AS n, corr(a, b) AS ic, """ + ", ".join(f"avg(y) FILTER (WHERE w = {i}) AS q{i}" for i in range(1, 6)) + f""" FROM (SELECT factor, h, ts, value, y, ntile(5) OVER (PARTITION BY factor, h, ts ORDER BY value, code) AS w,
-                  rank() OVER (PARTITION BY factor, h, ts ORDER BY value) + (count(*) OVER (PARTITION BY factor, h, ts, value) - 1) / 2 AS a, rank() OVER (PARTITION BY factor, h, ts ORDER BY y) + (count(*) OVER (PARTITION BY factor, h, ts, y) - 1) / 2 AS b FROM u) GROUP BY ALL HAVING count(*) >= 10 AND count(DISTINCT value) > 1)
+            f"""WITH u AS (SELECT * FROM (UNPIVOT (SELECT code, ts, factor, value, y1 AS "1", y5 AS "5", y10 AS "10", y20 AS "20" FROM tested_factors WHERE value IS NOT NULL) ON "1", "5", "10", "20" INTO NAME h VALUE y)), o AS (SELECT factor, h, ts, list_sort(list_distinct(quantile_cont(value, [0, 0.2, 0.4, 0.6, 0.8, 1]))) AS edges FROM u WHERE y IS NOT NULL GROUP BY ALL),
+                d AS (SELECT factor, h, ts, count(*) AS n, corr(a, b) AS ic, """ + ", ".join(f"avg(y) FILTER (WHERE w = {i}) AS q{i}" for i in range(1, 6)) + f""" FROM (SELECT u.factor, u.h, u.ts, value, y, greatest(len([x FOR x IN edges IF x < value]), 1) AS w,
+                  rank() OVER (PARTITION BY factor, h, ts ORDER BY value) + (count(*) OVER (PARTITION BY factor, h, ts, value) - 1) / 2 AS a, rank() OVER (PARTITION BY factor, h, ts ORDER BY y) + (count(*) OVER (PARTITION BY factor, h, ts, y) - 1) / 2 AS b FROM u JOIN o USING (factor, h, ts)) GROUP BY ALL HAVING count(*) >= 10 AND count(DISTINCT value) > 1)
               SELECT factor, h::INT AS h, n_obs, n_dates, round(m, 7) AS ic_mean, round(s, 7) AS ic_std, round(m / nullif(s, 0), 6) AS ir, round({duck_p('(m / nullif(s, 0) * sqrt(n_dates))', '(n_dates - 1)')}, 6) AS p, """ + ", ".join(f"round(q{i}, 7) AS q{i}" for i in range(1, 6)) + """, round(q5 - q1, 7) AS spread
               FROM (SELECT factor, h, sum(n) AS n_obs, count(*) AS n_dates, avg(ic) AS m, stddev_samp(ic) AS s, """ + ", ".join(f"avg(q{i}) AS q{i}" for i in range(1, 6)) + " FROM d GROUP BY ALL)",
         ),

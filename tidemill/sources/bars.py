@@ -26,12 +26,12 @@ def add(flow: Flow) -> None:
         bars=_bars("week"),
         bars_m=_bars("month"),
         named="""SELECT s_suppkey AS code, n_nationkey, n_name AS industry, n_regionkey AS region_id, s_acctbal,
-            CASE WHEN s_suppkey % 17 = 0 THEN concat('*ST ', s_name) WHEN s_suppkey % 23 = 0 THEN concat(s_name, '退') WHEN s_suppkey % 29 = 0 THEN '' ELSE s_name END AS name,
+            CASE WHEN s_suppkey % 37 = 0 THEN NULL WHEN s_suppkey % 34 = 0 THEN concat('ST', s_name) WHEN s_suppkey % 17 = 0 THEN concat('*ST ', s_name) WHEN s_suppkey % 23 = 0 THEN concat(s_name, '退') WHEN s_suppkey % 29 = 0 THEN '' ELSE s_name END AS name,
             CASE WHEN n_regionkey % 2 = 0 THEN 'SH' ELSE 'SZ' END AS exchange,
             CASE WHEN s_suppkey % 31 = 0 THEN 'BJ' WHEN n_regionkey % 2 = 0 THEN 'SH' ELSE 'SZ' END AS market
           FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey""",
-        master="""SELECT *, CASE WHEN market = 'BJ' THEN 'bj' WHEN name LIKE '%退%' THEN 'delisted' WHEN upper(name) LIKE '%ST %' THEN 'st'
-            WHEN name = '' THEN 'unknown' ELSE 'active' END AS status,
+        master="""SELECT *, CASE WHEN market = 'BJ' THEN 'bj' WHEN name LIKE '%退%' THEN 'delisted' WHEN upper(name) LIKE '%ST%' THEN 'st'
+            WHEN coalesce(name, '') = '' THEN 'unknown' ELSE 'active' END AS status,
             CASE WHEN exchange = 'SH' THEN '000001.SH' ELSE '399001.SZ' END AS index_code FROM named""",
         membership="""SELECT concat('88', lpad(cast(n_nationkey AS string), 4, '0')) AS sector_code, industry AS sector_name, code AS member_code, n_nationkey AS ord FROM named
           UNION ALL SELECT concat('99', lpad(cast(region_id AS string), 4, '0')), concat('region ', cast(region_id AS string)), code, 100 + region_id FROM named""",
@@ -46,7 +46,7 @@ def add(flow: Flow) -> None:
         security_master="SELECT code, name, market, exchange, industry, status, index_code FROM master",
         status_counts="SELECT status, market, count(*) AS n FROM master GROUP BY status, market",
         stock_universe="SELECT DISTINCT member_code AS code, m.name FROM membership JOIN master m ON m.code = member_code WHERE m.status = 'active' AND m.market <> 'BJ'",
-        not_st_or_delisted="SELECT code, name FROM master WHERE upper(name) NOT LIKE '%ST %' AND name NOT LIKE '%退%'",
+        not_st_or_delisted="SELECT code, name FROM master WHERE upper(coalesce(name, '')) NOT LIKE '%ST%' AND coalesce(name, '') NOT LIKE '%退%'",
         first_membership="""SELECT member_code, sector_code, sector_name FROM (SELECT *, row_number() OVER (PARTITION BY member_code ORDER BY ord, sector_code) AS nth FROM membership) x WHERE nth = 1""",
         sector_universe="SELECT sector_code, sector_name, count(DISTINCT member_code) AS n_members FROM membership GROUP BY sector_code, sector_name",
         name_lookup="SELECT b.code, coalesce(nullif(m.name, ''), 'unknown') AS name, coalesce(m.market, '') AS market, count(*) AS n FROM bars b LEFT JOIN master m ON b.code = m.code GROUP BY 1, 2, 3",
