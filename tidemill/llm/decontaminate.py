@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 
 from tidemill.llm._spark import require, table, unused, with_columns, written
 from tidemill.llm._text import ALNUM, LOWER, byte_values, hashes, passes, runs, utf8
-from tidemill.operators.ranking import preceding
 
 MAX_ITEM_BYTES = 2 << 20
 
@@ -268,6 +267,8 @@ def _bytes(items: DataFrame) -> int:
 
 def _dealt(items: DataFrame, most: int, name: str) -> DataFrame:
     """``items`` with a shard number: by running size, so that a shard exceeds ``most`` bytes by its last item at most."""
+    from tidemill.operators.ranking import preceding  # the driver alone needs it
+
     rows = items.withColumn("_h", F.xxhash64("item_id", "text")).withColumn("_g", F.hash("text", "item_id"))
     placed = preceding(rows, ["_h", "_g", "item_id"], F.octet_length("text").cast("long"), name="_before")
     return placed.select("item_id", "text", F.floor(F.col("_before") / F.lit(most)).alias(name))
