@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from tidemill.operators import backtests, cross_section, dynamics, features, folds, learning, patterns, pool, ranking, regression, selection, stability, studies, trajectory, validation, walk_forward, window_statistics
 from tidemill.plans.flow import Flow
-from tidemill.sources import bars, store
+from tidemill.sources import bars, ingest, store
 from tidemill.streaming import quotes
 
 FLAGSHIP = "state_distribution"
@@ -14,7 +14,7 @@ FLAGSHIP = "state_distribution"
 
 def flow() -> Flow:
     made = Flow()
-    for part in (bars, features, cross_section, dynamics, selection, studies, stability, validation, trajectory, backtests, walk_forward, window_statistics, pool, patterns, quotes):
+    for part in (bars, features, cross_section, dynamics, selection, studies, stability, validation, trajectory, backtests, walk_forward, window_statistics, pool, patterns, quotes, ingest):
         part.add(made)
     return made
 
@@ -22,6 +22,6 @@ def flow() -> Flow:
 QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
 _FLOW = flow()
-for _queries, _sql in (_FLOW.registered(), folds.registered(_FLOW), quotes.registered(_FLOW), learning.registered(_FLOW), regression.registered(_FLOW), ranking.registered(_FLOW), validation.registered(_FLOW), trajectory.registered(_FLOW), walk_forward.registered(_FLOW), store.registered(_FLOW), pool.registered(_FLOW)):
+for _queries, _sql in (_FLOW.registered(), folds.registered(_FLOW), quotes.registered(_FLOW), learning.registered(_FLOW), regression.registered(_FLOW), ranking.registered(_FLOW), validation.registered(_FLOW), trajectory.registered(_FLOW), walk_forward.registered(_FLOW), store.registered(_FLOW), ingest.registered(_FLOW), pool.registered(_FLOW)):
     QUERIES |= _queries
     ORACLE_SQL |= _sql
