@@ -15,14 +15,13 @@ HORIZONS, BACK, LEAST = (1, 5), 5, 20
 
 
 def add(flow: Flow) -> None:
-    order = "struct(l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity)"
     periods = ", ".join(f"('{p}')" for p in PERIODS)
     whole = lambda x: f"CASE WHEN max({x}) OVER w - min({x}) OVER w > 1e-12 THEN ({x} - min({x}) OVER w) / (max({x}) OVER w - min({x}) OVER w) ELSE 0e0 END AS {x}"
     step = lambda x: f"lead({x}) OVER (PARTITION BY code, period ORDER BY ts) - {x} AS d_{x}"
     both = lambda a, b: f"sum({a.format('v')} * {b.format('v')} + {a.format('a')} * {b.format('a')})"
     s, m, ds, dm = "s{}", "m{}", "d_s{}", "d_m{}"
     flow.step(
-        day_bars=f"SELECT code, l_shipdate AS day, min_by(px, {order}) AS open, max(px) AS high, min(px) AS low, max_by(px, {order}) AS close, sum(l_quantity) AS volume, sum(l_extendedprice) AS amount FROM lines GROUP BY code, l_shipdate",
+        day_bars=f"SELECT code, l_shipdate AS day, min_by(px, place) AS open, max(px) AS high, min(px) AS low, max_by(px, place) AS close, sum(l_quantity) AS volume, sum(l_extendedprice) AS amount FROM lines GROUP BY code, l_shipdate",
         period_bars=f"""SELECT code, p.p AS period, cast(date_trunc(p.p, day) AS date) AS ts, min_by(open, day) AS open, max(high) AS high, min(low) AS low, max_by(close, day) AS close, sum(volume) AS volume, round(sum(amount), 2) AS amount, count(*) AS n_days
           FROM day_bars CROSS JOIN (VALUES {periods}) AS p(p) GROUP BY code, p.p, cast(date_trunc(p.p, day) AS date)""",
         period_index="SELECT m.index_code, period, ts, sum(volume) AS volume, round(sum(amount), 2) AS amount FROM period_bars b JOIN master m ON m.code = b.code GROUP BY m.index_code, period, ts",

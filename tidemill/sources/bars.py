@@ -8,21 +8,22 @@ from __future__ import annotations
 
 from tidemill.plans.flow import Flow
 
-_ORDER = "struct(l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity)"
+#: Place of a line in time as one number (day, order, line): a first and a last by it are hash aggregates.
+_ORDER = "((year(l_shipdate) - 1900) * 366 + dayofyear(l_shipdate)) * 8796093022208 * 4 + l_orderkey * 8 + l_linenumber"
 
 
 def _bars(unit: str) -> str:
     return f"""
     SELECT code, cast(date_trunc('{unit}', l_shipdate) AS date) AS ts,
-      min_by(px, {_ORDER}) AS open, max(px) AS high, min(px) AS low, max_by(px, {_ORDER}) AS close,
+      min_by(px, place) AS open, max(px) AS high, min(px) AS low, max_by(px, place) AS close,
       sum(l_quantity) AS volume, round(sum(l_extendedprice), 2) AS amount
     FROM lines GROUP BY code, cast(date_trunc('{unit}', l_shipdate) AS date)"""
 
 
 def add(flow: Flow) -> None:
     flow.step(
-        lines="""SELECT l_suppkey AS code, l_extendedprice / l_quantity AS px, l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity
-          FROM {lineitem} WHERE l_quantity > 0 AND l_extendedprice > 0""",
+        lines=f"""SELECT l_suppkey AS code, l_extendedprice / l_quantity AS px, l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity, {_ORDER} AS place
+          FROM {{lineitem}} WHERE l_quantity > 0 AND l_extendedprice > 0""",
         bars=_bars("week"),
         bars_m=_bars("month"),
         named="""SELECT s_suppkey AS code, n_nationkey, n_name AS industry, n_regionkey AS region_id, s_acctbal,
