@@ -50,8 +50,9 @@ def add(flow: Flow) -> None:
         tested_factors="""SELECT f.code, f.ts, f.industry, n.factor, CASE n.factor WHEN 'momentum' THEN f.f WHEN 'size' THEN f.size WHEN 'rho' THEN e.rho ELSE e.distance END AS value, f.y1, f.y5, f.y10, f.y20
             FROM forward f LEFT JOIN eigen e ON e.code = f.code CROSS JOIN (VALUES ('momentum'), ('size'), ('rho'), ('distance')) AS n(factor)""",
         tested_long="SELECT code, ts, industry, factor, value, h, y FROM (SELECT code, ts, industry, factor, value, h.h, CASE h.h WHEN 1 THEN y1 WHEN 5 THEN y5 WHEN 10 THEN y10 ELSE y20 END AS y FROM tested_factors CROSS JOIN (VALUES (1), (5), (10), (20)) AS h(h) WHERE value IS NOT NULL) x WHERE y IS NOT NULL",
-        tested_ranks=f"SELECT factor, h, ts, industry, value, y, {average_rank('value', 'factor, h, ts')} AS a, {average_rank('y', 'factor, h, ts')} AS b, fifth FROM (SELECT l.*, " + quantile_bucket("l.value", "e.edges") + " AS fifth FROM tested_long l JOIN tested_edges e ON e.factor = l.factor AND e.h = l.h AND e.ts = l.ts) x",
-        tested_edges="SELECT factor, h, ts, array_distinct(percentile(value, array(0.0, 0.2, 0.4, 0.6, 0.8, 1.0))) AS edges FROM tested_long GROUP BY factor, h, ts",
+        tested_ranks=f"SELECT factor, h, ts, industry, value, y, {average_rank('value', 'factor, h, ts')} AS a, {average_rank('y', 'factor, h, ts')} AS b, fifth FROM (SELECT l.*, 1 + " + " + ".join(f"CASE WHEN value > e{i} AND e{i} > e{i - 1} THEN 1 ELSE 0 END" for i in range(1, 5)) + " AS fifth FROM tested_long l JOIN tested_edges e ON e.factor = l.factor AND e.h = l.h AND e.ts = l.ts) x",
+        # a bucket holds its right edge; equal edges make one
+        tested_edges="SELECT factor, h, ts, min(value) AS e0, " + ", ".join(f"percentile(value, 0.{2 * i}) AS e{i}" for i in range(1, 5)) + " FROM tested_long GROUP BY factor, h, ts",
         tested_daily=f"""SELECT factor, h, ts, count(*) AS n, {correlation('a', 'b')} AS ic, avg(CASE WHEN fifth = 1 THEN y END) AS q1, avg(CASE WHEN fifth = 2 THEN y END) AS q2, avg(CASE WHEN fifth = 3 THEN y END) AS q3,
             avg(CASE WHEN fifth = 4 THEN y END) AS q4, avg(CASE WHEN fifth = 5 THEN y END) AS q5 FROM tested_ranks GROUP BY factor, h, ts HAVING count(*) >= 10 AND count(DISTINCT value) > 1""",
         tested_all="""SELECT factor, h, sum(n) AS n_obs, count(*) AS n_dates, avg(ic) AS ic_mean, stddev_samp(ic) AS ic_std, avg(ic) / nullif(stddev_samp(ic), 0) AS ir, avg(ic) / nullif(stddev_samp(ic) / sqrt(count(*)), 0) AS t,
