@@ -90,7 +90,7 @@ _RELEVANCE_SQL = f"""
     tested AS (SELECT feature, n, n_up, u, CASE WHEN x IS NULL THEN NULL WHEN x = 0 THEN 1 WHEN x > 6 THEN 0 ELSE 1 - 2 / sqrt(pi()) * list_sum([exp(-x * x + 2 * j * ln(2) + (2 * j + 1) * ln(x) - lgamma(2 * j + 2) + lgamma(j + 1)) FOR j IN range(200)]) END AS p FROM scored),
     stepped AS (SELECT *, row_number() OVER (ORDER BY p NULLS LAST, feature) AS i, (SELECT count(p) FROM tested) AS m FROM tested),
     cut AS (SELECT coalesce(max(i) FILTER (WHERE p <= {LEVEL} * i / m), 0) AS strict, coalesce(max(i) FILTER (WHERE p <= {RELAXED} * i / m), 0) AS loose FROM stepped)
-    SELECT feature, n, n_up, round(u, 1) AS u, round(greatest(p, 0), 6) + 0 AS p, p IS NOT NULL AND i <= CASE WHEN strict > 0 THEN strict ELSE loose END AS selected FROM stepped, cut"""
+    SELECT feature, n, n_up, round(u, 1) AS u, round(CASE WHEN p < 0 THEN 0 ELSE p END, 6) + 0 AS p, p IS NOT NULL AND i <= CASE WHEN strict > 0 THEN strict ELSE loose END AS selected FROM stepped, cut"""
 
 
 def _proxy_query(flow: Flow, clusters: int = 20) -> Callable[[SparkSession, str], DataFrame]:
