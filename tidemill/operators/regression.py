@@ -19,7 +19,7 @@ from tidemill.plans.flow import Flow
 from tidemill.plans.scratch import stored
 
 #: Turns of each pair of columns; eigenvalues below this share of the largest are none.
-SWEEPS, RANK = 10, 1e-14
+SWEEPS, RANK = 7, 1e-14
 
 
 def moments(columns: list[str]) -> Column:
