@@ -293,6 +293,34 @@ def test_language_model_and_brute_force():
     assert langid.predict(langid.fit({}), ["abc"])[0] == ["und"]
 
 
+@pytest.mark.parametrize(("block", "side"), [(512, 2048), (7, 3), (1, 1), (16, 64)])
+def test_phrases_run_on_over_blocks(monkeypatch, block, side):
+    monkeypatch.setattr(langid, "BLOCK", block)
+    monkeypatch.setattr(langid, "SIDE_BY_SIDE", side)
+    draw = random.Random(block)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 200)]  # more than the dense columns
+    samples = {"ab": ["".join(draw.choices("ab ", k=400))], "abc": ["".join(draw.choices("abc", k=300))], "far": ["".join(draw.choices(letters, k=600))], "one": ["a" * 600]}
+    model = langid.fit(samples)
+    plain = {k: " ".join(langid.normal(v[0]).split()) for k, v in samples.items()}
+    texts = ["a" * 1500, "ab" * 700, None, "", " ", "a   b" * 30, samples["far"][0][40:300] * 3, "x" * 40]
+    texts += ["".join(draw.choices(["a", "b", "c", " ", "  ", draw.choice(letters)], k=draw.randrange(1200))) for _ in range(8)]
+    counts, seen = langid.phrases(model, texts)
+    for row, n, text in zip(counts.tolist(), seen.tolist(), texts, strict=True):
+        assert row == list(langid.brute_force(plain, text or "").values())
+        assert n == sum(c.isalpha() for c in text or "")
+
+
+def test_language_samples_are_whole_texts(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(langid, "fit", lambda samples: seen.update(samples))
+    texts = {"en": ["abcd " * 30, "efgh " * 40, "long " * 200, "12 3", ""], "de": ["wort " * 3000, "text " * 2500], "xx": ["...", None]}
+    rows = [(i * 4 + j, lang, t) for j, (lang, kept) in enumerate(texts.items()) for i, t in enumerate(kept * 3)]
+    langid.learn(spark.createDataFrame(rows, "doc_id long, lang string, text string"), sample_chars=4000)
+    assert set(seen) == {"en", "de"} and all(t in texts["en"] for t in seen["en"])
+    assert len(set(seen["en"])) >= 2 and sum(map(len, seen["en"])) <= 4000
+    assert [len(t) for t in seen["de"]] == [4000] and any(seen["de"][0] in t for t in texts["de"])
+
+
 def test_language_held_out(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = langid.op2_language_id(spark, sf_dir).join(docs.select("doc_id", "lang"), "doc_id").toPandas()

@@ -5,8 +5,11 @@ parsed against it into the longest phrases that occur in the sample; a language
 sample explains the text needs few phrases. The language with the fewest phrases per
 letter wins.
 
-All texts are parsed whole, in blocks of ``BLOCK`` characters: the blocks of a batch, in
-all languages, step through dense transition arrays side by side.
+All texts are parsed whole. The blocks of a batch, ``BLOCK`` characters each, step through
+dense transition arrays side by side in all languages, every one as if a phrase began with
+it. Then the phrase that is open at the end of a block is carried into the next one, beside
+the parse that began there, until both stand in the same state: counts are those of one
+parse over the whole text, whatever the size of a block.
 """
 
 from __future__ import annotations
@@ -22,12 +25,15 @@ from pyspark.sql import functions as F
 
 from tidemill.llm._spark import require, table, with_columns
 
-#: Characters of a block; phrases do not cross its borders.
+#: Characters of a block, a matter of speed alone: phrases run on over its borders.
 BLOCK = 512
-#: Labelled text that is learned: documents of each language at most, and characters of
-#: all of them; each gives a window of an equal share, from a place that its id decides.
+#: Blocks that are parsed side by side.
+SIDE_BY_SIDE = 2048
+#: Labelled text that is learned: whole texts of each language, at most so many and of at
+#: most so many characters together; texts within the share come before longer ones.
 SAMPLE_DOCS = 256
 SAMPLE_CHARS = 40_000
+SHARE = 1 / 8
 #: Letters that have a column in the dense table; rarer ones are looked up among the arcs.
 DENSE = 120
 PAD, SPACE, UNKNOWN = 0, 1, 2
@@ -114,7 +120,8 @@ def fit(samples: dict[str, list[str]]) -> Model:
     for name in texts:
         ids = np.array([SPACE if c == " " else symbols[c] for c in texts[name]], np.int64)
         follow, n = suffix_automaton(ids)
-        step = np.full((n, width), -1, np.int32)
+        # rows of this and the earlier languages are numbered together
+        step = np.full((n, width), -1, np.int32 if 2 * (base + n) * width < 2**31 else np.int64)
         for s, out in enumerate(follow):
             for c, to in out.items():
                 if c < width:
@@ -148,54 +155,111 @@ def _alphabetic() -> np.ndarray:
 def phrases(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Phrases of each text by each language, and the letters in each text."""
     lut = _lut(model)
-    n_texts, n_languages = len(texts), len(model.languages)
-    counts = np.zeros((n_texts, n_languages), np.int64)
-    letters = np.zeros(n_texts, np.int64)
-    todo: list[np.ndarray] = []
+    n_languages = len(model.languages)
+    counts = np.zeros((len(texts), n_languages), np.int64)
+    letters = np.zeros(len(texts), np.int64)
+    blocks: list[np.ndarray] = []
     owner: list[int] = []
+    # which blocks begin and end their text; the states at the end of what was parsed before
+    begins: list[bool] = []
+    closes: list[bool] = []
+    before = model.roots
 
     def flush() -> None:
-        if not todo:
-            return
-        order = np.array(owner)
-        grid = np.zeros((len(todo), BLOCK), np.int32)
-        for i, block in enumerate(todo):
-            grid[i, : len(block)] = block
-        grid[:, 1:][(grid[:, 1:] == SPACE) & (grid[:, :-1] == SPACE)] = PAD
-        some = grid >= UNKNOWN
-        np.add.at(letters, order, some.sum(1))
-        grid = np.ascontiguousarray(grid.T)
-        dense = np.where(grid < model.width, grid, UNKNOWN)
-        has_rare = (grid >= model.width).any(1).tolist()
-        root = np.repeat(model.roots, len(todo))
-        state = root
-        ends = np.zeros(len(state), np.int64)
-        for t, column in enumerate(dense):
-            to = model.steps[state + np.tile(column, n_languages)]
-            if has_rare[t]:
-                symbol = np.tile(grid[t], n_languages)
-                some = np.flatnonzero(symbol >= model.width)
-                to[some] = model.rare(state[some], root[some], symbol[some])
-            ends += to & 1
-            state = to >> 1
-        ends += state != root
-        np.add.at(counts, order, ends.reshape(n_languages, -1).T)
-        todo.clear()
-        owner.clear()
+        nonlocal before
+        n = len(blocks)
+        grid = np.zeros((BLOCK, n), np.int32)
+        for i, block in enumerate(blocks):
+            grid[: len(block), i] = block
+        root = np.repeat(model.roots, n)
+        ends, fresh = _parse(model, grid, root)
+        state = fresh.copy()
+        first = np.tile(begins, n_languages)
+        extra = np.zeros(len(root), np.int64)
+        lead = np.arange(n_languages) * n
+        todo = np.flatnonzero(~first)
+        while len(todo):
+            came = state[todo - 1]
+            at = todo % n == 0
+            came[at] = before[todo[at] // n]
+            extra[todo], end = _carry(model, grid, todo, came, root[todo], fresh[todo])
+            moved = todo[end != state[todo]]
+            state[todo] = end
+            # parses that did not meet in their block: the blocks behind it came from elsewhere
+            todo = np.setdiff1d(moved + 1, lead)
+            todo = todo[todo < len(root)]
+            todo = todo[~first[todo]]
+        ends += extra + (np.tile(closes, n_languages) & (state != root))
+        np.add.at(counts, np.array(owner), ends.reshape(n_languages, n).T)
+        before = state[lead + n - 1]
+        for kept in (blocks, owner, begins, closes):
+            kept.clear()
 
     for r, text in enumerate(texts):
         if not text:
             continue
         ids = lut[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)]
+        letters[r] = (ids >= UNKNOWN).sum()
+        ids[1:][(ids[1:] == SPACE) & (ids[:-1] == SPACE)] = PAD
         for a in range(0, len(ids), BLOCK):
-            todo.append(ids[a : a + BLOCK])
+            blocks.append(ids[a : a + BLOCK])
             owner.append(r)
-            if len(todo) >= 2048:
+            begins.append(a == 0)
+            closes.append(a + BLOCK >= len(ids))
+            if len(blocks) == SIDE_BY_SIDE:
                 flush()
-    flush()
+    if blocks:
+        flush()
     return counts, letters
 
 
+def _step(model: Model, state: np.ndarray, root: np.ndarray, symbol: np.ndarray, rare: bool) -> np.ndarray:
+    """``steps`` of states by symbols, also of those beyond the dense columns where there are any."""
+    to = model.steps[state + (np.where(symbol < model.width, symbol, UNKNOWN) if rare else symbol)]
+    if rare:
+        some = np.flatnonzero(symbol >= model.width)
+        to[some] = model.rare(state[some], root[some], symbol[some])
+    return to
+
+
+def _parse(model: Model, grid: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Phrases that end in each block by each language, and the state at its end, from the root on."""
+    state, n = root, grid.shape[1]
+    ends = np.zeros(len(root), np.int64)
+    has_rare = (grid >= model.width).any(1).tolist()
+    for column, rare in zip(grid, has_rare, strict=True):
+        to = _step(model, state, root, np.tile(column, len(root) // n), rare)
+        ends += to & 1
+        state = to >> 1
+    return ends, state
+
+
+def _carry(model: Model, grid: np.ndarray, at: np.ndarray, came: np.ndarray, root: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Blocks ``at`` entered in the states ``came``: phrases more than from the root on, and the state at the end.
+
+    Both parses step along until they meet; ``fresh`` is where the one from the root (or
+    any that met it) ends.
+    """
+    block = at % grid.shape[1]
+    more = np.zeros(len(at), np.int64)
+    end = fresh.copy()
+    live = np.flatnonzero(came != root)
+    one, two = came[live], root[live]
+    for t in range(len(grid)):
+        if t % 8 == 0:
+            apart = one != two
+            live, one, two = live[apart], one[apart], two[apart]
+            if not len(live):
+                return more, end
+        symbol = grid[t, block[live]]
+        rare = bool((symbol >= model.width).any())
+        one, two = (_step(model, s, root[live], symbol, rare) for s in (one, two))
+        more[live] += (one & 1).astype(np.int64) - (two & 1)
+        one, two = one >> 1, two >> 1
+    end[live] = one
+    return more, end
+
+
 _LUTS: dict[tuple, np.ndarray] = {}
 
 
@@ -238,30 +302,34 @@ def held_out() -> Column:
 
 
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Model:
-    """A model of a bounded sample: of each language the documents whose ids hash lowest.
-
-    Every language found in ``docs`` is learned. Which rows and which part of a text are
-    learned is decided by ids, labels and lengths: of at most ``sample_docs`` labelled rows
-    a language, each gives a window of an equal share of ``sample_chars`` characters. Rows
-    whose label, text or id is null, or that are held out, are not learned from, also where
-    their id repeats; texts under one id and label are rows of their own, and rows that
-    repeat all of them count once.
+    """A model of a bounded sample: of each language the whole texts whose ids hash lowest.
+
+    Every language with a letter in ``docs`` is learned: texts of at most ``SHARE`` of
+    ``sample_chars`` characters first, then longer ones, each in the order of their ids'
+    hashes, as long as they are at most ``sample_docs`` and within ``sample_chars``. Only a
+    language whose first text alone is longer gives a window of it, from a place that its
+    id decides. Rows whose label, text or id is null, that hold no letter, or that are held
+    out, are not learned from, also where their id repeats; texts under one id and label
+    are rows of their own, and rows that repeat all of them count once.
     """
     require(docs, ("doc_id", "text", "lang"))
     rows = docs.select(F.col("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    labelled = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).withColumn("h", F.xxhash64("doc_id"))
+    labelled = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & F.col("doc_id").isNotNull() & ~held_out()).withColumn("h", F.xxhash64("doc_id"))
     labelled = labelled.withColumn("key", F.xxhash64("text"))
     # ranked in parts of a language first, so that no task sees all of a common one
     keys = ["lang", "h", "doc_id", "key"]
-    chosen = labelled.select(*keys).distinct().withColumn("part", F.pmod(F.xxhash64("h", "key"), F.lit(64)))
+    chosen = labelled.groupBy(*keys).agg(F.max(F.length("text")).alias("size")).withColumn("part", F.pmod(F.xxhash64("h", "key"), F.lit(64)))
+    order = [F.col("size") > sample_chars * SHARE, F.col("h"), F.col("doc_id"), F.col("key")]
     for group in (("lang", "part"), ("lang",)):
-        nth = F.row_number().over(Window.partitionBy(*group).orderBy("h", "doc_id", "key"))
-        chosen = chosen.withColumn("nth", nth).where(F.col("nth") <= sample_docs).drop("nth")
-    size = F.floor(F.lit(sample_chars) / F.count(F.lit(1)).over(Window.partitionBy("lang")))
-    chosen = chosen.withColumn("size", size).drop("part")
+        nth = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+        chosen = chosen.withColumn("nth", nth).where(F.col("nth") <= sample_docs)
+    # sample_docs rows a language
+    total = F.sum("size").over(Window.partitionBy("lang").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    chosen = chosen.withColumn("total", total).where((F.col("total") <= sample_chars) | (F.col("nth") == 1))
+    chosen = chosen.select(*keys, F.least("size", F.lit(sample_chars)).alias("size"))
     at = F.pmod("h", F.greatest(F.lit(1), F.length("text") - F.col("size") + 1))
-    picked = labelled.join(F.broadcast(chosen), keys)  # sample_docs rows a language
-    # rows that repeat a chosen one are as good as it: at most sample_docs windows a language reach the driver
+    picked = labelled.join(F.broadcast(chosen), keys)
+    # rows that repeat a chosen one are as good as it: at most sample_docs texts a language reach the driver
     picked = picked.select(*keys, F.substring("text", (at + 1).cast("int"), F.col("size").cast("int")).alias("part")).groupBy(*keys).agg(F.min("part").alias("part"))
     samples: dict[str, list[tuple[int, int, int, str]]] = {}
     for r in picked.collect():
@@ -304,19 +372,16 @@ def brute_force(samples: dict[str, str], text: str) -> dict[str, int]:
     """Phrases of a text by each normalised sample, by searching for ever longer phrases."""
     out = {}
     for name, sample in samples.items():
-        n = 0
-        for a in range(0, len(text), BLOCK):
-            block, phrase = normal(text[a : a + BLOCK]), ""
-            previous = ""
-            for c in block:
-                if c == " " and previous == " ":
-                    continue
-                previous = c
-                if phrase + c in sample:
-                    phrase += c
-                else:
-                    n += 1
-                    phrase = c if c in sample else ""
-            n += bool(phrase)
+        n, phrase, previous = 0, "", ""
+        for c in normal(text):
+            if c == " " and previous == " ":
+                continue
+            previous = c
+            if phrase + c in sample:
+                phrase += c
+            else:
+                n += 1
+                phrase = c if c in sample else ""
+        n += bool(phrase)
         out[name] = n
     return out
