@@ -24,7 +24,10 @@ def add(flow: Flow) -> None:
         stochastic_k=f"""SELECT code, ts, round(coalesce(100 * (close - lo) / nullif(hi - lo, 0), 50), 6) AS stoch_k FROM (SELECT code, ts, close,
             {rolling('min(low)', 14, 14)} AS lo, {rolling('max(high)', 14, 14)} AS hi FROM bars) x""",
         true_range=f"SELECT code, ts, round(greatest(high - low, abs(high - {lag('close')}), abs(low - {lag('close')})), 6) AS tr FROM bars",
-        vwap_deviation="SELECT code, ts, round(close / nullif(coalesce(nullif(amount, 0), close * volume) / nullif(volume, 0), 0) - 1, 8) AS vwap_dev FROM bars",
+        # what is not known holds on: amounts, prices, deviations
+        vwap_deviation=f"""SELECT code, ts, round(last_value(dev) ignore nulls OVER ({ROWS} ROWS UNBOUNDED PRECEDING), 8) AS vwap_dev FROM (SELECT code, ts, (close - vwap) / nullif(vwap, 0) AS dev FROM (
+            SELECT code, ts, close, last_value(price) ignore nulls OVER ({ROWS} ROWS UNBOUNDED PRECEDING) AS vwap FROM (SELECT code, ts, close, last_value(paid) ignore nulls OVER ({ROWS} ROWS UNBOUNDED PRECEDING) / nullif(volume, 0) AS price FROM (
+              SELECT code, ts, close, volume, coalesce(amount, close * volume) AS paid FROM bars) a) b) c) d""",
         volume_features=f"""SELECT code, ts, round({rolling('avg(volume)', 5)}, 6) AS v_ma_5, round({rolling('avg(volume)', 20)}, 6) AS v_ma_20,
             round(volume / ({rolling('avg(volume)', 5)} + 1e-12), 8) AS v_ratio_5, round(volume / ({rolling('avg(volume)', 20)} + 1e-12), 8) AS v_ratio_20, round(close * volume, 6) AS vwap_proxy FROM bars""",
         shape_features=f"SELECT code, ts, round({ratio('close', lag('close', 20))} - 1, 8) AS mom_20, round({ratio('high - low', 'close')}, 8) AS hl_ratio, round({ratio('close - open', 'open')}, 8) AS oc_ratio FROM bars",

@@ -29,19 +29,29 @@ def add(flow: Flow) -> None:
         pool_rows=f"SELECT code, ts, f AS momentum, ln(1 + size) AS size, rho, distance FROM (SELECT f.code, f.ts, f.f, f.size, e.rho, e.distance FROM factors f JOIN eigen e ON e.code = f.code) x WHERE f IS NOT NULL",
         pool_measured="""SELECT factor, avg(CASE WHEN NOT late THEN ic END) AS train_ic, avg(CASE WHEN NOT late THEN ic END) / nullif(stddev_samp(CASE WHEN NOT late THEN ic END), 0) AS train_icir, avg(CASE WHEN late THEN ic END) AS test_ic, avg(CASE WHEN late THEN ic END) / nullif(stddev_samp(CASE WHEN late THEN ic END), 0) AS test_icir FROM pool_daily GROUP BY factor""",
         pool_months="SELECT code, cast(date_trunc('month', ts) AS date) AS month, " + ", ".join(f"avg({n}) AS {n}" for n in NAMES) + " FROM pool_rows GROUP BY code, cast(date_trunc('month', ts) AS date)",
+        pool_long="SELECT code, ts, factor, round(value, 9) AS value FROM (SELECT code, ts, stack(4, " + ", ".join(f"'{n}', {n}" for n in NAMES) + ") AS (factor, value) FROM pool_rows) x WHERE value IS NOT NULL",
+        # mean daily position by month; a month and the one before over the codes of both
+        pool_positions="SELECT factor, code, month, avg(nth) AS r FROM (SELECT factor, code, cast(date_trunc('month', ts) AS date) AS month, row_number() OVER (PARTITION BY factor, ts ORDER BY value, code) AS nth FROM pool_long) x GROUP BY factor, code, month",
+        pool_turnover=f"""SELECT factor, avg(turnover) AS turnover FROM (SELECT factor, month, 1 - {correlation('a', 'b')} AS turnover FROM (SELECT factor, month, {average_rank('r', 'factor, month')} AS a, {average_rank('p', 'factor, month')} AS b FROM (
+            SELECT n.factor, n.month, n.r, o.r AS p FROM pool_positions n JOIN month_order m ON n.month = m.month JOIN pool_positions o ON o.month = m.before AND o.factor = n.factor AND o.code = n.code) x) y GROUP BY factor, month HAVING count(*) >= 30) z GROUP BY factor""",
         pool_month_ranks="SELECT month, " + ", ".join(f"{average_rank(f'round({n}, 9)', 'month')} AS {n}" for n in NAMES) + " FROM pool_months",
         pool_pairs=" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, month, count(*) AS n, {correlation(a, b)} AS rho FROM pool_month_ranks GROUP BY month HAVING count(*) >= 8" for i, a in enumerate(NAMES) for b in NAMES[i + 1 :]),
-        pool_weights="SELECT " + ", ".join(f"sum(CASE WHEN factor = '{n}' THEN test_ic END) / nullif(sum(test_ic), 0) AS w_{n}" for n in NAMES) + " FROM pool_measured WHERE factor IN ('momentum', 'size', 'rho', 'distance')",
+        pool_weights="SELECT " + ", ".join(f"CASE WHEN coalesce(sum(test_ic), 0) = 0 THEN 0.25e0 ELSE sum(CASE WHEN factor = '{n}' THEN test_ic END) / sum(test_ic) END AS w_{n}" for n in NAMES) + " FROM pool_measured WHERE factor IN ('momentum', 'size', 'rho', 'distance')",
         pool_z="SELECT code, ts, " + ", ".join(f"({n} - avg({n}) OVER (PARTITION BY ts)) / (coalesce(stddev_samp({n}) OVER (PARTITION BY ts), 0) + 1e-9) AS {n}" for n in NAMES) + " FROM pool_rows",
         pool_runs="SELECT CASE WHEN ts > date '1999-12-31' THEN 'run_2' ELSE 'run_1' END AS run, factor, count(*) AS n, avg(ic) AS ic FROM (SELECT factor, ts, ic FROM pool_daily) x GROUP BY CASE WHEN ts > date '1999-12-31' THEN 'run_2' ELSE 'run_1' END, factor",
     )
-    gate = f"train_icir >= {CONFIG.icir_train} AND abs(test_ic) >= {CONFIG.ic_gate} AND test_icir >= {CONFIG.icir_test}"
+    gate = f"train_icir >= {CONFIG.icir_train} AND abs(test_ic) >= {CONFIG.ic_gate} AND test_icir >= {CONFIG.icir_test} AND coalesce(turnover <= {CONFIG.turnover_most}, true)"
     total = " + ".join(f"w_{n} * coalesce({n}, 0)" for n in NAMES)
     flow.pair(
         factor_pool_gate=(
-            f"SELECT factor, round(train_ic, 7) AS train_ic, round(train_icir, 6) AS train_icir, round(test_ic, 7) AS test_ic, round(test_icir, 6) AS test_icir, coalesce({gate}, false) AS passes FROM pool_measured",
-            f"""WITH t AS (SELECT factor, avg(ic) FILTER (WHERE NOT late) AS a, stddev_samp(ic) FILTER (WHERE NOT late) AS sa, avg(ic) FILTER (WHERE late) AS b, stddev_samp(ic) FILTER (WHERE late) AS sb FROM pool_daily GROUP BY ALL)
-              SELECT factor, round(a, 7) AS train_ic, round(a / nullif(sa, 0), 6) AS train_icir, round(b, 7) AS test_ic, round(b / nullif(sb, 0), 6) AS test_icir, coalesce(a / nullif(sa, 0) >= {CONFIG.icir_train} AND abs(b) >= {CONFIG.ic_gate} AND b / nullif(sb, 0) >= {CONFIG.icir_test}, false) AS passes FROM t""",
+            f"SELECT m.factor, round(train_ic, 7) AS train_ic, round(train_icir, 6) AS train_icir, round(test_ic, 7) AS test_ic, round(test_icir, 6) AS test_icir, round(turnover, 6) AS turnover, coalesce({gate}, false) AS passes FROM pool_measured m LEFT JOIN pool_turnover t ON t.factor = m.factor",
+            f"""WITH t AS (SELECT factor, avg(ic) FILTER (WHERE NOT late) AS a, stddev_samp(ic) FILTER (WHERE NOT late) AS sa, avg(ic) FILTER (WHERE late) AS b, stddev_samp(ic) FILTER (WHERE late) AS sb FROM pool_daily GROUP BY ALL),
+                u AS (UNPIVOT (SELECT code, ts, round(momentum, 9) AS momentum, round(size, 9) AS size, round(rho, 9) AS rho, round(distance, 9) AS distance FROM pool_rows) ON momentum, size, rho, distance INTO NAME factor VALUE v),
+                p AS (SELECT factor, code, date_trunc('month', ts) AS month, avg(k) AS r FROM (SELECT *, row_number() OVER (PARTITION BY factor, ts ORDER BY v, code) AS k FROM u) GROUP BY ALL),
+                c AS (SELECT n.factor, n.month, n.code, n.r, o.r AS q FROM p n ASOF JOIN (SELECT DISTINCT date_trunc('month', ts) AS before FROM pool_rows) k ON n.month > k.before JOIN p o ON o.month = k.before AND o.code = n.code AND o.factor = n.factor),
+                w AS (SELECT factor, month, 1 - corr(x, y) AS turnover FROM (SELECT factor, month, rank() OVER (PARTITION BY factor, month ORDER BY r) + (count(*) OVER (PARTITION BY factor, month, r) - 1) / 2 AS x, rank() OVER (PARTITION BY factor, month ORDER BY q) + (count(*) OVER (PARTITION BY factor, month, q) - 1) / 2 AS y FROM c) GROUP BY ALL HAVING count(*) >= 30)
+              SELECT factor, round(a, 7) AS train_ic, round(a / nullif(sa, 0), 6) AS train_icir, round(b, 7) AS test_ic, round(b / nullif(sb, 0), 6) AS test_icir, round(turnover, 6) AS turnover, coalesce(a / nullif(sa, 0) >= {CONFIG.icir_train} AND abs(b) >= {CONFIG.ic_gate} AND b / nullif(sb, 0) >= {CONFIG.icir_test} AND NOT coalesce(turnover > {CONFIG.turnover_most}, false), false) AS passes
+              FROM t LEFT JOIN (SELECT factor, avg(turnover) AS turnover FROM w GROUP BY factor) USING (factor)""",
         ),
         factor_pool_correlations=(
             "SELECT a, b, count(rho) AS n_months, round(avg(rho), 6) AS rho FROM pool_pairs GROUP BY a, b",
@@ -50,7 +60,7 @@ def add(flow: Flow) -> None:
         ),
         composite_ic_weighted=(
             f"SELECT code, ts, round({total}, 6) AS composite FROM pool_rows CROSS JOIN pool_weights",
-            "WITH w AS (SELECT map_from_entries(list((factor, test_ic))) AS m, sum(test_ic) AS s FROM pool_measured) SELECT code, ts, round((" + " + ".join(f"m['{n}'] * coalesce({n}, 0)" for n in NAMES) + ") / nullif(s, 0), 6) AS composite FROM pool_rows, w",
+            "WITH w AS (SELECT CASE WHEN coalesce(sum(test_ic), 0) = 0 THEN map_from_entries(list((factor, 1))) ELSE map_from_entries(list((factor, test_ic))) END AS m, CASE WHEN coalesce(sum(test_ic), 0) = 0 THEN 4 ELSE sum(test_ic) END AS s FROM pool_measured) SELECT code, ts, round((" + " + ".join(f"m['{n}'] * coalesce({n}, 0)" for n in NAMES) + ") / nullif(s, 0), 6) AS composite FROM pool_rows, w",
         ),
         composite_equal=(
             "SELECT code, ts, round((" + " + ".join(f"coalesce({n}, 0)" for n in NAMES) + ") / nullif(" + " + ".join(f"CASE WHEN {n} IS NULL THEN 0 ELSE 1 END" for n in NAMES) + ", 0), 6) AS composite FROM pool_rows",

@@ -98,5 +98,5 @@ def add(flow: Flow) -> None:
         ic_distribution="SELECT h, round(percentile(ic, 0.25), 6) AS q25, round(percentile(ic, 0.5), 6) AS q50, round(percentile(ic, 0.75), 6) AS q75, count_if(ic > 0) AS up, count_if(ic < 0) AS down FROM ic GROUP BY h",
         spike_scales="""SELECT w.code, round(w.v / nullif(m.v, 0), 8) AS volume_ratio, round(w.r / nullif(m.r, 0), 6) AS range_ratio FROM (SELECT code, avg(volume) AS v, avg(high - low) AS r FROM bars GROUP BY code) w JOIN (SELECT code, avg(volume) AS v, avg(high - low) AS r FROM bars_m GROUP BY code) m ON w.code = m.code""",
         granularity_gate="SELECT w.code, w.n AS weekly, m.n AS monthly, w.n >= 3 * m.n AND w.n >= 200 AS adopt FROM (SELECT code, count(*) AS n FROM bars GROUP BY code) w FULL OUTER JOIN (SELECT code, count(*) AS n FROM bars_m GROUP BY code) m ON w.code = m.code",
-        candle_chart="SELECT code, ts, CASE WHEN close >= open THEN 'up' ELSE 'down' END AS colour, round(CASE WHEN n5 = 5 THEN ma_5 END, 6) AS ma_5, round(CASE WHEN n20 = 20 THEN ma_20 END, 6) AS ma_20 FROM (SELECT *, count(close) OVER (PARTITION BY code ORDER BY ts ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS n5, count(close) OVER (PARTITION BY code ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS n20 FROM averaged) x",
+        candle_chart="SELECT code, ts, CASE WHEN close >= open THEN 'up' ELSE 'down' END AS colour, round(CASE WHEN n5 = 5 THEN ma_5 END, 6) AS ma_5, round(CASE WHEN n10 = 10 THEN ma_10 END, 6) AS ma_10, round(CASE WHEN n20 = 20 THEN ma_20 END, 6) AS ma_20 FROM (SELECT *, count(close) OVER (PARTITION BY code ORDER BY ts ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS n5, count(close) OVER (PARTITION BY code ORDER BY ts ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS n10, count(close) OVER (PARTITION BY code ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS n20 FROM averaged) x",
     )

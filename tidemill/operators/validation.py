@@ -42,6 +42,21 @@ def _quantiles_duckdb(bins: int, least: int) -> str:
         g AS (SELECT r.ts, r.h, greatest(len([x FOR x IN edges IF x < r.f]), 1) AS q, len(edges) - 1 AS n_bins, avg(r.y) AS y, count(*) AS n FROM ranked r JOIN e USING (ts, h) GROUP BY ALL)"""
 
 
+def _by_industry(least: int) -> tuple[str, str]:
+    """IC within industries of at least ``least`` codes a date; every key has a row."""
+    return (
+        f"""SELECT k.factor, k.h, k.industry, coalesce(i.n_dates, 0) AS n_dates, round(i.ic_mean, 7) AS ic_mean, CASE WHEN i.n_dates IS NULL THEN 'insufficient_data' ELSE 'ok' END AS status FROM (
+            SELECT DISTINCT f.factor, h.h, m.industry FROM (VALUES ('momentum'), ('size')) AS f(factor) CROSS JOIN (VALUES (1), (5), (10), (20)) AS h(h) CROSS JOIN (SELECT DISTINCT industry FROM master) m) k
+          LEFT JOIN (SELECT factor, h, industry, count(*) AS n_dates, avg(ic) AS ic_mean FROM (SELECT factor, h, industry, ts, {correlation('a', 'b')} AS ic FROM (
+            SELECT factor, h, industry, ts, {average_rank('value', 'factor, h, industry, ts')} AS a, {average_rank('y', 'factor, h, industry, ts')} AS b FROM tested_long WHERE factor IN ('momentum', 'size')) x GROUP BY factor, h, industry, ts HAVING count(*) >= {least}) d
+            WHERE ic IS NOT NULL GROUP BY factor, h, industry) i ON i.factor = k.factor AND i.h = k.h AND i.industry = k.industry""",
+        f"""WITH d AS (SELECT factor, h, industry, ts, corr(a, b) AS ic FROM (SELECT *, rank() OVER (PARTITION BY factor, h, industry, ts ORDER BY value) + (count(*) OVER (PARTITION BY factor, h, industry, ts, value) - 1) / 2 AS a,
+            rank() OVER (PARTITION BY factor, h, industry, ts ORDER BY y) + (count(*) OVER (PARTITION BY factor, h, industry, ts, y) - 1) / 2 AS b FROM (
+              SELECT factor, industry, ts, value, unnest([1, 5, 10, 20]) AS h, unnest([y1, y5, y10, y20]) AS y FROM tested_factors WHERE value IS NOT NULL AND factor IN ('momentum', 'size')) WHERE y IS NOT NULL) GROUP BY ALL HAVING count(*) >= {least})
+          SELECT factor, h, industry, count(ic) AS n_dates, round(avg(ic), 7) AS ic_mean, if(count(ic) = 0, 'insufficient_data', 'ok') AS status FROM (SELECT * FROM (SELECT unnest(['momentum', 'size']) AS factor) f CROSS JOIN (SELECT unnest([1, 5, 10, 20]) AS h) g CROSS JOIN (SELECT DISTINCT industry FROM master) m) LEFT JOIN d USING (factor, h, industry) GROUP BY ALL""",
+    )
+
+
 def add(flow: Flow) -> None:
     _quantiles(flow, "deciles", 10, 50)
     _quantiles(flow, "fifths", 5, 10)
@@ -57,7 +72,7 @@ def add(flow: Flow) -> None:
             avg(CASE WHEN fifth = 4 THEN y END) AS q4, avg(CASE WHEN fifth = 5 THEN y END) AS q5 FROM tested_ranks GROUP BY factor, h, ts HAVING count(*) >= 10 AND count(DISTINCT value) > 1""",
         tested_all="""SELECT factor, h, sum(n) AS n_obs, count(*) AS n_dates, avg(ic) AS ic_mean, stddev_samp(ic) AS ic_std, avg(ic) / nullif(stddev_samp(ic), 0) AS ir, avg(ic) / nullif(stddev_samp(ic) / sqrt(count(*)), 0) AS t,
             avg(q1) AS q1, avg(q2) AS q2, avg(q3) AS q3, avg(q4) AS q4, avg(q5) AS q5 FROM tested_daily GROUP BY factor, h""",
-        industry_median="SELECT industry, ts, median(close) AS med FROM factors GROUP BY industry, ts HAVING count(*) >= 2",
+        industry_median="SELECT industry, ts, median(close) AS med FROM factors GROUP BY industry, ts HAVING count(*) >= 3",
         industry_forward="SELECT industry, ts, fwd FROM (SELECT industry, ts, lead(med, 5) OVER (PARTITION BY industry ORDER BY ts) / nullif(med, 0) - 1 AS fwd FROM industry_median) x WHERE fwd IS NOT NULL",
         # the index as of a date h days back: both kinds of rows in one window, no range join
         lagged_rows=f"""SELECT industry, lag_days, known_at, kind, ts, fwd, si FROM (
@@ -68,10 +83,12 @@ def add(flow: Flow) -> None:
         rolling_lagged="SELECT lag_days, ts, ord, CASE WHEN count(ic) OVER w >= 30 THEN avg(ic) OVER w END AS ic_60 FROM (SELECT *, row_number() OVER (PARTITION BY lag_days ORDER BY ts) AS ord FROM lagged_ic) x WINDOW w AS (PARTITION BY lag_days ORDER BY ts ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)",
         code_means=f"SELECT code, avg(r) AS mean_ret, count(*) AS n FROM (SELECT code, close / nullif(lag(close, 20) OVER (PARTITION BY code ORDER BY ts), 0) - 1 AS r FROM bars) x GROUP BY code",
         code_features="""SELECT f.code, f.beta, f.volatility, f.liquidity, kc.k AS k_hat, kc.c AS c_hat, r.momentum, r.size FROM (
-            SELECT code, covar_samp(r, ri) / nullif(var_samp(ri), 0) AS beta, stddev_samp(r) AS volatility, median(amount) / 1e6 AS liquidity FROM paired_returns WHERE nth <= 168 GROUP BY code HAVING count(*) >= 50) f
+            SELECT code, covar_samp(r, ri) / nullif(var_samp(ri), 0) AS beta, stddev_samp(r) AS volatility, median(volume) AS liquidity FROM (SELECT code, volume, CASE WHEN ri IS NOT NULL THEN r END AS r, CASE WHEN r IS NOT NULL THEN ri END AS ri FROM paired_returns) x GROUP BY code HAVING count(r) >= 50) f
             JOIN (SELECT code, avg(f) AS momentum, ln(1 + avg(size)) AS size FROM factors WHERE f IS NOT NULL GROUP BY code) r ON r.code = f.code LEFT JOIN kc ON kc.code = f.code""",
-        paired_returns="""SELECT code, ts, amount, r, ri, row_number() OVER (PARTITION BY code ORDER BY ts DESC) AS nth FROM (SELECT s.code, s.ts, s.amount, s.close / nullif(lag(s.close) OVER (PARTITION BY s.code ORDER BY s.ts), 0) - 1 AS r,
-            i.close / nullif(lag(i.close) OVER (PARTITION BY s.code ORDER BY s.ts), 0) - 1 AS ri FROM bars s JOIN master m ON s.code = m.code JOIN index_bars i ON i.index_code = m.index_code AND i.ts = s.ts) x WHERE r IS NOT NULL AND ri IS NOT NULL""",
+        # returns over the last dates that a code shares with its index
+        paired_returns="""SELECT code, ts, volume, close / nullif(lag(close) OVER (PARTITION BY code ORDER BY ts), 0) - 1 AS r, index_close / nullif(lag(index_close) OVER (PARTITION BY code ORDER BY ts), 0) - 1 AS ri FROM shared_dates WHERE nth <= 168 AND n_shared >= 100""",
+        shared_dates="""SELECT s.code, s.ts, s.volume, s.close, i.close AS index_close, row_number() OVER (PARTITION BY s.code ORDER BY s.ts DESC) AS nth, count(*) OVER (PARTITION BY s.code) AS n_shared
+            FROM bars s JOIN master m ON s.code = m.code JOIN index_bars i ON i.index_code = m.index_code AND i.ts = s.ts""",
         studied="SELECT c.*, i.q AS q FROM code_features c LEFT JOIN (SELECT code, q FROM insample WHERE model = 2) i ON i.code = c.code",
         studied_long="SELECT code, q, stack(7, " + ", ".join(f"'{f}', {f}" for f in FEATURES) + ") AS (feature, value) FROM studied WHERE q IS NOT NULL",
     )
@@ -108,32 +125,25 @@ def add(flow: Flow) -> None:
               SELECT factor, h::INT AS h, n_obs, n_dates, round(m, 7) AS ic_mean, round(s, 7) AS ic_std, round(m / nullif(s, 0), 6) AS ir, round({duck_p('(m / nullif(s, 0) * sqrt(n_dates))', '(n_dates - 1)')}, 6) AS p, """ + ", ".join(f"round(q{i}, 7) AS q{i}" for i in range(1, 6)) + """, round(q5 - q1, 7) AS spread
               FROM (SELECT factor, h, sum(n) AS n_obs, count(*) AS n_dates, avg(ic) AS m, stddev_samp(ic) AS s, """ + ", ".join(f"avg(q{i}) AS q{i}" for i in range(1, 6)) + " FROM d GROUP BY ALL)",
         ),
-        validation_by_industry=(
-            f"""SELECT k.factor, k.h, k.industry, coalesce(i.n_dates, 0) AS n_dates, round(i.ic_mean, 7) AS ic_mean, CASE WHEN i.n_dates IS NULL THEN 'insufficient_data' ELSE 'ok' END AS status FROM (
-                SELECT DISTINCT f.factor, h.h, m.industry FROM (VALUES ('momentum'), ('size')) AS f(factor) CROSS JOIN (VALUES (1), (5), (10), (20)) AS h(h) CROSS JOIN (SELECT DISTINCT industry FROM master) m) k
-              LEFT JOIN (SELECT factor, h, industry, count(*) AS n_dates, avg(ic) AS ic_mean FROM (SELECT factor, h, industry, ts, {correlation('a', 'b')} AS ic FROM (
-                SELECT factor, h, industry, ts, {average_rank('value', 'factor, h, industry, ts')} AS a, {average_rank('y', 'factor, h, industry, ts')} AS b FROM tested_long WHERE factor IN ('momentum', 'size')) x GROUP BY factor, h, industry, ts HAVING count(*) >= 4) d
-                WHERE ic IS NOT NULL GROUP BY factor, h, industry) i ON i.factor = k.factor AND i.h = k.h AND i.industry = k.industry""",
-            """WITH d AS (SELECT factor, h, industry, ts, corr(a, b) AS ic FROM (SELECT *, rank() OVER (PARTITION BY factor, h, industry, ts ORDER BY value) + (count(*) OVER (PARTITION BY factor, h, industry, ts, value) - 1) / 2 AS a,
-                rank() OVER (PARTITION BY factor, h, industry, ts ORDER BY y) + (count(*) OVER (PARTITION BY factor, h, industry, ts, y) - 1) / 2 AS b FROM (
-                  SELECT factor, industry, ts, value, unnest([1, 5, 10, 20]) AS h, unnest([y1, y5, y10, y20]) AS y FROM tested_factors WHERE value IS NOT NULL AND factor IN ('momentum', 'size')) WHERE y IS NOT NULL) GROUP BY ALL HAVING count(*) >= 4)
-              SELECT factor, h, industry, count(ic) AS n_dates, round(avg(ic), 7) AS ic_mean, if(count(ic) = 0, 'insufficient_data', 'ok') AS status FROM (SELECT * FROM (SELECT unnest(['momentum', 'size']) AS factor) f CROSS JOIN (SELECT unnest([1, 5, 10, 20]) AS h) g CROSS JOIN (SELECT DISTINCT industry FROM master) m) LEFT JOIN d USING (factor, h, industry) GROUP BY ALL""",
-        ),
+        validation_by_industry=_by_industry(30),
+        validation_by_industry_small=_by_industry(4),
         factor_top_ten=(
             "SELECT factor, h, round(ic_mean, 7) AS ic_mean, round(ir, 6) AS ir, nth FROM (SELECT *, row_number() OVER (ORDER BY round(abs(ic_mean) * abs(ir), 8) DESC, factor, h) AS nth FROM tested_all WHERE ir IS NOT NULL) x WHERE nth <= 10",
             "WITH r AS (SELECT list({'f': factor, 'h': h, 'm': ic_mean, 'i': ir} ORDER BY round(abs(ic_mean * ir), 8) DESC, factor, h) AS l FROM tested_all WHERE ir IS NOT NULL) SELECT l[p].f AS factor, l[p].h AS h, round(l[p].m, 7) AS ic_mean, round(l[p].i, 6) AS ir, p AS nth FROM r, range(1, 11) g(p) WHERE p <= len(l)",
         ),
         full_evaluation=(
-            f"""SELECT i.h, i.n_obs, CASE WHEN i.n_obs < 1000 THEN 'too few rows' ELSE '' END AS note, round(i.ic_mean, 8) AS ic_mean, round(i.icir, 6) AS icir, round(i.positive, 6) AS positive, round(d.long_short, 8) AS long_short, round(t.turnover, 6) AS turnover FROM (
-                SELECT h, sum(n) AS n_obs, avg(ic) AS ic_mean, avg(ic) / nullif(stddev_samp(ic), 0) AS icir, avg(CASE WHEN ic > 0 THEN 1e0 ELSE 0e0 END) AS positive FROM ic_10 GROUP BY h) i
-              LEFT JOIN (SELECT h, avg(s) AS long_short FROM (SELECT ts, h, max(CASE WHEN q = n_bins THEN y END) - max(CASE WHEN q = 1 THEN y END) AS s FROM fifths_means GROUP BY ts, h) x GROUP BY h) d ON d.h = i.h
+            f"""SELECT i.h, i.n_obs, CASE WHEN i.n_obs < 1000 THEN 'too few rows' ELSE '' END AS note, round(i.m, 8) AS ic_mean, round(i.s, 8) AS ic_std, round(i.m / nullif(i.s, 0), 6) AS icir, round(i.m / nullif(i.s, 0) * sqrt(i.n_dates), 5) AS ic_t, round(i.positive, 6) AS positive, round(i.size, 8) AS ic_abs,
+                round(max(CASE WHEN i.h = 20 THEN i.m END) OVER (PARTITION BY 1), 8) AS decay_20, round(d.long_short, 8) AS long_short, round(d.sharpe, 5) AS sharpe, round(t.turnover, 6) AS turnover FROM (
+                SELECT h, sum(n) AS n_obs, count(*) AS n_dates, avg(ic) AS m, stddev_samp(ic) AS s, avg(abs(ic)) AS size, avg(CASE WHEN ic > 0 THEN 1e0 ELSE 0e0 END) AS positive FROM ic_10 GROUP BY h) i
+              LEFT JOIN (SELECT h, avg(s) AS long_short, avg(s) / nullif(stddev_samp(s), 0) * sqrt(250) AS sharpe FROM (SELECT ts, h, max(CASE WHEN q = n_bins THEN y END) - max(CASE WHEN q = 1 THEN y END) AS s FROM deciles_means GROUP BY ts, h) x GROUP BY h) d ON d.h = i.h
               CROSS JOIN (SELECT avg(turnover) AS turnover FROM (SELECT 1 - {correlation('a', 'b')} AS turnover FROM (SELECT month, {average_rank('r', 'month')} AS a, {average_rank('p', 'month')} AS b FROM (
-                SELECT n.month, n.r, o.r AS p FROM monthly_rank n JOIN month_order m ON n.month = m.month JOIN monthly_rank o ON o.month = m.before AND o.code = n.code) x) z GROUP BY month HAVING count(*) >= 3) y) t""",
-            f"""WITH {_quantiles_duckdb(5, 10)},
+                SELECT n.month, n.r, o.r AS p FROM monthly_rank n JOIN month_order m ON n.month = m.month JOIN monthly_rank o ON o.month = m.before AND o.code = n.code) x) z GROUP BY month HAVING count(*) >= 30) y) t""",
+            f"""WITH {_quantiles_duckdb(10, 50)},
                 tt AS (SELECT month, 1 - corr(a, b) AS v FROM (SELECT month, rank() OVER (PARTITION BY month ORDER BY r) + (count(*) OVER (PARTITION BY month, r) - 1) / 2 AS a, rank() OVER (PARTITION BY month ORDER BY p) + (count(*) OVER (PARTITION BY month, p) - 1) / 2 AS b FROM (
-                  SELECT n.month, n.r, o.r AS p FROM monthly_rank n ASOF JOIN (SELECT DISTINCT month AS before FROM monthly_rank) k ON n.month > k.before JOIN monthly_rank o ON o.month = k.before AND o.code = n.code)) GROUP BY month HAVING count(*) >= 3)
-              SELECT h, sum(n) AS n_obs, if(sum(n) < 1000, 'too few rows', '') AS note, round(avg(ic), 8) AS ic_mean, round(avg(ic) / nullif(stddev_samp(ic), 0), 6) AS icir, round(count(*) FILTER (WHERE ic > 0)::DOUBLE / count(*), 6) AS positive,
-                (SELECT round(avg(s), 8) FROM (SELECT (any_value(y) FILTER (WHERE q = n_bins)) - (any_value(y) FILTER (WHERE q = 1)) AS s FROM g WHERE g.h = ic_10.h GROUP BY ts)) AS long_short, (SELECT round(avg(v), 6) FROM tt) AS turnover FROM ic_10 GROUP BY h""",
+                  SELECT n.month, n.r, o.r AS p FROM monthly_rank n ASOF JOIN (SELECT DISTINCT month AS before FROM monthly_rank) k ON n.month > k.before JOIN monthly_rank o ON o.month = k.before AND o.code = n.code)) GROUP BY month HAVING count(*) >= 30),
+                ls AS (SELECT h, ts, (any_value(y) FILTER (WHERE q = n_bins)) - (any_value(y) FILTER (WHERE q = 1)) AS s FROM g GROUP BY ALL)
+              SELECT h, sum(n) AS n_obs, if(sum(n) < 1000, 'too few rows', '') AS note, round(avg(ic), 8) AS ic_mean, round(sqrt(var_samp(ic)), 8) AS ic_std, round(avg(ic) / nullif(stddev_samp(ic), 0), 6) AS icir, round(avg(ic) / nullif(stddev_samp(ic) / sqrt(count(*)), 0), 5) AS ic_t, round(count(*) FILTER (WHERE ic > 0)::DOUBLE / count(*), 6) AS positive, round(avg(abs(ic)), 8) AS ic_abs,
+                (SELECT round(avg(ic), 8) FROM ic_10 WHERE h = 20) AS decay_20, (SELECT round(avg(s), 8) FROM ls WHERE ls.h = ic_10.h) AS long_short, (SELECT round(avg(s) / nullif(stddev_samp(s), 0) * sqrt(250), 5) FROM ls WHERE ls.h = ic_10.h) AS sharpe, (SELECT round(avg(v), 6) FROM tt) AS turnover FROM ic_10 GROUP BY h""",
         ),
         common_forward_returns=(
             """SELECT code, ts, round(y1, 8) AS fwd_1, round(y3, 8) AS fwd_3, round(y6, 8) AS fwd_6 FROM (SELECT *, count(y6) OVER (PARTITION BY ts) AS n FROM (SELECT code, ts, lead(close, 1) OVER w / nullif(close, 0) - 1 AS y1, lead(close, 3) OVER w / nullif(close, 0) - 1 AS y3,
@@ -173,7 +183,10 @@ def add(flow: Flow) -> None:
         ),
         cross_sectional_study=(
             "SELECT code, " + ", ".join(f"round({f}, 5) AS {f}" for f in FEATURES) + ", round(q, 4) + 0e0 AS q FROM studied",
-            "SELECT code, " + ", ".join(f"round({f}, 5) AS {f}" for f in FEATURES) + ", (SELECT round(any_value(i.q), 4) + 0 FROM insample i WHERE i.code = c.code AND i.model = 2) AS q FROM code_features c",
+            """WITH a AS (SELECT s.code, s.ts, s.volume, s.close, i.close AS x, count(*) OVER (PARTITION BY s.code) AS n FROM bars s JOIN master m USING (code) JOIN index_bars i ON i.index_code = m.index_code AND i.ts = s.ts QUALIFY n >= 100 AND rank() OVER (PARTITION BY s.code ORDER BY s.ts DESC) <= 168),
+                p AS (SELECT a.code, a.volume, a.close / nullif(b.close, 0) - 1 AS r, a.x / nullif(b.x, 0) - 1 AS z FROM a ASOF LEFT JOIN a b ON a.code = b.code AND a.ts > b.ts),
+                o AS (SELECT code, regr_slope(r, z) AS beta, stddev_samp(r) FILTER (WHERE z IS NOT NULL) AS volatility, median(volume) AS liquidity FROM p GROUP BY code HAVING count(r + z) >= 50)
+              SELECT code, """ + ", ".join(f"round({f}, 5) AS {f}" for f in FEATURES) + ", (SELECT round(any_value(i.q), 4) + 0 FROM insample i WHERE i.code = o.code AND i.model = 2) AS q FROM o JOIN (SELECT * EXCLUDE (beta, volatility, liquidity) FROM code_features) c USING (code)",
         ),
         study_correlations=(
             f"""SELECT feature, n, round(ic, 5) AS rho, round({p_ic}, 5) AS p, row_number() OVER (ORDER BY round(abs(ic), 8) DESC, feature) AS nth FROM (SELECT feature, count(*) AS n, {correlation('a', 'b')} AS ic FROM (

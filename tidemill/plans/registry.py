@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tidemill.operators import backtests, cross_section, dynamics, features, folds, granularity, learning, patterns, pool, ranking, regression, selection, stability, studies, trajectory, validation, walk_forward, window_statistics
+from tidemill.operators import backtests, cross_section, dynamics, features, folds, granularity, learning, patterns, pool, ranking, regression, rolling_panel, selection, stability, studies, trajectory, validation, walk_forward, window_statistics
 from tidemill.plans.flow import Flow
 from tidemill.sources import bars, ingest, store
 from tidemill.streaming import quotes
@@ -14,7 +14,7 @@ FLAGSHIP = "state_distribution"
 
 def flow() -> Flow:
     made = Flow()
-    for part in (bars, features, cross_section, dynamics, selection, studies, stability, validation, trajectory, backtests, walk_forward, window_statistics, pool, patterns, quotes, ingest, granularity):
+    for part in (bars, features, cross_section, dynamics, selection, studies, stability, validation, trajectory, backtests, walk_forward, window_statistics, pool, patterns, quotes, ingest, granularity, rolling_panel):
         part.add(made)
     return made
 
