@@ -20,6 +20,8 @@ from tidemill.plans.scratch import scratch
 #: Kinds in the order in which a code is looked up, periods and their seconds.
 KINDS = ("stocks", "sectors", "indices")
 PERIODS = {"daily": 86400, "15m": 900, "5m": 300, "1m": 60, "weekly": 604800, "monthly": 2592000}
+#: CSV of lists: quotes in a name are doubled, its line breaks and the blanks at its ends stay.
+LIST = {"header": True, "escape": '"', "multiLine": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 BARS = "code string, ts date, open double, high double, low double, close double, volume double, amount double, kind string, period string"
 
 
@@ -143,9 +145,10 @@ def latest_run(table: DataFrame, column: str = "run") -> DataFrame:
 
 
 def read_list(spark: SparkSession, path: str) -> DataFrame:
-    """A list of codes from CSV: ``code``, and ``name`` where there is one; all text, first of each code."""
-    rows = require_columns(spark.read.option("header", True).csv(path), ["code"])
-    name = F.coalesce(F.col("name"), F.lit("")) if "name" in rows.columns else F.lit("")
+    """A list of codes from CSV: ``code``, and ``name`` (null where there is none); all text, first of each code."""
+    # by default Spark reads a quoted empty text as null too: what stands for null here is in no list
+    rows = require_columns(spark.read.options(**LIST, nullValue="\0").csv(path), ["code"])
+    name = F.col("name") if "name" in rows.columns else F.lit(None).cast("string")
     return rows.groupBy("code").agg(F.min(name).alias("name"))
 
 
@@ -217,7 +220,7 @@ def registered(flow: Flow) -> tuple[dict[str, Callable], dict[str, str]]:
 
     def listed(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = scratch(spark, "list")
-        names(spark, sf_dir).unionByName(names(spark, sf_dir)).write.option("header", True).csv(path)
+        names(spark, sf_dir).unionByName(names(spark, sf_dir)).write.options(**LIST).csv(path)
         return read_list(spark, path)
 
     def optionals(spark: SparkSession, sf_dir: str) -> DataFrame:
