@@ -1,12 +1,15 @@
-"""What reaches the driver is bounded, however often rows repeat."""
+"""What reaches the driver is bounded, however often rows repeat; what a worker holds is, too."""
 
 import random
+import tracemalloc
 
+import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.test_operators import items, words
-from tidemill.llm import decontaminate, langid
+from tidemill.llm import _spark, decontaminate, langid, tokens
 
 
 def test_repeats_of_one_id_stay_within_the_sample(spark, monkeypatch):
@@ -36,3 +39,28 @@ def test_repeated_items_in_shards(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = {r["doc_id"]: (r["n_words"], sum(s["last"] - s["first"] + 1 for s in r["spans"]), len(r["items"])) for r in decontaminate.contamination(df, spark.createDataFrame(base, "item_id string, text string"), max_item_bytes=150).collect()}
     assert got == {k: v[:3] for k, v in decontaminate.brute_force(docs, base).items()}
+
+
+@pytest.mark.parametrize("keep_ids", [True, False])
+def test_temporaries_of_a_batch_of_tokens(keep_ids):
+    rng = random.Random(10)
+    texts = [words(rng, 400) for _ in range(1900)]
+    assert sum(map(len, texts)) > 3 << 20
+    cache = tokens.WordCache(public_tokenizers.path("word_bpe_49k.json"), False, True, True, keep_ids)
+    column = pa.array(texts)
+    tracemalloc.start()
+    counts = [n for n, _ in cache.rows(column)]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(map(len, counts)) == len(texts)
+    assert most < 80 << 20
+
+
+def test_workers_give_memory_back(monkeypatch):
+    calls = []
+    monkeypatch.setattr(_spark, "released", lambda: calls.append(len(calls)))
+    assert list(_spark.releasing(iter)([1, 2])) == [1, 2] and calls == [0]
+    stopped = _spark.releasing(iter)([1, 2])
+    next(stopped)
+    stopped.close()
+    assert calls == [0, 1]

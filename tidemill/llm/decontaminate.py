@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm._spark import require, table, unused, with_columns, written
+from tidemill.llm._spark import releasing, require, table, unused, with_columns, written
 from tidemill.llm._text import ALNUM, LOWER, byte_values, hashes, passes, runs, utf8
 
 MAX_ITEM_BYTES = 2 << 20
@@ -235,7 +235,7 @@ def _search(docs: DataFrame, items: DataFrame, window: int, names: tuple[str, st
             added = [pa.array(counts), pa.array(spans, spans_type), pa.array(found, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, *names])
 
-    return docs.mapInArrow(search, docs.schema if max_coverage is not None else with_columns(docs, FOUND.format(*names)))
+    return docs.mapInArrow(releasing(search), docs.schema if max_coverage is not None else with_columns(docs, FOUND.format(*names)))
 
 
 def _cut(batch: pa.RecordBatch, spans: list[list[dict]], counts: np.ndarray, max_coverage: float) -> pa.RecordBatch:
@@ -337,7 +337,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, max_cover
                 rest = batch.select([n for n in batch.schema.names if n not in names])
                 yield _cut(rest, batch.column(names[1]).to_pylist(), batch.column(names[0]).to_numpy(), max_coverage)
 
-        clean = found.mapInArrow(cut, found.drop(*names).schema)
+        clean = found.mapInArrow(releasing(cut), found.drop(*names).schema)
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]
         clean = clean.withColumn("n_chars", F.when(F.col("n_chars").isNotNull() & F.col("text").isNotNull(), F.length("text").cast(kind)).otherwise(F.col("n_chars")))

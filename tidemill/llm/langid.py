@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm._spark import require, table, with_columns
+from tidemill.llm._spark import releasing, require, table, with_columns
 
 #: Characters of a block, a matter of speed alone: phrases run on over its borders.
 BLOCK = 512
@@ -359,7 +359,7 @@ def identify(docs: DataFrame, model: Model, predicted: str = "lang_pred", scored
             scores = np.concatenate(scores) if scores else np.empty(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores)], names=[*batch.schema.names, predicted, scored])
 
-    return kept.mapInArrow(score, with_columns(kept, f"`{predicted}` string, `{scored}` double"))
+    return kept.mapInArrow(releasing(score), with_columns(kept, f"`{predicted}` string, `{scored}` double"))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

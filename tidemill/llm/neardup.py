@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm._spark import HEAVY, dropped, require, skew_join, table, unused, written
+from tidemill.llm._spark import HEAVY, dropped, releasing, require, skew_join, table, unused, written
 from tidemill.llm._text import ALNUM, LOWER, byte_values, grams, hashes, mix, passes, runs, utf8
 
 SHINGLE = 5
@@ -414,7 +414,7 @@ def _similarity_join(docs: DataFrame, threshold: float, recall: float) -> tuple[
     """The result of ``similarity_join`` with text_key and the group's first row, and the tables that it reads."""
     require(docs, ("doc_id", "text"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
-    signed = written(rows.mapInArrow(_sign, SIGNED), "neardup-signed")
+    signed = written(rows.mapInArrow(releasing(_sign), SIGNED), "neardup-signed")
     live = signed.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     # texts with equal words have equal signatures: any will do
     first = F.min(F.struct("doc_id", "text_key")).alias("first")
@@ -434,13 +434,13 @@ def _similarity_join(docs: DataFrame, threshold: float, recall: float) -> tuple[
             rest = sig[:, :, shortest:].astype(">u4").reshape(batch.num_rows * TREES, -1)
             yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(np.repeat(batch.column("node").to_numpy(), TREES)), pa.array([x.tobytes() for x in rest], pa.binary())], names=["key", "node", "path"])
 
-    entries = written(holders.select("node", "signature").mapInArrow(keys, "key long, node long, path binary"), "neardup-keys")
+    entries = written(holders.select("node", "signature").mapInArrow(releasing(keys), "key long, node long, path binary"), "neardup-keys")
     subtrees = entries.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     met_ = skew_join(entries, subtrees, ["key"], F.col("size") > F.lit(entries.count() * HEAVY)).join(holders.select("node", "n_shingles", "signature"), "node")
     near = _blocks(met_, "key", F.ceil(F.col("size") / F.lit(BLOCK)))
     near = near.select("key", "low", "high", "side", "node", "n_shingles", "path", "signature")
     near = near.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "path")
-    coarse = written(near.mapInArrow(_candidates(threshold, TREES, DEPTH, recall), "u long, v long").distinct(), "neardup-candidates")
+    coarse = written(near.mapInArrow(releasing(_candidates(threshold, TREES, DEPTH, recall)), "u long, v long").distinct(), "neardup-candidates")
     dropped(entries)
     found = components(coarse)
     sized = found.join(holders.select("node", "copies", "n_shingles", "first.doc_id", "first.text_key"), "node")
@@ -465,10 +465,10 @@ def _similarity_join(docs: DataFrame, threshold: float, recall: float) -> tuple[
 
     # a share of all documents decides here: a merge at every size, never a broadcast
     texts = rows.join(member.hint("merge"), ["doc_id", "text_key"])
-    full = texts.select("root", "node", "n_blocks", "copies", "text").mapInArrow(sets, "root long, node long, n_blocks long, copies long, shingles binary")
+    full = texts.select("root", "node", "n_blocks", "copies", "text").mapInArrow(releasing(sets), "root long, node long, n_blocks long, copies long, shingles binary")
     full = written(full, "neardup-sets")
     dealt = _blocks(full, "root", F.col("n_blocks")).repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    verified = dealt.select("key", "low", "high", "side", "node", "copies", "shingles").mapInArrow(_links(threshold), "u long, v long, n long")
+    verified = dealt.select("key", "low", "high", "side", "node", "copies", "shingles").mapInArrow(releasing(_links(threshold)), "u long, v long, n long")
     verified = written(verified, "neardup-links")
     dropped(full, member)
     links = verified.groupBy("u").agg(F.sum("n").alias("others"))

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm._spark import require, table, written
+from tidemill.llm._spark import releasing, require, table, written
 from tidemill.llm._text import passes, utf8
 from tidemill.llm.tokens import word_cache
 
@@ -152,7 +152,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, w
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(cut, schema)
+    return rows.mapInArrow(releasing(cut), schema)
 
 
 def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
@@ -193,7 +193,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
     names = [x.split(" ")[0] for x in schema.split(", ")]
-    return ranked.select(*names, "part", "local_rank", "before").mapInArrow(place, schema + ", sequence_id long, offset long")
+    return ranked.select(*names, "part", "local_rank", "before").mapInArrow(releasing(place), schema + ", sequence_id long, offset long")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm._spark import require, table, with_columns
+from tidemill.llm._spark import releasing, require, table, with_columns
 from tidemill.llm._text import passes, utf8
 
 BLOCK = 1024
@@ -407,7 +407,7 @@ def find_secrets(docs: DataFrame, more: tuple[Rule, ...] = MORE, column: str = "
                 out[row] = [{"kind": rules[k].kind, "start": a, "end": b} for a, k, b in found]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, spans_type)], names=[*batch.schema.names, column])
 
-    return kept.mapInArrow(scan, with_columns(kept, f"`{column}` array<struct<kind:string,start:bigint,end:bigint>>"))
+    return kept.mapInArrow(releasing(scan), with_columns(kept, f"`{column}` array<struct<kind:string,start:bigint,end:bigint>>"))
 
 
 def _found(texts: pa.Array, rules: tuple[Rule, ...]) -> Iterator[tuple[int, bytes, list[tuple[int, int, int]]]]:
@@ -448,7 +448,7 @@ def redact(docs: DataFrame, more: tuple[Rule, ...] = MORE) -> DataFrame:
             columns = batch.columns if texts is None else [*batch.columns[:at], pa.array(texts, pa.string()), *batch.columns[at + 1 :]]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    clean = rows.mapInArrow(replace, rows.schema)
+    clean = rows.mapInArrow(releasing(replace), rows.schema)
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]
         clean = clean.withColumn("n_chars", F.when(F.col("n_chars").isNotNull() & F.col("text").isNotNull(), F.length("text").cast(kind)).otherwise(F.col("n_chars")))

@@ -17,12 +17,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm import bpe
-from tidemill.llm._spark import require, table
+from tidemill.llm._spark import releasing, require, table
 from tidemill.llm._text import byte_values, group_ranges, hashes, passes, utf8
 
 CACHE_BITS = 19
 #: Ids that the cache holds at most; beyond that it starts anew.
 CACHE_IDS = 4 << 20
+#: Text that is split and looked up in one go: its temporaries are some fifty times as large.
+TOKEN_BYTES = 1 << 19
 #: A pre-token is merged with others in one go up to so many bytes.
 MERGE_BYTES = 2 << 20
 
@@ -105,7 +107,7 @@ class WordCache:
     def rows(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
         """For ranges of rows in turn: ids in each row and, if wanted, their ids."""
         buf, offsets = utf8(column)
-        for i, j in passes(offsets):
+        for i, j in passes(offsets, TOKEN_BYTES):
             part, off = buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             hard = self.splitter.hard(part, off) if len(part) else np.zeros(j - i, bool)
             low, starts, ends = self.splitter.split(part, off)
@@ -178,7 +180,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 512, id_column:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(n_tokens.astype(np.int64))], names=["doc_id", "n_bytes", "n_tokens"])
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    counted = rows.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long")
+    counted = rows.mapInArrow(releasing(count), "doc_id long, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > F.lit(limit))
 
 
