@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.test_operators import items, words
-from tidemill.llm import _spark, decontaminate, langid, tokens
+from tidemill.llm import _spark, decontaminate, langid, neardup, tokens
 
 
 def test_repeats_of_one_id_stay_within_the_sample(spark, monkeypatch):
@@ -64,3 +64,37 @@ def test_workers_give_memory_back(monkeypatch):
     next(stopped)
     stopped.close()
     assert calls == [0, 1]
+
+
+def test_heavy_keys_go_to_the_driver_once(spark):
+    left = spark.createDataFrame([(1, i) for i in range(500)] + [(k, -k) for k in range(2, 40)] + [(5, -5), (None, 7), (99, 8)], "k long, x long")
+    right = spark.createDataFrame([(k, None if k % 3 else f"r{k}", 500 if k == 1 else 1) for k in range(1, 40)] + [(None, "n", 1)], "k long, y string, n long")
+    found = _spark.skew_join(left, right, ["k"], F.col("n") > 100)
+    assert found._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange") == 1
+    assert found.columns == ["k", "x", "y", "n"]
+    assert sorted(map(str, found.collect())) == sorted(map(str, left.join(right, "k").collect()))
+    none = _spark.skew_join(left, right, ["k"], F.lit(False))
+    assert sorted(map(str, none.collect())) == sorted(map(str, left.join(right, "k").collect()))
+
+
+def test_components_that_are_stars_take_no_round(spark, monkeypatch):
+    wrote = []
+    monkeypatch.setattr(neardup, "written", lambda df, name: wrote.append(name) or _spark.written(df, name))
+    stars = [(0, i) for i in range(1, 50)] + [(i, 100) for i in range(101, 105)] + [(7, 7), (101, 100)]
+    found = neardup.components(spark.createDataFrame(stars, "u long, v long"))
+    assert {tuple(r) for r in found.collect()} == {(i, 0) for i in range(50)} | {(i, 100) for i in range(100, 105)}
+    assert found.count() == 55
+    assert wrote == ["components", "components-found"]
+    assert neardup.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components_of_any_graph(spark, seed):
+    rng = random.Random(seed)
+    pairs = [(i, i + 1) for i in range(40)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(70)] + [(300, i) for i in range(301, 340)] + [(320, i) for i in range(400, 440)]
+    rng.shuffle(pairs)
+    forest = neardup.Forest(500)
+    forest.join(*(neardup.np.array(x) for x in zip(*pairs, strict=True)))
+    nodes = {x for a, b in pairs for x in (a, b) if a != b}
+    found = neardup.components(spark.createDataFrame(pairs, "u long, v long")).collect()
+    assert sorted(map(tuple, found)) == [(i, forest.find(i)) for i in sorted(nodes)]

@@ -352,38 +352,41 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node of its component) of all nodes of ``edges`` (u, v).
 
     Larger neighbours of each node are joined to its smallest neighbour, then smaller
-    ones, until each component is a star; every round is written to the shared folder,
-    and the round before deleted.
+    ones, until each component is a star, which many are from the start; every round is
+    written to the shared folder, and the round before deleted. ``edges`` is read once.
     """
     pairs = edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     pairs = written(pairs, "components")
-    before, n = None, pairs.count()
     while True:
+        n, tangled = _stars(pairs)
+        if not tangled:
+            break
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("degree"))
         # to the smallest of the neighbourhood go all larger neighbours of each node
         large = skew_join(both.where(F.col("v") > F.col("u")), low, ["u"], F.col("degree") > F.lit(2 * n * HEAVY))
         large = large.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = written(large, "components-large")
-        n = large.count()
         dropped(pairs)
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree"))
-        # and all smaller neighbours, with the node itself
+        # and all smaller neighbours, with the node itself; there are no more pairs than before
         small = skew_join(large, low, ["u"], F.col("degree") > F.lit(n * HEAVY)).select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         pairs = written(small, "components-small")
         dropped(large)
-        now = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        n = now[0]
-        if now == before:
-            break
-        before = now
-    stars = pairs.groupBy("u").agg(F.min("v").alias("root"))
-    found = written(stars.select(F.col("u").alias("node"), "root").unionByName(stars.select(F.col("root").alias("node"), "root").distinct()), "components-found")
+    found = written(pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), "components-found")
     dropped(pairs)
     return found
 
 
+def _stars(pairs: DataFrame) -> tuple[int, int]:
+    """Number of pairs (u, v), and of nodes that stand above others but are no root, or below more than one."""
+    ends = pairs.select(F.col("u").alias("node"), F.lit(1).alias("below")).unionByName(pairs.select(F.col("v").alias("node"), F.lit(0).alias("below")))
+    nodes = ends.groupBy("node").agg(F.sum("below").alias("below"), F.count(F.lit(1)).alias("ends"))
+    n, tangled = nodes.agg(F.sum("below"), F.count_if((F.col("below") > 0) & (F.col("ends") > 1))).first()
+    return n or 0, tangled
+
+
 def _blocks(rows: DataFrame, key: str, n_blocks: Column) -> DataFrame:
     """Rows dealt into blocks by hash, once for each pair of blocks that they are in."""
     dealt = rows.withColumn("n_blocks", n_blocks.cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
@@ -440,9 +443,8 @@ def _similarity_join(docs: DataFrame, threshold: float, recall: float) -> tuple[
     near = _blocks(met_, "key", F.ceil(F.col("size") / F.lit(BLOCK)))
     near = near.select("key", "low", "high", "side", "node", "n_shingles", "path", "signature")
     near = near.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "path")
-    coarse = written(near.mapInArrow(releasing(_candidates(threshold, TREES, DEPTH, recall)), "u long, v long").distinct(), "neardup-candidates")
+    found = components(near.mapInArrow(releasing(_candidates(threshold, TREES, DEPTH, recall)), "u long, v long"))
     dropped(entries)
-    found = components(coarse)
     sized = found.join(holders.select("node", "copies", "n_shingles", "first.doc_id", "first.text_key"), "node")
     totals = sized.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.sum("n_shingles").alias("shingles"))
     n_blocks = F.ceil(F.greatest(F.col("size") / F.lit(BLOCK), F.col("shingles") * 8 / F.lit(BLOCK_BYTES)))
@@ -450,7 +452,7 @@ def _similarity_join(docs: DataFrame, threshold: float, recall: float) -> tuple[
     # the text of one row of each class is wanted; rows that repeat both id and text are one
     member = skew_join(sized.drop("n_shingles"), totals.withColumn("n_blocks", n_blocks), ["root"], F.col("size") > F.lit(total * HEAVY))
     member = written(member.select("root", "node", "copies", "doc_id", "text_key", "n_blocks"), "neardup-members")
-    dropped(coarse, found)
+    dropped(found)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
