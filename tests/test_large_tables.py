@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import duckdb
 from pyspark.sql import functions as F
 
 from tidemill.plans import registry
@@ -32,3 +33,11 @@ def test_a_batch_is_read_by_its_folder_whatever_its_name(spark, tmp_path):
     ingest.ingest(asked, fetch, root, now, size=2)
     assert sorted((r["code"], r["status"], r["reason"], r["n_rows"], str(r["first_ts"])) for r in ingest.entries(spark, root).collect()) == [("a", "ok", None, 1, "2024-01-02"), ("b", "ok", None, 1, "2024-01-02"), ("gone", "failed", "not listed", 0, "None")]
     assert ingest.ingested(spark, root).count() == 2
+
+
+def test_overlay_pairs_keep_the_sign_of_what_is_rounded_to_zero(spark, sf_dir):
+    made = registry.flow()
+    made.steps["sector_si"] = "SELECT industry, n, cast(k AS double) AS k, cast(c AS double) AS c FROM (VALUES ('A', 3, 12.346, -0.001), ('B', 4, -0.004, 1.5), ('C', 5, 0.004, 0.0), ('D', 6, -0.006, -7.25), ('E', 7, -0.0e0, 0.001)) AS v(industry, n, k, c)"
+    got = [(r["nth"], str(r["k"]), str(r["c"]), r["label"]) for r in made.run(made.queries["overlay_pairs"])(spark, sf_dir).collect()]
+    want = [(nth, str(k), str(c), label) for nth, k, c, label in duckdb.connect().execute(made.oracle("overlay_pairs")).fetchall()]
+    assert sorted(got) == sorted(want) and ("-0.0", "B, n=4") in [(k, label) for _, k, _, label in got]

@@ -42,6 +42,11 @@ def _status(k: str, c: str) -> str:
     return f"CASE WHEN n_valid < 3 THEN concat('too_few_days (', cast(n_valid AS string), ')') WHEN {k} IS NULL THEN 'singular' WHEN abs({k}) > {EXTREME} OR abs({c}) > {EXTREME} THEN 'extreme' ELSE 'ok' END"
 
 
+def _two_places(x: str) -> str:
+    """``x`` with two places as text; what is rounded to zero keeps its sign, as DuckDB's ``round`` has it."""
+    return f"CASE WHEN round({x}, 2) = 0 AND cast({x} AS string) LIKE '-%' THEN '-0.0' ELSE cast(round({x}, 2) AS string) END"
+
+
 def add(flow: Flow) -> None:
     e = classify("k", "c")
     flow.step(
@@ -190,8 +195,8 @@ def add(flow: Flow) -> None:
                 arg_min(sector_name, (ord, sector_code)) || ' (' || CASE WHEN member_code % 13 = 0 THEN '-' ELSE arg_min(sector_code, (ord, sector_code)) END || ')' AS label FROM membership GROUP BY member_code""",
         ),
         overlay_pairs=(
-            r"""SELECT nth, cast(part[0] AS double) AS k, cast(part[1] AS double) AS c, trim(part[2]) AS label FROM (SELECT nth, split(trim(piece), ',', 3) AS part FROM (SELECT posexplode(split(text, ';')) AS (nth, piece) FROM (
-                SELECT array_join(array_sort(collect_list(concat(cast(round(k, 2) AS string), ',', cast(round(c, 2) AS string), ', ', industry, ', n=', cast(n AS string)))), '; ') AS text FROM sector_si WHERE k IS NOT NULL) a) b) d""",
+            rf"""SELECT nth, cast(part[0] AS double) AS k, cast(part[1] AS double) AS c, trim(part[2]) AS label FROM (SELECT nth, split(trim(piece), ',', 3) AS part FROM (SELECT posexplode(split(text, ';')) AS (nth, piece) FROM (
+                SELECT array_join(array_sort(collect_list(concat({_two_places('k')}, ',', {_two_places('c')}, ', ', industry, ', n=', cast(n AS string)))), '; ') AS text FROM sector_si WHERE k IS NOT NULL) a) b) d""",
             r"""SELECT (row_number() OVER (ORDER BY s) - 1)::INT AS nth, regexp_extract(s, '^([^,]*),([^,]*),(.*)$', 1)::DOUBLE AS k, regexp_extract(s, '^([^,]*),([^,]*),(.*)$', 2)::DOUBLE AS c, trim(regexp_extract(s, '^([^,]*),([^,]*),(.*)$', 3)) AS label
                 FROM (SELECT round(k, 2) || ',' || round(c, 2) || ', ' || industry || ', n=' || n AS s FROM sector_si WHERE k IS NOT NULL)""",
         ),
