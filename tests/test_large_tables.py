@@ -3,8 +3,11 @@
 import datetime as dt
 
 import duckdb
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from tidemill.operators import walk_forward
 from tidemill.plans import registry
 from tidemill.sources import ingest
 
@@ -41,3 +44,31 @@ def test_overlay_pairs_keep_the_sign_of_what_is_rounded_to_zero(spark, sf_dir):
     got = [(r["nth"], str(r["k"]), str(r["c"]), r["label"]) for r in made.run(made.queries["overlay_pairs"])(spark, sf_dir).collect()]
     want = [(nth, str(k), str(c), label) for nth, k, c, label in duckdb.connect().execute(made.oracle("overlay_pairs")).fetchall()]
     assert sorted(got) == sorted(want) and ("-0.0", "B, n=4") in [(k, label) for _, k, _, label in got]
+
+
+def shuffles(frame):
+    """Shuffles of what is as large as the lines, and scans of these."""
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange hashpartitioning(l_suppkey"), plan.count("Exchange hashpartitioning(code"), plan.count("FileScan parquet [l_")
+
+
+@pytest.mark.parametrize("name", ["latest_scores"])
+def test_models_shuffle_the_lines_once(spark, sf_dir, name):
+    assert shuffles(registry.QUERIES[name](spark, sf_dir)) == (1, 0, 1)
+
+
+def test_statistics_of_models_are_those_of_the_windows(spark, sf_dir):
+    made = registry.flow()
+    names = [f"{c}__{s}" for c in walk_forward.CHANNELS for s in walk_forward.MODEL]
+    columns = ", ".join(f"max(CASE WHEN channel = '{c}' THEN {walk_forward.STATISTICS[s]} END) AS {c}__{s}" for c in walk_forward.CHANNELS for s in walk_forward.MODEL)
+    want = made.run(f"SELECT ts, {columns} FROM channel_windows WHERE n = {walk_forward.WINDOW} AND code = 3 GROUP BY ts ORDER BY ts")(spark, sf_dir).toPandas()
+    rows, x = walk_forward._known(walk_forward.panel(made, walk_forward.CHANNELS)(spark, sf_dir).where("code = 3").toArrow(), walk_forward.CHANNELS, labelled=False)
+    assert rows["ts"].to_pylist() == list(want.ts) and len(want) > 100
+    np.testing.assert_allclose(x, want[names].astype(float).ffill().fillna(0.0).to_numpy(), rtol=1e-7, atol=1e-7)
+
+
+def test_rank_tests_of_columns():
+    x = np.column_stack([np.arange(8.0), np.ones(8), [0, 0, 1, 1, 1, 2, 2, 5.0]])
+    y = np.array([0, 0, 0, 0, 1, 1, 1, 1])
+    assert walk_forward.rank_tests(x, y).tolist() == [walk_forward.rank_test(x[:, j], y) for j in range(3)]
+    assert walk_forward.rank_tests(x, y)[1] == 1.0 and walk_forward.rank_tests(x, np.zeros(8)).tolist() == [1.0] * 3
