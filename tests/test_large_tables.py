@@ -52,7 +52,7 @@ def shuffles(frame):
     return plan.count("Exchange hashpartitioning(l_suppkey"), plan.count("Exchange hashpartitioning(code"), plan.count("FileScan parquet [l_")
 
 
-@pytest.mark.parametrize("name", ["latest_scores", "walk_forward", "fold_metrics"])
+@pytest.mark.parametrize("name", ["latest_scores", "walk_forward", "fold_metrics", "channel_composition"])
 def test_models_shuffle_the_lines_once(spark, sf_dir, name):
     assert shuffles(registry.QUERIES[name](spark, sf_dir)) == (1, 0, 1)
 
