@@ -57,6 +57,10 @@ def test_models_shuffle_the_lines_once(spark, sf_dir, name):
     assert shuffles(registry.QUERIES[name](spark, sf_dir)) == (1, 0, 1)
 
 
+def test_relative_scores_shuffle_the_lines_once_beside_the_benchmark(spark, sf_dir):
+    assert shuffles(registry.QUERIES["relative_scores"](spark, sf_dir)) == (1, 0, 1)
+
+
 def test_statistics_of_models_are_those_of_the_windows(spark, sf_dir):
     made = registry.flow()
     names = [f"{c}__{s}" for c in walk_forward.CHANNELS for s in walk_forward.MODEL]
