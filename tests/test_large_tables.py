@@ -4,10 +4,11 @@ import datetime as dt
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemill.operators import walk_forward
+from tidemill.operators import walk_forward, window_statistics
 from tidemill.plans import registry
 from tidemill.sources import ingest
 
@@ -76,3 +77,18 @@ def test_rank_tests_of_columns():
     y = np.array([0, 0, 0, 0, 1, 1, 1, 1])
     assert walk_forward.rank_tests(x, y).tolist() == [walk_forward.rank_test(x[:, j], y) for j in range(3)]
     assert walk_forward.rank_tests(x, y)[1] == 1.0 and walk_forward.rank_tests(x, np.zeros(8)).tolist() == [1.0] * 3
+
+
+def test_window_statistics_shuffle_the_lines_once_and_interpret_nothing(spark, sf_dir):
+    found = registry.QUERIES["window_statistics"](spark, sf_dir)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert shuffles(found) == (1, 0, 1) and "aggregate(" not in plan and "transform(" not in plan
+
+
+def test_windows_of_a_code_hold_whole_ones_only():
+    days = [dt.date(2024, 1, 1) + dt.timedelta(i) for i in range(40)]
+    rows = pa.table({"code": pa.array([7] * 40), "ts": pa.array(days[::-1]), **{c: pa.array([float(39 - i) if c == "close" or i < 32 else None for i in range(40)]) for c in walk_forward.CHANNELS}})
+    found = window_statistics.windows_of(rows).to_pandas()
+    assert found.groupby("channel").size().to_dict() == {c: 11 if c == "close" else 3 for c in walk_forward.CHANNELS}
+    first = found[(found.channel == "close") & (found.ts == days[29])].iloc[0]
+    assert (first["median"], first.quantile_10, first.trend_intercept, first.trend_r, first.trend_error, first.number_peaks_1, first.longest_strike_above_mean) == (14.5, 2.9, 0.0, 1.0, 0.0, 0.0, 15.0)
