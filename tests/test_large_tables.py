@@ -92,3 +92,10 @@ def test_windows_of_a_code_hold_whole_ones_only():
     assert found.groupby("channel").size().to_dict() == {c: 11 if c == "close" else 3 for c in walk_forward.CHANNELS}
     first = found[(found.channel == "close") & (found.ts == days[29])].iloc[0]
     assert (first["median"], first.quantile_10, first.trend_intercept, first.trend_r, first.trend_error, first.number_peaks_1, first.longest_strike_above_mean) == (14.5, 2.9, 0.0, 1.0, 0.0, 0.0, 15.0)
+
+
+def test_candle_patterns_are_told_apart_after_bars_are_summed(spark, sf_dir):
+    found = registry.QUERIES["candle_patterns"](spark, sf_dir)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # bars of the same hits are one row before they meet the patterns
+    assert shuffles(found) == (1, 0, 1) and plan.index("Join") < plan.index("HashAggregate(keys=[hits")

@@ -6,6 +6,8 @@ and the mean body of ten bars; its value is 1 for a rising, -1 for a falling sig
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from tidemill.plans.flow import Flow
 
 AHEAD = 2
@@ -87,19 +89,24 @@ def _values() -> dict[str, str]:
     return {k: f"CASE {f'WHEN {up} THEN 1 ' if up else ''}{f'WHEN {down} THEN -1 ' if down else ''}ELSE 0 END" for k, (up, down) in PATTERNS.items()}
 
 
+def registered(flow: Flow) -> tuple[dict[str, Callable], dict[str, str]]:
+    return {"candle_patterns": flow.run(flow.queries["candle_patterns"], {"lineitem": "l_suppkey"})}, {}
+
+
 def add(flow: Flow) -> None:
     before = ", ".join(f"lag({n}, {i}) OVER w AS {n[0]}{i}" for i in range(1, 5) for n in ("open", "high", "low", "close"))
     values = _values()
     flow.step(
         candle_bars=f"SELECT code, ts, open AS o, high AS h, low AS l, close AS c, {before}, avg(abs(close - open)) OVER (PARTITION BY code ORDER BY ts ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS mean_body, lead(close, {AHEAD}) OVER w / nullif(close, 0) - 1 AS fwd FROM bars WINDOW w AS (PARTITION BY code ORDER BY ts)",
-        candle_values="SELECT code, ts, fwd, " + ", ".join(f"{e} AS {k}" for k, e in values.items()) + " FROM candle_bars",
+        # a sign a pattern: bars of the same hits are summed before patterns are told apart
+        candle_hits="SELECT hits, count(*) AS n, count_if(fwd > 0) AS n_up, count_if(fwd < 0) AS n_down, sum(fwd) AS s FROM (SELECT fwd, concat(" + ", ".join(f"CASE {f'WHEN {up} THEN {chr(39)}+{chr(39)} ' if up else ''}{f'WHEN {down} THEN {chr(39)}-{chr(39)} ' if down else ''}ELSE ' ' END" for up, down in PATTERNS.values()) + ") AS hits FROM candle_bars WHERE fwd IS NOT NULL) x GROUP BY hits",
     )
-    names = ", ".join(f"('{k}')" for k in PATTERNS)
-    value = "CASE p.p " + " ".join(f"WHEN '{k}' THEN {k}" for k in PATTERNS) + " END"
+    names = ", ".join(f"({i}, '{k}')" for i, k in enumerate(PATTERNS, 1))
     self_join = "WITH b AS (SELECT code, ts, open, high, low, close, row_number() OVER (PARTITION BY code ORDER BY ts) AS i FROM bars), v AS (SELECT b0.code, b0.ts, b0.open AS o, b0.high AS h, b0.low AS l, b0.close AS c, " + ", ".join(f"b{i}.{n} AS {n[0]}{i}" for i in range(1, 5) for n in ("open", "high", "low", "close")) + f", (SELECT avg(abs(z.close - z.open)) FROM b z WHERE z.code = b0.code AND z.i BETWEEN b0.i - 9 AND b0.i) AS mean_body, f.close / nullif(b0.close, 0) - 1 AS fwd FROM b b0 " + " ".join(f"LEFT JOIN b b{i} ON b{i}.code = b0.code AND b{i}.i = b0.i - {i}" for i in range(1, 5)) + f" LEFT JOIN b f ON f.code = b0.code AND f.i = b0.i + {AHEAD})"
     flow.pair(
         candle_patterns=(
-            f"SELECT pattern, signal, count(*) AS n, round(avg(CASE WHEN signal * fwd > 0 THEN 1e0 ELSE 0e0 END), 6) AS win_rate, round(avg(fwd), 7) AS mean_fwd FROM (SELECT p.p AS pattern, {value} AS signal, fwd FROM candle_values CROSS JOIN (VALUES {names}) AS p(p)) x WHERE signal <> 0 AND fwd IS NOT NULL GROUP BY pattern, signal",
+            f"""SELECT pattern, signal, sum(n) AS n, round(sum(CASE WHEN signal > 0 THEN n_up ELSE n_down END) / cast(sum(n) AS double), 6) AS win_rate, round(sum(s) / sum(n), 7) AS mean_fwd FROM (
+                SELECT p.p AS pattern, CASE substring(hits, p.i, 1) WHEN '+' THEN 1 WHEN '-' THEN -1 ELSE 0 END AS signal, n, n_up, n_down, s FROM candle_hits CROSS JOIN (VALUES {names}) AS p(i, p)) x WHERE signal <> 0 GROUP BY pattern, signal""",
             self_join + ", u AS (SELECT fwd, unnest([" + ", ".join(f"'{k}'" for k in PATTERNS) + "]) AS pattern, unnest([" + ", ".join(values.values()) + "]) AS signal FROM v WHERE fwd IS NOT NULL) SELECT pattern, signal, count(*) AS n, round(count(*) FILTER (WHERE sign(signal) = sign(fwd))::DOUBLE / count(*), 6) AS win_rate, round(avg(fwd), 7) AS mean_fwd FROM u WHERE signal <> 0 GROUP BY ALL",
         ),
     )

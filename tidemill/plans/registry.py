@@ -22,6 +22,6 @@ def flow() -> Flow:
 QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
 _FLOW = flow()
-for _queries, _sql in (_FLOW.registered(), folds.registered(_FLOW), quotes.registered(_FLOW), learning.registered(_FLOW), regression.registered(_FLOW), ranking.registered(_FLOW), validation.registered(_FLOW), trajectory.registered(_FLOW), walk_forward.registered(_FLOW), window_statistics.registered(_FLOW), store.registered(_FLOW), ingest.registered(_FLOW), pool.registered(_FLOW)):
+for _queries, _sql in (_FLOW.registered(), folds.registered(_FLOW), quotes.registered(_FLOW), learning.registered(_FLOW), regression.registered(_FLOW), ranking.registered(_FLOW), validation.registered(_FLOW), trajectory.registered(_FLOW), walk_forward.registered(_FLOW), window_statistics.registered(_FLOW), patterns.registered(_FLOW), store.registered(_FLOW), ingest.registered(_FLOW), pool.registered(_FLOW)):
     QUERIES |= _queries
     ORACLE_SQL |= _sql
