@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemill.operators import walk_forward, window_statistics
+from tidemill.operators import ranking, walk_forward, window_statistics
 from tidemill.plans import registry
 from tidemill.sources import ingest
 
@@ -99,3 +99,24 @@ def test_candle_patterns_are_told_apart_after_bars_are_summed(spark, sf_dir):
     plan = found._jdf.queryExecution().executedPlan().toString()
     # bars of the same hits are one row before they meet the patterns
     assert shuffles(found) == (1, 0, 1) and plan.index("Join") < plan.index("HashAggregate(keys=[hits")
+
+
+def test_packed_rank_sums_are_the_plain_ones(spark):
+    rng = np.random.default_rng(4)
+    names, channels, n = ["few", "many", "none"], ("a", "b"), 3000
+    wide = [(("a", "b")[i % 2], int(rng.integers(2)) if i % 50 else None, float(rng.integers(5)) if i % 7 else None, round(float(rng.normal()), 3) + 0.0, None) for i in range(n)]
+    rows = spark.createDataFrame(wide, "channel string, label int, few double, many double, none double").repartition(5)
+    plain = spark.createDataFrame([(f"{c}__{k}", v, label) for c, label, *values in wide for k, v in zip(names, values, strict=True)], "feature string, value double, label int")
+    want = sorted(tuple(r) for r in ranking.rank_sums(plain).select("feature", "n", "n_up", "u", "ties").collect())
+    for parts in (1, 4):
+        limits = ranking.range_limits(rows, names, channels, parts)
+        assert sorted(limits) == ([] if parts == 1 else [0, 1, 3, 4])
+        got = sorted(tuple(r) for r in ranking.packed_rank_sums(rows, names, channels, limits).select("feature", "n", "n_up", "u", "ties").collect())
+        assert [x[:3] for x in got] == [x[:3] for x in want] and len(got) == 4
+        np.testing.assert_allclose([x[3:] for x in got], [x[3:] for x in want], rtol=1e-12)
+
+
+def test_feature_relevance_deals_packs_not_rows(spark, sf_dir):
+    found = registry.QUERIES["feature_relevance"](spark, sf_dir)
+    plan = found.select("feature")._jdf.queryExecution().analyzed().toString()
+    assert "explode" not in plan and found.count() == len(walk_forward.CHANNELS) * len(window_statistics.NAMES)
